@@ -84,3 +84,21 @@ def histogram_by_label(df: DataFrame, column: str, bins: int = 30, label: str =
     return counts.select(F.lit(column).alias("column_name"), "bin", label, "n_rows",
                          (lo + F.col("bin") * (hi - lo) / nb).alias("bin_start"),
                          (lo + (F.col("bin") + 1) * (hi - lo) / nb).alias("bin_end"))
+
+
+def with_benchmark(df: DataFrame, bench: DataFrame, key: str = MEASURE) -> DataFrame:
+    """Benchmark penalty rate by exact condition name (left join; no match
+    gives NULL).  ``bench`` is a literal six-row table: broadcast is safe."""
+    return df.join(F.broadcast(bench), key, "left")
+
+
+def with_state_name(df: DataFrame, states: DataFrame, key: str = STATE) -> DataFrame:
+    """Code -> full name (left join against the literal 56-row map)."""
+    s = states.select(F.col("code").alias(key), F.col("name").alias("state_name"))
+    return df.join(F.broadcast(s), key, "left")
+
+
+def state_code_for_name(df: DataFrame, states: DataFrame, name_col: str = "state_name") -> DataFrame:
+    """J2, reverse direction: full name -> code."""
+    s = states.select(F.col("name").alias(name_col), F.col("code").alias("state_code"))
+    return df.join(F.broadcast(s), name_col, "left")

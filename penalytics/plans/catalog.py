@@ -7,11 +7,17 @@ work grows with them.  Column names match the oracle SQL exactly.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.coerce import NA_TOKENS
 from ..operators import clean as C
 from ..operators import explore as X
+from ..operators import ordered as O
+from ..operators import profile as PR
+from ..sources.dimensions import benchmark_dim, benchmark_values_sql, state_dim, state_values_sql
+from ..sources.fixture import RAW_COLUMNS
 from ..sources.fixture import hrrp_raw
-from .oracle import with_fixture
+from .oracle import sql_list, union_all, with_fixture
 from .registry import register
 
 
@@ -48,3 +54,294 @@ FROM hrrp_model GROUP BY state
 ORDER BY penalty_rate_pct DESC, state ASC LIMIT 15"""), ids=("A10", "T1"), headline=True)
 def q_state_penalty_top15(spark, sf_dir):
     return X.penalty_rate_by(modeled(spark, sf_dir), C.STATE, top=15)
+
+
+@register("hrrp_clean_strict", with_fixture("""
+SELECT * FROM (SELECT *, cast(excess_readmission_ratio > 1 AS integer) AS is_penalized FROM hrrp_num)
+WHERE facility_id IS NOT NULL AND facility_name IS NOT NULL AND state IS NOT NULL AND measure_name IS NOT NULL
+  AND number_of_discharges IS NOT NULL AND footnote IS NOT NULL AND excess_readmission_ratio IS NOT NULL
+  AND predicted_readmission_rate IS NOT NULL AND expected_readmission_rate IS NOT NULL
+  AND number_of_readmissions IS NOT NULL AND start_date IS NOT NULL AND end_date IS NOT NULL"""), ids=("P3",))
+def q_hrrp_clean_strict(spark, sf_dir):
+    return C.clean_strict(raw(spark, sf_dir))
+
+
+@register("label_threshold_105", with_fixture("""
+SELECT facility_id, measure_name, excess_readmission_ratio,
+       cast(excess_readmission_ratio > 1.05 AS integer) AS is_penalized
+FROM hrrp_num WHERE excess_readmission_ratio IS NOT NULL"""), ids=("P5",))
+def q_label_threshold_105(spark, sf_dir):
+    df = C.clean(raw(spark, sf_dir), threshold=1.05)
+    return df.select("facility_id", "measure_name", C.RATIO, C.LABEL)
+
+
+@register("model_frame", with_fixture("SELECT * FROM hrrp_model"), ids=("P6", "P7", "P11"))
+def q_model_frame(spark, sf_dir):
+    return modeled(spark, sf_dir)
+
+
+@register("derived_ratio", with_fixture("""
+SELECT facility_id, measure_name,
+       CASE WHEN expected_readmission_rate = 0 THEN NULL
+            ELSE predicted_readmission_rate / expected_readmission_rate END AS derived_ratio
+FROM hrrp_clean"""), ids=("P12",))
+def q_derived_ratio(spark, sf_dir):
+    return C.derived_ratio(cleaned(spark, sf_dir)).select("facility_id", "measure_name", "derived_ratio")
+
+
+@register("default_inputs", with_fixture("""
+SELECT arg_min(state, facility_id || '|' || measure_name) AS default_state,
+       arg_min(measure_name, facility_id || '|' || measure_name) AS default_measure_name
+FROM hrrp_clean"""), ids=("P13",))
+def q_default_inputs(spark, sf_dir):
+    return C.default_inputs(cleaned(spark, sf_dir))
+
+
+@register("penalized_rows", with_fixture("""
+SELECT facility_id, measure_name, state FROM hrrp_clean WHERE is_penalized = 1"""), ids=("P10",))
+def q_penalized_rows(spark, sf_dir):
+    return cleaned(spark, sf_dir).where(F.col(C.LABEL) == 1).select("facility_id", C.MEASURE, C.STATE)
+
+
+# ---------------------------------------------------------------- profiling
+
+MODEL_COLUMNS = [C.STATE, C.MEASURE, C.DISCHARGES, C.PREDICTED, C.EXPECTED, C.READMISSIONS, C.LABEL]
+MODEL_TYPES = ["string", "string", "double", "double", "double", "double", "int"]
+MODEL_NUMERIC = [C.DISCHARGES, C.PREDICTED, C.EXPECTED, C.READMISSIONS, C.LABEL]
+CLEAN_NUMERIC = [C.DISCHARGES, C.RATIO, C.PREDICTED, C.EXPECTED, C.READMISSIONS, C.LABEL]
+BOX_COLUMNS = [C.DISCHARGES, C.PREDICTED, C.EXPECTED, C.READMISSIONS]
+
+
+@register("dataset_stats", with_fixture("""
+SELECT cast(count(*) AS bigint) AS n_rows, cast(12 AS bigint) AS n_columns,
+       cast(count(DISTINCT facility_name) AS bigint) AS n_hospitals,
+       cast(count(DISTINCT state) AS bigint) AS n_states,
+       cast(count(DISTINCT measure_name) AS bigint) AS n_conditions
+FROM hrrp_raw"""), ids=("A1", "A2", "S7"))
+def q_dataset_stats(spark, sf_dir):
+    return PR.dataset_stats(raw(spark, sf_dir))
+
+
+_NA_SQL = sql_list(NA_TOKENS)
+_MISSING_RAW = union_all([f"""
+SELECT '{c}' AS column_name, cast({i} AS integer) AS position, 'string' AS data_type,
+       cast(sum(CASE WHEN {c} IS NULL OR trim({c}) IN ({_NA_SQL}) THEN 1 ELSE 0 END) AS bigint) AS missing_count,
+       100.0e0 * sum(CASE WHEN {c} IS NULL OR trim({c}) IN ({_NA_SQL}) THEN 1 ELSE 0 END) / count(*) AS missing_pct
+FROM hrrp_raw""" for i, c in enumerate(RAW_COLUMNS)])
+
+
+@register("missing_profile", with_fixture(_MISSING_RAW), ids=("A3", "S3", "S7"))
+def q_missing_profile(spark, sf_dir):
+    return PR.missing_profile(raw(spark, sf_dir))
+
+
+_MISSING_MODEL = union_all([f"""
+SELECT '{c}' AS column_name, cast({i} AS integer) AS position, '{t}' AS data_type,
+       cast(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS bigint) AS missing_count,
+       100.0e0 * sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) / count(*) AS missing_pct
+FROM hrrp_model""" for i, (c, t) in enumerate(zip(MODEL_COLUMNS, MODEL_TYPES))])
+
+
+@register("missing_top10", with_fixture(f"""
+SELECT * FROM ({_MISSING_MODEL}) m ORDER BY missing_count DESC, column_name ASC LIMIT 10"""),
+          ids=("A4", "T3"))
+def q_missing_top10(spark, sf_dir):
+    return PR.missing_top(modeled(spark, sf_dir), 10)
+
+
+@register("missing_any", with_fixture(f"""
+SELECT max(missing_count) > 0 AS any_missing,
+       cast(sum(CASE WHEN missing_count > 0 THEN 1 ELSE 0 END) AS bigint) AS n_columns_missing
+FROM ({_MISSING_MODEL}) m"""), ids=("A5",))
+def q_missing_any(spark, sf_dir):
+    return PR.any_missing(modeled(spark, sf_dir))
+
+
+_DESCRIBE = union_all([f"""
+SELECT '{c}' AS column_name, cast(count({c}) AS bigint) AS count, avg({c}) AS mean,
+       stddev_samp({c}) AS std, cast(min({c}) AS double) AS min,
+       quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50,
+       quantile_cont({c}, 0.75) AS p75, cast(max({c}) AS double) AS max
+FROM hrrp_clean""" for c in CLEAN_NUMERIC])
+
+
+@register("describe_numeric", with_fixture(_DESCRIBE), ids=("A6", "P8"))
+def q_describe_numeric(spark, sf_dir):
+    return PR.describe(cleaned(spark, sf_dir), CLEAN_NUMERIC)
+
+
+def _corr_sql(cols):
+    parts = []
+    for a in cols:
+        for b in cols:
+            if a == b:
+                expr = f"CASE WHEN stddev_samp({a}) > 0 THEN 1.0e0 END"
+            else:
+                expr = f"corr({a}, {b})"
+            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, {expr} AS corr FROM hrrp_model")
+    return union_all(parts)
+
+
+@register("correlation_matrix", with_fixture(_corr_sql(MODEL_NUMERIC)), ids=("A7", "P8"))
+def q_correlation_matrix(spark, sf_dir):
+    return PR.correlation_long(modeled(spark, sf_dir), MODEL_NUMERIC)
+
+
+@register("preview_rows", with_fixture("""
+SELECT * FROM hrrp_raw ORDER BY facility_id, measure_name LIMIT 10"""), ids=("S6",))
+def q_preview_rows(spark, sf_dir):
+    return PR.preview(raw(spark, sf_dir), 10, ["facility_id", "measure_name"])
+
+
+_BOX = union_all([f"""
+SELECT '{c}' AS column_name, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS median,
+       quantile_cont({c}, 0.75) AS q3 FROM hrrp_model""" for c in BOX_COLUMNS])
+_BOX_LONG = union_all([f"SELECT '{c}' AS column_name, {c} AS value, facility_id, measure_name FROM hrrp_clean WHERE {c} IS NOT NULL"
+                       for c in BOX_COLUMNS])
+_FENCES = f"""
+SELECT column_name, q1, median, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence,
+       q3 + 1.5 * (q3 - q1) AS upper_fence FROM ({_BOX}) b"""
+
+
+@register("box_stats", with_fixture(f"""
+SELECT f.column_name, q1, median, q3, iqr, lower_fence, upper_fence,
+       min(CASE WHEN value >= lower_fence AND value <= upper_fence THEN value END) AS whisker_low,
+       max(CASE WHEN value >= lower_fence AND value <= upper_fence THEN value END) AS whisker_high,
+       cast(sum(CASE WHEN value >= lower_fence AND value <= upper_fence THEN 0 ELSE 1 END) AS bigint) AS n_outliers
+FROM ({_BOX_LONG}) l JOIN ({_FENCES}) f ON l.column_name = f.column_name
+GROUP BY f.column_name, q1, median, q3, iqr, lower_fence, upper_fence"""), ids=("A15", "P9"))
+def q_box_stats(spark, sf_dir):
+    return PR.box_stats(modeled(spark, sf_dir), BOX_COLUMNS)
+
+
+@register("box_outliers", with_fixture(f"""
+SELECT facility_id, measure_name, l.column_name, value
+FROM ({_BOX_LONG}) l JOIN ({_FENCES}) f ON l.column_name = f.column_name
+WHERE value < lower_fence OR value > upper_fence"""), ids=("A15",))
+def q_box_outliers(spark, sf_dir):
+    return PR.box_outliers(cleaned(spark, sf_dir), BOX_COLUMNS, ["facility_id", "measure_name"])
+
+
+# ---------------------------------------------------------------- exploration (continued)
+
+@register("label_distribution", with_fixture("""
+SELECT is_penalized, cast(count(*) AS bigint) AS n,
+       100.0e0 * count(*) / (SELECT count(*) FROM hrrp_model) AS pct
+FROM hrrp_model GROUP BY is_penalized"""), ids=("A8",))
+def q_label_distribution(spark, sf_dir):
+    return X.label_distribution(modeled(spark, sf_dir))
+
+
+@register("penalty_rate_overall", with_fixture("""
+SELECT cast(count(*) AS bigint) AS n_rows, cast(sum(is_penalized) AS bigint) AS n_penalized,
+       100.0e0 * sum(is_penalized) / count(*) AS penalty_rate_pct FROM hrrp_model"""), ids=("A9",))
+def q_penalty_rate_overall(spark, sf_dir):
+    return X.penalty_rate_overall(modeled(spark, sf_dir))
+
+
+@register("condition_penalty_rate", with_fixture("""
+SELECT measure_name, cast(count(*) AS bigint) AS n_rows, cast(sum(is_penalized) AS bigint) AS n_penalized,
+       100.0e0 * sum(is_penalized) / count(*) AS penalty_rate_pct
+FROM hrrp_model GROUP BY measure_name"""), ids=("A11",))
+def q_condition_penalty_rate(spark, sf_dir):
+    return X.penalty_rate_by(modeled(spark, sf_dir), C.MEASURE)
+
+
+_TOP_COND = """
+SELECT measure_name, cast(count(*) AS bigint) AS n_penalized FROM hrrp_model WHERE is_penalized = 1
+GROUP BY measure_name ORDER BY n_penalized DESC, measure_name ASC LIMIT 10"""
+
+
+@register("top_conditions_penalized", with_fixture(_TOP_COND), ids=("A12", "T2", "P10"))
+def q_top_conditions_penalized(spark, sf_dir):
+    return X.top_penalized_conditions(modeled(spark, sf_dir), 10)
+
+
+@register("top_conditions_label_counts", with_fixture(f"""
+SELECT measure_name, is_penalized, cast(count(*) AS bigint) AS n_rows FROM hrrp_model
+WHERE measure_name IN (SELECT measure_name FROM ({_TOP_COND}) t)
+GROUP BY measure_name, is_penalized"""), ids=("A13", "J3"))
+def q_top_conditions_label_counts(spark, sf_dir):
+    return X.condition_label_counts(modeled(spark, sf_dir), 10)
+
+
+def _hist_sql(col):
+    return f"""
+SELECT '{col}' AS column_name, bin, is_penalized, cast(count(*) AS bigint) AS n_rows,
+       lo + bin * (hi - lo) / 30.0e0 AS bin_start, lo + (bin + 1) * (hi - lo) / 30.0e0 AS bin_end
+FROM (SELECT is_penalized, lo, hi,
+             cast(CASE WHEN hi = lo THEN 0
+                       ELSE least(floor(({col} - lo) / ((hi - lo) / 30.0e0)), 29) END AS integer) AS bin
+      FROM hrrp_model, (SELECT min({col}) AS lo, max({col}) AS hi FROM hrrp_model) b
+      WHERE {col} IS NOT NULL) x
+GROUP BY bin, is_penalized, lo, hi"""
+
+
+@register("histogram_predicted_rate", with_fixture(_hist_sql(C.PREDICTED)), ids=("A14",))
+def q_histogram_predicted_rate(spark, sf_dir):
+    return X.histogram_by_label(modeled(spark, sf_dir), C.PREDICTED, 30)
+
+
+@register("histogram_all_numeric", with_fixture(union_all([_hist_sql(c) for c in BOX_COLUMNS])), ids=("A14",))
+def q_histogram_all_numeric(spark, sf_dir):
+    df = modeled(spark, sf_dir)
+    out = None
+    for c in BOX_COLUMNS:
+        h = X.histogram_by_label(df, c, 30)
+        out = h if out is None else out.unionByName(h)
+    return out
+
+
+@register("distinct_conditions", with_fixture("""
+SELECT DISTINCT measure_name FROM hrrp_clean WHERE measure_name IS NOT NULL"""), ids=("A16",))
+def q_distinct_conditions(spark, sf_dir):
+    return X.distinct_sorted(cleaned(spark, sf_dir), C.MEASURE)
+
+
+@register("distinct_states", with_fixture("""
+SELECT DISTINCT state FROM hrrp_clean WHERE state IS NOT NULL"""), ids=("A16",))
+def q_distinct_states(spark, sf_dir):
+    return X.distinct_sorted(cleaned(spark, sf_dir), C.STATE)
+
+
+_MEDIANS = union_all([f"SELECT '{c}' AS column_name, quantile_cont({c}, 0.5) AS median FROM hrrp_model"
+                      for c in BOX_COLUMNS])
+
+
+@register("column_medians", with_fixture(_MEDIANS), ids=("A17", "M1"))
+def q_column_medians(spark, sf_dir):
+    return O.exact_median(modeled(spark, sf_dir), BOX_COLUMNS)
+
+
+def _mode_sql(cols):
+    parts = [f"""
+SELECT '{c}' AS column_name, value AS mode, cast(n AS bigint) AS mode_count FROM (
+  SELECT {c} AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c} ASC) AS rk
+  FROM hrrp_model WHERE {c} IS NOT NULL GROUP BY {c}) m WHERE rk = 1""" for c in cols]
+    return union_all(parts)
+
+
+@register("column_modes", with_fixture(_mode_sql([C.STATE, C.MEASURE])), ids=("A17", "M2"))
+def q_column_modes(spark, sf_dir):
+    return O.most_frequent(modeled(spark, sf_dir), [C.STATE, C.MEASURE])
+
+
+@register("benchmark_lookup", with_fixture(f"""
+SELECT h.facility_id, h.measure_name, bd.benchmark_penalty_rate
+FROM hrrp_clean h LEFT JOIN {benchmark_values_sql()} ON h.measure_name = bd.measure_name"""),
+          ids=("J1", "S5"))
+def q_benchmark_lookup(spark, sf_dir):
+    return X.with_benchmark(cleaned(spark, sf_dir), benchmark_dim(spark)).select(
+        "facility_id", C.MEASURE, "benchmark_penalty_rate")
+
+
+@register("state_lookup", with_fixture(f"""
+SELECT s.state, sd.name AS state_name, sd2.code AS state_code
+FROM (SELECT DISTINCT state FROM hrrp_clean) s
+LEFT JOIN {state_values_sql()} ON s.state = sd.code
+LEFT JOIN (SELECT * FROM {state_values_sql().replace(' sd(', ' sd2(')}) sd2 ON sd.name = sd2.name"""),
+          ids=("J2", "S5"))
+def q_state_lookup(spark, sf_dir):
+    states = state_dim(spark)
+    named = X.with_state_name(X.distinct_sorted(cleaned(spark, sf_dir), C.STATE), states)
+    return X.state_code_for_name(named, states).select(C.STATE, "state_name", "state_code")

@@ -67,3 +67,12 @@ def with_fixture(body: str, extra_ctes: str = "") -> str:
     """Prefix ``body`` with the fixture CTEs (and optional extra CTEs)."""
     ctes = FIXTURE_CTES + ("," + extra_ctes if extra_ctes else "")
     return "WITH " + ctes.strip() + "\n" + body.strip()
+
+
+def sql_list(values: list[str]) -> str:
+    """Quoted, comma-separated SQL string literals."""
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def union_all(parts: list[str]) -> str:
+    return "\nUNION ALL\n".join(p.strip() for p in parts)
