@@ -14,6 +14,8 @@ from ..operators import clean as C
 from ..operators import explore as X
 from ..operators import ordered as O
 from ..operators import profile as PR
+from ..operators import rules as R
+from . import rules_sql as RS
 from ..sources.dimensions import benchmark_dim, benchmark_values_sql, state_dim, state_values_sql
 from ..sources.fixture import RAW_COLUMNS
 from ..sources.fixture import hrrp_raw
@@ -345,3 +347,45 @@ def q_state_lookup(spark, sf_dir):
     states = state_dim(spark)
     named = X.with_state_name(X.distinct_sorted(cleaned(spark, sf_dir), C.STATE), states)
     return X.state_code_for_name(named, states).select(C.STATE, "state_name", "state_code")
+
+
+# ---------------------------------------------------------------- rules
+
+ROW_KEY = ["facility_id", C.MEASURE]
+
+
+@register("risk_drivers_v1", RS.drivers_v1_sql(), ids=("R1", "R20", "T6"))
+def q_risk_drivers_v1(spark, sf_dir):
+    return R.driver_report_v1(cleaned(spark, sf_dir), ROW_KEY)
+
+
+@register("risk_drivers_v2", RS.drivers_v2_sql(), ids=("R2",))
+def q_risk_drivers_v2(spark, sf_dir):
+    return R.driver_report_v2(cleaned(spark, sf_dir), ROW_KEY)
+
+
+@register("risk_drivers_v3", RS.drivers_v3_sql(), ids=("R4", "T7", "F6", "F7", "F8"))
+def q_risk_drivers_v3(spark, sf_dir):
+    return R.driver_report_v3(cleaned(spark, sf_dir), ROW_KEY)
+
+
+@register("risk_scores", RS.score_table_sql(), ids=("R3", "R5", "R11", "R12", "R13", "R14", "R16", "F1", "F2"))
+def q_risk_scores(spark, sf_dir):
+    return R.score_table(cleaned(spark, sf_dir), ROW_KEY)
+
+
+@register("risk_index_exposure", RS.index_exposure_sql(),
+          ids=("R6", "R7", "R8", "R9", "R10", "R17", "R18", "F4", "F9"))
+def q_risk_index_exposure(spark, sf_dir):
+    return R.index_exposure_table(cleaned(spark, sf_dir), ROW_KEY)
+
+
+@register("risk_profile_axes", RS.profile_axes_sql(), ids=("R15", "J1"))
+def q_risk_profile_axes(spark, sf_dir):
+    df = X.with_benchmark(cleaned(spark, sf_dir), benchmark_dim(spark))
+    return R.profile_axes(df, ROW_KEY)
+
+
+@register("what_if_scenarios", RS.what_if_sql(), ids=("R19",))
+def q_what_if_scenarios(spark, sf_dir):
+    return R.what_if(cleaned(spark, sf_dir), ROW_KEY)
