@@ -16,6 +16,9 @@ from ..operators import ordered as O
 from ..operators import profile as PR
 from ..operators import rules as R
 from . import rules_sql as RS
+from . import metrics_sql as MS
+from ..operators import metrics as M
+from ..sources.votes import votes as make_votes
 from ..sources.dimensions import benchmark_dim, benchmark_values_sql, state_dim, state_values_sql
 from ..sources.fixture import RAW_COLUMNS
 from ..sources.fixture import hrrp_raw
@@ -389,3 +392,98 @@ def q_risk_profile_axes(spark, sf_dir):
 @register("what_if_scenarios", RS.what_if_sql(), ids=("R19",))
 def q_what_if_scenarios(spark, sf_dir):
     return R.what_if(cleaned(spark, sf_dir), ROW_KEY)
+
+
+# ---------------------------------------------------------------- metrics over the votes table
+
+def votes_frame(spark, sf_dir):
+    return make_votes(cleaned(spark, sf_dir))
+
+
+def _test(v):
+    return v.where(F.col("split") == "test")
+
+
+@register("votes_table", MS.votes_sql(), ids=("F5",))
+def q_votes_table(spark, sf_dir):
+    return votes_frame(spark, sf_dir)
+
+
+@register("model_metrics", MS.model_metrics_sql(), ids=("E1", "E2", "E3", "E4"))
+def q_model_metrics(spark, sf_dir):
+    return M.binary_metrics(votes_frame(spark, sf_dir), [M.MODEL, "split"])
+
+
+@register("confusion_matrix", MS.confusion_sql(), ids=("E6",))
+def q_confusion_matrix(spark, sf_dir):
+    return M.confusion_matrix(_test(votes_frame(spark, sf_dir)), [M.MODEL])
+
+
+@register("classification_report", MS.report_sql(), ids=("E7",))
+def q_classification_report(spark, sf_dir):
+    return M.classification_report(_test(votes_frame(spark, sf_dir)), [M.MODEL])
+
+
+@register("roc_auc", MS.auc_sql(), ids=("E5",))
+def q_roc_auc(spark, sf_dir):
+    return M.roc_auc(_test(votes_frame(spark, sf_dir)), [M.MODEL])
+
+
+@register("roc_points", MS.roc_points_sql(), ids=("E8",))
+def q_roc_points(spark, sf_dir):
+    return M.roc_points(_test(votes_frame(spark, sf_dir)), [M.MODEL])
+
+
+@register("cv_summary", MS.cv_sql(), ids=("E9", "A18"))
+def q_cv_summary(spark, sf_dir):
+    return M.cv_summary(votes_frame(spark, sf_dir).where(F.col("split") == "train"), [M.MODEL])
+
+
+def _comparison(spark, sf_dir):
+    return M.comparison(votes_frame(spark, sf_dir))
+
+
+@register("model_comparison", MS.comparison_sql(), ids=("E10", "E13"))
+def q_model_comparison(spark, sf_dir):
+    return _comparison(spark, sf_dir)
+
+
+@register("metrics_long", MS.metrics_long_sql(), ids=("H1",))
+def q_metrics_long(spark, sf_dir):
+    return M.metrics_long(_comparison(spark, sf_dir))
+
+
+@register("metrics_by_metric", MS.metrics_wide_sql(), ids=("H2",))
+def q_metrics_by_metric(spark, sf_dir):
+    return M.metrics_by_metric(M.metrics_long(_comparison(spark, sf_dir)))
+
+
+@register("metric_best_flags", MS.best_flags_sql(), ids=("H4",))
+def q_metric_best_flags(spark, sf_dir):
+    return M.best_flags(M.metrics_long(_comparison(spark, sf_dir)))
+
+
+@register("best_model", MS.best_model_sql(), ids=("T5", "E11"))
+def q_best_model(spark, sf_dir):
+    return M.best_model(_comparison(spark, sf_dir))
+
+
+@register("model_ranking", MS.ranking_sql(), ids=("T4",))
+def q_model_ranking(spark, sf_dir):
+    return M.model_ranking(_comparison(spark, sf_dir))
+
+
+@register("consensus_votes", MS.consensus_sql(), ids=("M18", "A19"))
+def q_consensus_votes(spark, sf_dir):
+    return M.consensus(votes_frame(spark, sf_dir))
+
+
+@register("prediction_matrix", MS.prediction_matrix_sql(), ids=("M19", "M20"))
+def q_prediction_matrix(spark, sf_dir):
+    return M.prediction_matrix(votes_frame(spark, sf_dir))
+
+
+@register("correct_count_mean", MS.correct_mean_sql(), ids=("A20",))
+def q_correct_count_mean(spark, sf_dir):
+    pm = M.prediction_matrix(votes_frame(spark, sf_dir))
+    return pm.agg(F.avg("correct_count").alias("mean_correct_count"), F.count(F.lit(1)).alias("n_rows"))
