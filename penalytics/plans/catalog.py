@@ -18,6 +18,7 @@ from ..operators import rules as R
 from . import rules_sql as RS
 from . import metrics_sql as MS
 from ..operators import metrics as M
+from ..operators import features as FE
 from ..sources.votes import votes as make_votes
 from ..sources.dimensions import benchmark_dim, benchmark_values_sql, state_dim, state_values_sql
 from ..sources.fixture import RAW_COLUMNS
@@ -487,3 +488,100 @@ def q_prediction_matrix(spark, sf_dir):
 def q_correct_count_mean(spark, sf_dir):
     pm = M.prediction_matrix(votes_frame(spark, sf_dir))
     return pm.agg(F.avg("correct_count").alias("mean_correct_count"), F.count(F.lit(1)).alias("n_rows"))
+
+
+# ---------------------------------------------------------------- features
+
+NUM_FEATURES = [C.DISCHARGES, C.PREDICTED, C.EXPECTED, C.READMISSIONS]
+CAT_FEATURES = [C.STATE, C.MEASURE]
+
+
+def _filled_sql(cols_num, cols_cat, src="hrrp_clean"):
+    nums = ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM {src})) AS {c}" for c in cols_num)
+    cats = ", ".join(
+        f"coalesce({c}, (SELECT {c} FROM {src} WHERE {c} IS NOT NULL GROUP BY {c} "
+        f"ORDER BY count(*) DESC, {c} LIMIT 1)) AS {c}" for c in cols_cat)
+    return nums, cats
+
+
+_N, _C = _filled_sql(NUM_FEATURES, CAT_FEATURES, "hrrp_model")
+
+
+@register("imputed_model_frame", with_fixture(f"SELECT {_C}, {_N}, is_penalized FROM hrrp_model"),
+          ids=("M1", "M2"))
+def q_imputed_model_frame(spark, sf_dir):
+    df = FE.impute_frame(modeled(spark, sf_dir), NUM_FEATURES, CAT_FEATURES)
+    return df.select(*CAT_FEATURES, *NUM_FEATURES, C.LABEL)
+
+
+_FILLED = f"filled AS (SELECT {_N} FROM hrrp_model)"
+
+
+@register("scaling_params", with_fixture(union_all([
+    f"SELECT '{c}' AS column_name, avg({c}) AS mean, stddev_pop({c}) AS std_pop FROM filled"
+    for c in NUM_FEATURES]), _FILLED), ids=("M3",))
+def q_scaling_params(spark, sf_dir):
+    df = FE.ExactMedianImputer(inputCols=NUM_FEATURES).fit(modeled(spark, sf_dir)).transform(modeled(spark, sf_dir))
+    return FE.scaling_stats(df, NUM_FEATURES)
+
+
+_NK, _ = _filled_sql(NUM_FEATURES, [], "hrrp_clean")
+_SCALED = ", ".join(
+    f"({c} - (SELECT avg({c}) FROM filled_k)) / coalesce(nullif((SELECT stddev_pop({c}) FROM filled_k), 0), 1) "
+    f"AS {c}_scaled" for c in NUM_FEATURES)
+
+
+@register("standardized_features", with_fixture(
+    f"SELECT facility_id, measure_name, {_SCALED} FROM filled_k",
+    f"filled_k AS (SELECT facility_id, measure_name, {_NK} FROM hrrp_clean)"), ids=("M3", "M1"))
+def q_standardized_features(spark, sf_dir):
+    df = cleaned(spark, sf_dir).select("facility_id", C.MEASURE, *NUM_FEATURES)
+    df = FE.ExactMedianImputer(inputCols=NUM_FEATURES).fit(df).transform(df)
+    out = FE.PopulationScaler(inputCols=NUM_FEATURES).fit(df).transform(df)
+    return out.select("facility_id", C.MEASURE, *[c + "_scaled" for c in NUM_FEATURES])
+
+
+@register("category_levels", with_fixture(union_all([f"""
+SELECT '{c}' AS column_name, {c} AS level,
+       cast(row_number() OVER (ORDER BY {c}) - 1 AS integer) AS level_index, cast(n AS bigint) AS n_rows
+FROM (SELECT {c}, count(*) AS n FROM hrrp_model WHERE {c} IS NOT NULL GROUP BY {c}) x""" for c in CAT_FEATURES])),
+          ids=("H3", "M4"))
+def q_category_levels(spark, sf_dir):
+    return FE.category_levels(modeled(spark, sf_dir), CAT_FEATURES)
+
+
+@register("encoded_feature_counts", with_fixture(union_all(
+    [f"SELECT '{c}' AS column_name, cast(1 AS bigint) AS n_features" for c in NUM_FEATURES]
+    + [f"SELECT '{c}' AS column_name, cast(count(DISTINCT {c}) AS bigint) AS n_features FROM hrrp_model"
+       for c in CAT_FEATURES])), ids=("E12", "M5"))
+def q_encoded_feature_counts(spark, sf_dir):
+    return FE.encoded_feature_counts(modeled(spark, sf_dir), NUM_FEATURES, CAT_FEATURES)
+
+
+@register("class_weights", with_fixture("""
+SELECT is_penalized, cast(count(*) AS bigint) AS n_c,
+       (SELECT count(*) FROM hrrp_model) / ((SELECT count(DISTINCT is_penalized) FROM hrrp_model) * cast(count(*) AS double)) AS weight
+FROM hrrp_model GROUP BY is_penalized"""), ids=("M15",))
+def q_class_weights(spark, sf_dir):
+    return FE.class_weights(modeled(spark, sf_dir))
+
+
+_CLS = "cls AS (SELECT is_penalized, count(*) AS n_c, (2 * count(*) + 5) // 10 AS n_test FROM hrrp_clean GROUP BY is_penalized)"
+
+
+@register("split_sizes", with_fixture("""
+SELECT 'test' AS split, is_penalized, cast(n_test AS bigint) AS n_rows FROM cls WHERE n_test > 0
+UNION ALL
+SELECT 'train' AS split, is_penalized, cast(n_c - n_test AS bigint) AS n_rows FROM cls WHERE n_c > n_test""", _CLS),
+          ids=("M7", "E12"))
+def q_split_sizes(spark, sf_dir):
+    sp = FE.stratified_split(cleaned(spark, sf_dir), ["facility_id", C.MEASURE])
+    return sp.groupBy("split", C.LABEL).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("fold_sizes", with_fixture("""
+SELECT cast(f AS integer) AS fold, is_penalized, cast((n_c - n_test - f + 4) // 5 AS bigint) AS n_rows
+FROM cls, (VALUES (0), (1), (2), (3), (4)) AS fs(f) WHERE (n_c - n_test - f + 4) // 5 > 0""", _CLS), ids=("M8",))
+def q_fold_sizes(spark, sf_dir):
+    sp = FE.stratified_split(cleaned(spark, sf_dir), ["facility_id", C.MEASURE])
+    return sp.where(F.col("split") == "train").groupBy("fold", C.LABEL).agg(F.count(F.lit(1)).alias("n_rows"))
