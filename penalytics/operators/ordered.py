@@ -15,14 +15,29 @@ range-partition + offsets pattern:
 Each task holds one range, never a whole class.  Groups are expected to be
 few (labels, model names, column names): the offsets table grows with
 N x groups.
+
+Size check first: the largest group is counted (one small aggregate).  When
+every group has at most ``WINDOW_LIMIT`` rows, a plain window partitioned by
+the group is exact and needs far fewer jobs; beyond that the range path is
+taken, so no task ever holds more than a bounded group.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _PID = "_range_id"
+# Largest group (rows) a single window task may hold.
+WINDOW_LIMIT = 1_000_000
+
+
+def largest_group(df: DataFrame, group_cols: list[str]) -> int:
+    """Row count of the largest group (0 for an empty frame): one aggregate job."""
+    counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.agg(F.max("_n")).first()[0] or 0
 
 
 def _num_ranges(df: DataFrame, num_ranges: int | None) -> int:
@@ -33,13 +48,18 @@ def _num_ranges(df: DataFrame, num_ranges: int | None) -> int:
 
 def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str],
                 weight_cols: list[str], num_ranges: int | None = None,
-                prefix: str = "cum_") -> DataFrame:
+                prefix: str = "cum_", window_limit: int | None = WINDOW_LIMIT) -> DataFrame:
     """Inclusive running sums of ``weight_cols`` within each group, in order.
 
     ``group_cols + order_cols`` should identify a row; ties would be summed in
     an arbitrary order (the inclusive sum of tied rows is still exact when
     rows are pre-aggregated to one row per order key).
     """
+    if window_limit and largest_group(df, group_cols) <= window_limit:
+        whole = Window.partitionBy(*group_cols).orderBy(*order_cols) \
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select("*", *[F.sum(w).over(whole).alias(f"{prefix}{w}") for w in weight_cols])
+
     n = _num_ranges(df, num_ranges)
     keys = [F.col(c) for c in group_cols + order_cols]
     ranged = df.repartitionByRange(n, *keys).withColumn(_PID, F.spark_partition_id())
@@ -60,10 +80,11 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str],
 
 
 def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                name: str = "rank", num_ranges: int | None = None) -> DataFrame:
+                name: str = "rank", num_ranges: int | None = None,
+                window_limit: int | None = WINDOW_LIMIT) -> DataFrame:
     """0-based position of each row within its group; order must be total."""
     out = running_sum(df.withColumn("_one", F.lit(1)), group_cols, order_cols, ["_one"],
-                      num_ranges, prefix="_cum")
+                      num_ranges, prefix="_cum", window_limit=window_limit)
     return out.withColumn(name, F.col("_cum_one") - 1).drop("_one", "_cum_one")
 
 
@@ -75,29 +96,43 @@ def _long_values(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    num_ranges: int | None = None) -> DataFrame:
+                    num_ranges: int | None = None, window_limit: int | None = WINDOW_LIMIT) -> DataFrame:
     """Exact linear-interpolation quantiles: (column_name, prob, quantile).
 
     Position (n-1)p between the order statistics floor and ceil, as in
     numpy's default, DuckDB ``quantile_cont`` and Spark ``percentile``, but
     computed with a bounded state per task: values are first reduced to
-    (value, count) pairs, then ranked with ``running_sum``.
+    (value, count) pairs, then ranked.  The per-column sizes (one row per
+    column) are collected first; they decide between one window per column
+    (at most ``window_limit`` distinct values) and the range path.
     """
     vc = _long_values(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("c"))
-    cum = running_sum(vc, ["column_name"], ["value"], ["c"], num_ranges)
-
-    sizes = vc.groupBy("column_name").agg(F.sum("c").alias("n"))
-    prob_arr = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (sizes.select(F.col("column_name").alias("t_column"), "n", F.explode(prob_arr).alias("prob"))
-               .withColumn("pos", (F.col("n") - 1) * F.col("prob"))
-               .withColumn("k_lo", F.floor("pos"))
-               .withColumn("k_hi", F.ceil("pos")))
-    # targets has len(columns) x len(probs) rows: a size fixed by the call.
-    t = F.broadcast(targets)
+    # One row per column: n values and n distinct values (bounded by the call).
+    sizes = {r["column_name"]: (r["n"], r["nd"]) for r in
+             vc.groupBy("column_name").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("nd")).collect()}
+    if not sizes:
+        return df.sparkSession.createDataFrame([], "column_name string, prob double, quantile double")
+    largest = max(nd for _, nd in sizes.values())
+    if window_limit and largest <= window_limit:
+        upto = Window.partitionBy("column_name").orderBy("value") \
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cum = vc.select("*", F.sum("c").over(upto).alias("cum_c"))
+    else:
+        cum = running_sum(vc, ["column_name"], ["value"], ["c"], num_ranges, window_limit=None)
+
+    # (column, prob, pos, k_lo, k_hi) targets: a literal table of len(columns) x len(probs).
+    targets = []
+    for c, (n, _) in sizes.items():
+        for p in probs:
+            pos = (n - 1) * float(p)
+            targets.append(F.struct(F.lit(c).alias("t_column"), F.lit(float(p)).alias("prob"),
+                                    F.lit(pos).alias("pos"), F.lit(math.floor(pos)).alias("k_lo"),
+                                    F.lit(math.ceil(pos)).alias("k_hi")))
     lo_excl = F.col("cum_c") - F.col("c")
     hit_lo = (lo_excl <= F.col("k_lo")) & (F.col("k_lo") < F.col("cum_c"))
     hit_hi = (lo_excl <= F.col("k_hi")) & (F.col("k_hi") < F.col("cum_c"))
-    matched = cum.join(t, (F.col("column_name") == F.col("t_column")) & (hit_lo | hit_hi)).select(
+    matched = cum.select("*", F.inline(F.array(*targets))).where(
+        (F.col("column_name") == F.col("t_column")) & (hit_lo | hit_hi)).select(
         "column_name", "prob", "pos", "k_lo",
         F.when(hit_lo, F.col("value")).alias("v_lo"),
         F.when(hit_hi, F.col("value")).alias("v_hi"))

@@ -19,6 +19,10 @@ from . import rules_sql as RS
 from . import metrics_sql as MS
 from ..operators import metrics as M
 from ..operators import features as FE
+from ..operators import models as MD
+from ..session import shared_path
+from ..sources.votes import row_id as make_row_id
+from ..streaming import scoring as ST
 from ..sources.votes import votes as make_votes
 from ..sources.dimensions import benchmark_dim, benchmark_values_sql, state_dim, state_values_sql
 from ..sources.fixture import RAW_COLUMNS
@@ -585,3 +589,105 @@ FROM cls, (VALUES (0), (1), (2), (3), (4)) AS fs(f) WHERE (n_c - n_test - f + 4)
 def q_fold_sizes(spark, sf_dir):
     sp = FE.stratified_split(cleaned(spark, sf_dir), ["facility_id", C.MEASURE])
     return sp.where(F.col("split") == "train").groupBy("fold", C.LABEL).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# ---------------------------------------------------------------- fitted models (rows-only checks)
+
+_FITTED: dict = {}
+
+
+def split_frame(spark, sf_dir):
+    c = cleaned(spark, sf_dir)
+    return FE.stratified_split(c.withColumn("row_id", make_row_id(c)), ["facility_id", C.MEASURE])
+
+
+def fitted_model(spark, sf_dir, name):
+    """Fit once per (application, input, model) and reuse; the fit is eager
+    and distributed, the model itself is a few KB of parameters."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _FITTED:
+        data = MD.training_frame(split_frame(spark, sf_dir))
+        _FITTED[key] = MD.fit_pipeline(name, data.where(F.col("split") == "train"))
+    return _FITTED[key]
+
+
+def scored_rows(spark, sf_dir, name):
+    data = MD.training_frame(split_frame(spark, sf_dir))
+    out = MD.score(fitted_model(spark, sf_dir, name), data, name)
+    return out.select("row_id", "facility_id", C.MEASURE, "split", "fold",
+                      F.col(C.LABEL).alias("label"), "model", "prediction", "probability")
+
+
+def _register_model_query(name, short):
+    @register(f"model_scores_{short.lower()}", None, ids=("M9-M14", "M16", "M17", "M4", "M5", "M6"))
+    def q(spark, sf_dir):
+        return scored_rows(spark, sf_dir, name)
+    return q
+
+
+for _name, _short in M.MODEL_NAMES:
+    _register_model_query(_name, _short)
+
+
+def all_scored(spark, sf_dir):
+    out = None
+    for name, _ in M.MODEL_NAMES:
+        s = scored_rows(spark, sf_dir, name)
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@register("model_comparison_fitted", None, ids=("E1-E8", "E10", "M16"))
+def q_model_comparison_fitted(spark, sf_dir):
+    s = all_scored(spark, sf_dir)
+    test = s.where(F.col("split") == "test")
+    train = s.where(F.col("split") == "train")
+    tm = M.binary_metrics(test, [M.MODEL]).select(M.MODEL, F.col("accuracy").alias("test_accuracy"),
+                                                  "precision", "recall", "f1")
+    tr = train.groupBy(M.MODEL).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))
+                                    .alias("train_accuracy"))
+    return tr.join(tm, M.MODEL).join(M.roc_auc(test, [M.MODEL]), M.MODEL)
+
+
+@register("consensus_fitted", None, ids=("M18", "M16", "M17", "A19"))
+def q_consensus_fitted(spark, sf_dir):
+    s = all_scored(spark, sf_dir).where(F.col("split") == "test")
+    return M.consensus(s, "row_id")
+
+
+@register("cv_scores_lr", None, ids=("M8", "E9", "A18"))
+def q_cv_scores_lr(spark, sf_dir):
+    folds = MD.cross_validate("Logistic Regression", split_frame(spark, sf_dir))
+    return folds.groupBy("model").agg(F.avg("accuracy").alias("cv_mean"), F.stddev_pop("accuracy").alias("cv_std"),
+                                      F.count(F.lit(1)).alias("n_folds"))
+
+
+@register("sample_test_rows", None, ids=("T8", "M19"))
+def q_sample_test_rows(spark, sf_dir):
+    pm = M.prediction_matrix(votes_frame(spark, sf_dir).where(F.col("split") == "test"))
+    return pm.orderBy(F.xxhash64("row_id", F.lit(42)), "row_id").limit(5)
+
+
+# ---------------------------------------------------------------- streaming (L1, L2)
+
+def _requests(spark, sf_dir):
+    c = cleaned(spark, sf_dir)
+    return ST.scoring_requests(c, make_row_id(c))
+
+
+@register("stream_rule_scores", None, ids=("L2", "F7"))
+def q_stream_rule_scores(spark, sf_dir):
+    folder = ST.write_request_files(_requests(spark, sf_dir), shared_path(spark, "requests"))
+    stream = ST.request_stream(spark, folder).select("request_id", *ST._rule_exprs())
+    return ST.run_available(stream, spark, "rule-scores")
+
+
+@register("stream_model_scores", None, ids=("L1", "F7"))
+def q_stream_model_scores(spark, sf_dir):
+    name = "Logistic Regression"
+    path = shared_path(spark, "model-lr")
+    fitted_model(spark, sf_dir, name).write().overwrite().save(path)
+    model = MD.PipelineModel.load(path)
+    folder = ST.write_request_files(_requests(spark, sf_dir), shared_path(spark, "requests"))
+    stream = ST.model_scores(ST.request_stream(spark, folder), model, name)
+    return ST.run_available(stream, spark, "model-scores")
