@@ -24,7 +24,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, MultilayerPerceptronClassifier,
@@ -220,17 +220,26 @@ def training_partitions(n_rows: int, current: int) -> int:
 
 
 def fit_pipeline(name: str, train: DataFrame, fast: bool = False) -> PipelineModel:
-    """Fit preprocessing + classifier on the training rows."""
-    pre = Pipeline(stages=preprocessing_stages()).fit(train)
-    n_train = train.count()
-    transformed = pre.transform(train)
-    parts = training_partitions(n_train, transformed.rdd.getNumPartitions())
-    prepared = transformed.coalesce(parts).persist()
+    """Fit preprocessing + classifier on the training rows.
+
+    The training rows are persisted (memory, spilling to disk) for the length
+    of the fit so the several preprocessing passes do not recompute their
+    lineage; a lost executor only means recomputing its blocks from it.
+    """
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = None
     try:
+        n_train = train.count()
+        pre = Pipeline(stages=preprocessing_stages()).fit(train)
+        transformed = pre.transform(train)
+        parts = training_partitions(n_train, transformed.rdd.getNumPartitions())
+        prepared = transformed.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
         n_features = prepared.select("features").first()["features"].size
         clf = Pipeline(stages=classifier_stages(name, n_train, n_features, fast)).fit(prepared)
     finally:
-        prepared.unpersist()
+        if prepared is not None:
+            prepared.unpersist()
+        train.unpersist()
     return PipelineModel(stages=list(pre.stages) + list(clf.stages))
 
 
@@ -252,13 +261,18 @@ def fit_and_score(name: str, split_df: DataFrame, fast: bool = False) -> DataFra
 
 def cross_validate(name: str, split_df: DataFrame, folds: int = 5, fast: bool = False) -> DataFrame:
     """M8: refit on the training rows of k-1 folds, score the held-out fold.
-    Returns (model, fold, accuracy) per fold; A18 summarises them."""
-    data = training_frame(split_df.where(F.col("split") == "train"))
-    out = None
-    for f in range(folds):
-        model = fit_pipeline(name, data.where(F.col("fold") != f), fast)
-        held = score(model, data.where(F.col("fold") == f), name)
-        acc = held.groupBy("model").agg(F.avg((F.col("prediction") == F.col(LABEL)).cast("double")).alias("accuracy")) \
-            .withColumn("fold", F.lit(f))
-        out = acc if out is None else out.unionByName(acc)
-    return out
+
+    Returns (model, fold, accuracy): one row per fold, computed eagerly while
+    the training rows are persisted; A18 summarises them.
+    """
+    data = training_frame(split_df.where(F.col("split") == "train")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = []
+    try:
+        for f in range(folds):
+            model = fit_pipeline(name, data.where(F.col("fold") != f), fast)
+            held = score(model, data.where(F.col("fold") == f), name)
+            acc = held.agg(F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))).first()[0]
+            rows.append((name, f, acc))
+    finally:
+        data.unpersist()
+    return split_df.sparkSession.createDataFrame(rows, "model string, fold int, accuracy double")
