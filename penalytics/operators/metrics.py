@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import binary_label
 from .ordered import running_sum
 
 MODEL = "model"
@@ -204,6 +205,7 @@ def consensus(votes: DataFrame, key: str = "row_id") -> DataFrame:
         F.avg(F.col(PROB)).alias("mean_probability"))
     return v.select(key, "n_votes", "n_models",
                     (F.col("n_votes") >= F.col("n_models") / 2).cast("int").alias("consensus"),
+                    binary_label((F.col("n_votes") >= F.col("n_models") / 2).cast("int")).alias("consensus_label"),
                     (F.col("n_votes") / F.col("n_models")).alias("vote_fraction"),
                     "mean_probability",
                     F.concat_ws("/", F.col("n_votes").cast("string"), F.col("n_models").cast("string"))

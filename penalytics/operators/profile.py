@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import NA_TOKENS
+from ..functions.scalar import round_half_even
 from .ordered import exact_quantiles
 
 
@@ -58,7 +59,8 @@ def missing_profile(df: DataFrame, na_tokens: bool = True) -> DataFrame:
         position[F.col("column_name")].alias("position"),
         types[F.col("column_name")].alias("data_type"),
         "missing_count",
-        (F.lit(100.0) * F.col("missing_count") / F.col("_n")).alias("missing_pct"))
+        (F.lit(100.0) * F.col("missing_count") / F.col("_n")).alias("missing_pct"),
+        round_half_even(F.lit(100.0) * F.col("missing_count") / F.col("_n"), 2).alias("missing_pct_2dp"))
 
 
 def missing_top(df: DataFrame, k: int = 10) -> DataFrame:

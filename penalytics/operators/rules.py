@@ -299,6 +299,7 @@ def score_table(df: DataFrame, key: list[str]) -> DataFrame:
         probability_band(prob).alias("probability_band"),
         confidence(prob).alias("confidence"),
         (1 - prob).alias("safe_probability"),
+        (100 - prob * 100).cast("int").alias("safe_pct_int"),
         is_priority_condition(c).alias("priority_condition"))
 
 

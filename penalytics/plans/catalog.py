@@ -6,6 +6,7 @@ work grows with them.  Column names match the oracle SQL exactly.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,17 +27,36 @@ from ..streaming import scoring as ST
 from ..sources.votes import votes as make_votes
 from ..sources.dimensions import benchmark_dim, benchmark_values_sql, state_dim, state_values_sql
 from ..sources.fixture import RAW_COLUMNS
+from ..sources import csv_loader as CSV
 from ..sources.fixture import hrrp_raw
 from .oracle import sql_list, union_all, with_fixture
 from .registry import register
 
 
+# S4 cached load: the raw view is derived from the whole test tables once per
+# (application, input folder) and kept (memory, spilling to disk); cleaning and
+# every analysis run on it, as the reference memoises its loaded table.  Lost
+# blocks are recomputed from the lineage (the parquet scans).
+_VIEWS: dict = {}
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hrrp_raw(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, "raw")
+    df = _VIEWS.get(key)
+    if df is None:
+        df = hrrp_raw(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        _VIEWS[key] = df
+    return df
+
+
+def drop_cached_views() -> None:
+    for df in _VIEWS.values():
+        df.unpersist()
+    _VIEWS.clear()
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.clean(hrrp_raw(spark, sf_dir))
+    return C.clean(raw(spark, sf_dir))
 
 
 def modeled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,11 +156,13 @@ _NA_SQL = sql_list(NA_TOKENS)
 _MISSING_RAW = union_all([f"""
 SELECT '{c}' AS column_name, cast({i} AS integer) AS position, 'string' AS data_type,
        cast(sum(CASE WHEN {c} IS NULL OR trim({c}) IN ({_NA_SQL}) THEN 1 ELSE 0 END) AS bigint) AS missing_count,
-       100.0e0 * sum(CASE WHEN {c} IS NULL OR trim({c}) IN ({_NA_SQL}) THEN 1 ELSE 0 END) / count(*) AS missing_pct
+       100.0e0 * sum(CASE WHEN {c} IS NULL OR trim({c}) IN ({_NA_SQL}) THEN 1 ELSE 0 END) / count(*) AS missing_pct,
+       round_even(100.0e0 * sum(CASE WHEN {c} IS NULL OR trim({c}) IN ({_NA_SQL}) THEN 1 ELSE 0 END) / count(*), 2)
+         AS missing_pct_2dp
 FROM hrrp_raw""" for i, c in enumerate(RAW_COLUMNS)])
 
 
-@register("missing_profile", with_fixture(_MISSING_RAW), ids=("A3", "S3", "S7"))
+@register("missing_profile", with_fixture(_MISSING_RAW), ids=("A3", "S3", "S7", "F3"))
 def q_missing_profile(spark, sf_dir):
     return PR.missing_profile(raw(spark, sf_dir))
 
@@ -148,7 +170,8 @@ def q_missing_profile(spark, sf_dir):
 _MISSING_MODEL = union_all([f"""
 SELECT '{c}' AS column_name, cast({i} AS integer) AS position, '{t}' AS data_type,
        cast(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS bigint) AS missing_count,
-       100.0e0 * sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) / count(*) AS missing_pct
+       100.0e0 * sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) / count(*) AS missing_pct,
+       round_even(100.0e0 * sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) / count(*), 2) AS missing_pct_2dp
 FROM hrrp_model""" for i, (c, t) in enumerate(zip(MODEL_COLUMNS, MODEL_TYPES))])
 
 
@@ -377,7 +400,7 @@ def q_risk_drivers_v3(spark, sf_dir):
     return R.driver_report_v3(cleaned(spark, sf_dir), ROW_KEY)
 
 
-@register("risk_scores", RS.score_table_sql(), ids=("R3", "R5", "R11", "R12", "R13", "R14", "R16", "F1", "F2"))
+@register("risk_scores", RS.score_table_sql(), ids=("R3", "R5", "R11", "R12", "R13", "R14", "R16", "F1", "F2", "F5", "F11"))
 def q_risk_scores(spark, sf_dir):
     return R.score_table(cleaned(spark, sf_dir), ROW_KEY)
 
@@ -414,7 +437,7 @@ def q_votes_table(spark, sf_dir):
     return votes_frame(spark, sf_dir)
 
 
-@register("model_metrics", MS.model_metrics_sql(), ids=("E1", "E2", "E3", "E4"))
+@register("model_metrics", MS.model_metrics_sql(), ids=("E1", "E2-4"))
 def q_model_metrics(spark, sf_dir):
     return M.binary_metrics(votes_frame(spark, sf_dir), [M.MODEL, "split"])
 
@@ -478,7 +501,7 @@ def q_model_ranking(spark, sf_dir):
     return M.model_ranking(_comparison(spark, sf_dir))
 
 
-@register("consensus_votes", MS.consensus_sql(), ids=("M18", "A19"))
+@register("consensus_votes", MS.consensus_sql(), ids=("M18", "A19", "F10"))
 def q_consensus_votes(spark, sf_dir):
     return M.consensus(votes_frame(spark, sf_dir))
 
@@ -597,8 +620,16 @@ _FITTED: dict = {}
 
 
 def split_frame(spark, sf_dir):
-    c = cleaned(spark, sf_dir)
-    return FE.stratified_split(c.withColumn("row_id", make_row_id(c)), ["facility_id", C.MEASURE])
+    """The cleaned view with its deterministic split / fold columns, kept with
+    the cached view (same key and life time)."""
+    key = (spark.sparkContext.applicationId, sf_dir, "split")
+    df = _VIEWS.get(key)
+    if df is None:
+        c = cleaned(spark, sf_dir)
+        df = FE.stratified_split(c.withColumn("row_id", make_row_id(c)), ["facility_id", C.MEASURE]) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        _VIEWS[key] = df
+    return df
 
 
 def fitted_model(spark, sf_dir, name):
@@ -618,8 +649,11 @@ def scored_rows(spark, sf_dir, name):
                       F.col(C.LABEL).alias("label"), "model", "prediction", "probability")
 
 
+MODEL_IDS = {"LR": "M9", "DT": "M10", "SVM": "M11", "RF": "M12", "GB": "M13", "MLP": "M14"}
+
+
 def _register_model_query(name, short):
-    @register(f"model_scores_{short.lower()}", None, ids=("M9-M14", "M16", "M17", "M4", "M5", "M6"))
+    @register(f"model_scores_{short.lower()}", None, ids=(MODEL_IDS[short], "M15", "M16", "M17", "M4", "M5", "M6"))
     def q(spark, sf_dir):
         return scored_rows(spark, sf_dir, name)
     return q
@@ -691,3 +725,15 @@ def q_stream_model_scores(spark, sf_dir):
     folder = ST.write_request_files(_requests(spark, sf_dir), shared_path(spark, "requests"))
     stream = ST.model_scores(ST.request_stream(spark, folder), model, name)
     return ST.run_available(stream, spark, "model-scores")
+
+
+# ---------------------------------------------------------------- CSV source
+
+@register("csv_load_roundtrip", with_fixture("SELECT " + ", ".join(
+    f"CASE WHEN trim({c}) IN ({_NA_SQL}) THEN NULL ELSE {c} END AS {c}" for c in RAW_COLUMNS) + " FROM hrrp_raw"),
+    ids=("S1", "S2", "S3", "S4"))
+def q_csv_load_roundtrip(spark, sf_dir):
+    """The raw view written as header CSV to the shared folder and read back
+    with the explicit all-string schema and NA-token handling."""
+    path = CSV.write_csv(raw(spark, sf_dir), shared_path(spark, "hrrp-csv"))
+    return CSV.load_hrrp_csv(spark, path)

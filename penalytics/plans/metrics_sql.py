@@ -162,6 +162,7 @@ FROM comp""", *_comp_ctes())
 def consensus_sql() -> str:
     return _v("""
 SELECT row_id, n_votes, n_models, cast(n_votes >= n_models / 2 AS integer) AS consensus,
+       CASE WHEN n_votes >= n_models / 2 THEN 'PENALIZED' ELSE 'NOT PENALIZED' END AS consensus_label,
        cast(n_votes AS double) / n_models AS vote_fraction, mean_probability,
        cast(n_votes AS varchar) || '/' || cast(n_models AS varchar) AS models_agree
 FROM (SELECT row_id, cast(sum(prediction) AS bigint) AS n_votes, cast(count(*) AS bigint) AS n_models,

@@ -107,6 +107,7 @@ SELECT {KEY}, s AS risk_score, {ratio_g()} AS excess_ratio, {rpct()} AS readmiss
             WHEN pr IS NOT NULL THEN 'high' END AS probability_band,
        CASE WHEN pr IS NULL THEN NULL ELSE greatest(pr, 1 - pr) END AS confidence,
        1 - pr AS safe_probability,
+       cast(trunc(100 - pr * 100) AS integer) AS safe_pct_int,
        {priority()} AS priority_condition
 FROM (SELECT *, {s} AS s, {prob} AS pr FROM rr) x""", BASE)
 
