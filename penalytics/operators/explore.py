@@ -67,21 +67,27 @@ def distinct_sorted(df: DataFrame, key: str) -> DataFrame:
     return df.select(key).where(F.col(key).isNotNull()).distinct()
 
 
-def histogram_by_label(df: DataFrame, column: str, bins: int = 30, label: str = LABEL) -> DataFrame:
-    """Equal-width histogram of ``column`` split by label.
-
-    Bin i covers [lo + i*w, lo + (i+1)*w), the last bin is closed.  lo and hi
-    are scalar subqueries (one global aggregate each, evaluated once).
+def histogram_by_label(df: DataFrame, column: str | list[str], bins: int = 30,
+                       label: str = LABEL) -> DataFrame:
+    """Equal-width histograms split by label, for one or many columns.
+
+    Bin i covers [lo + i*w, lo + (i+1)*w), the last bin is closed.  All
+    columns go through one long (column_name, value, label) pass: the (lo, hi)
+    bounds are one grouped aggregate with a row per column (a size fixed by
+    the call, hence broadcast), then one grouped count per (column, bin, label).
     """
-    v = F.col(column)
-    lo = df.agg(F.min(v)).scalar()
-    hi = df.agg(F.max(v)).scalar()
+    columns = [column] if isinstance(column, str) else list(column)
+    long = df.select(F.col(label), *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        ids=[label], values=columns, variableColumnName="column_name", valueColumnName="value") \
+        .where(F.col("value").isNotNull())
+    bounds = long.groupBy("column_name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    lo, hi, v = F.col("lo"), F.col("hi"), F.col("value")
     nb = F.lit(float(bins))
-    raw_bin = F.floor((v - lo) / ((hi - lo) / nb))
-    b = F.when(hi == lo, F.lit(0)).otherwise(F.least(raw_bin, F.lit(bins - 1))).cast("int")
-    counts = (df.where(v.isNotNull()).select(b.alias("bin"), F.col(label))
-              .groupBy("bin", label).agg(F.count(F.lit(1)).alias("n_rows")))
-    return counts.select(F.lit(column).alias("column_name"), "bin", label, "n_rows",
+    b = F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor((v - lo) / ((hi - lo) / nb)), F.lit(bins - 1)))
+    counts = (long.join(F.broadcast(bounds), "column_name")
+              .groupBy("column_name", b.cast("int").alias("bin"), label, "lo", "hi")
+              .agg(F.count(F.lit(1)).alias("n_rows")))
+    return counts.select("column_name", "bin", label, "n_rows",
                          (lo + F.col("bin") * (hi - lo) / nb).alias("bin_start"),
                          (lo + (F.col("bin") + 1) * (hi - lo) / nb).alias("bin_end"))
 

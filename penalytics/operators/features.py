@@ -14,8 +14,9 @@ them as params (so ``PipelineModel.save`` persists them); transforming is a
 projection with literals.
 
 The stratified split ranks rows inside each class by a seeded hash with
-``rank_within`` (range partitions + offsets), so no class is gathered into
-one task, and gives exact per-class test sizes.
+``rank_within`` (a size-checked window, or range partitions + offsets for
+large classes), so no unbounded class is gathered into one task, and gives
+exact per-class test sizes.
 """
 
 from __future__ import annotations
@@ -190,3 +191,19 @@ def stratified_split(df: DataFrame, key: list[str], label: str = LABEL, seed: in
         F.when(is_test, "test").otherwise("train").alias("split"),
         F.when(is_test, F.lit(None)).otherwise((F.col("_rank") - F.col("_n_test")) % folds)
         .cast("int").alias("fold"))
+
+
+def one_hot_columns(df: DataFrame, cols: list[str], prefix_sep: str = "_") -> DataFrame:
+    """H3: dummy 0/1 columns ``<col>_<level>`` for every level present, in
+    alphabetical order, the source columns replaced (get_dummies semantics).
+
+    The vocabulary is collected first, like ``StringIndexer`` does: its size is
+    the number of distinct levels, not the number of rows.
+    """
+    levels: dict[str, list[str]] = {c: [] for c in cols}
+    for r in category_levels(df, cols).orderBy("column_name", "level_index").collect():
+        levels[r["column_name"]].append(r["level"])
+    keep = [F.col(c) for c in df.columns if c not in cols]
+    dummies = [F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}{prefix_sep}{v}")
+               for c in cols for v in levels[c]]
+    return df.select(*keep, *dummies)

@@ -226,7 +226,9 @@ def fit_pipeline(name: str, train: DataFrame, fast: bool = False) -> PipelineMod
     of the fit so the several preprocessing passes do not recompute their
     lineage; a lost executor only means recomputing its blocks from it.
     """
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    owned = train.storageLevel == StorageLevel.NONE
+    if owned:
+        train = train.persist(StorageLevel.MEMORY_AND_DISK)
     prepared = None
     try:
         n_train = train.count()
@@ -239,10 +241,35 @@ def fit_pipeline(name: str, train: DataFrame, fast: bool = False) -> PipelineMod
     finally:
         if prepared is not None:
             prepared.unpersist()
-        train.unpersist()
+        if owned:
+            train.unpersist()
     return PipelineModel(stages=list(pre.stages) + list(clf.stages))
 
 
+def fit_many(names: list[str], train: DataFrame, fast: bool = False,
+             parallelism: int | None = None) -> dict[str, PipelineModel]:
+    """Fit several registry models concurrently on the same training rows.
+
+    Each fit is a chain of small jobs; running them from a thread pool (as
+    ``CrossValidator(parallelism=...)`` does) lets the scheduler interleave
+    their tasks on the executors instead of leaving cores idle between jobs.
+    The training rows are persisted once for all of them.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.util import inheritable_thread_target
+
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        train.count()
+        with ThreadPoolExecutor(max_workers=parallelism or max(1, len(names))) as pool:
+            target = inheritable_thread_target(train.sparkSession)(fit_pipeline)
+            futures = {n: pool.submit(target, n, train, fast) for n in names}
+            return {n: f.result() for n, f in futures.items()}
+    finally:
+        train.unpersist()
+
+
 def score(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
     """Label and P(class 1) for every row (probability vector element 1)."""
     out = model.transform(df)
@@ -259,20 +286,30 @@ def fit_and_score(name: str, split_df: DataFrame, fast: bool = False) -> DataFra
     return score(model, data, name).drop("class_weight")
 
 
-def cross_validate(name: str, split_df: DataFrame, folds: int = 5, fast: bool = False) -> DataFrame:
+def cross_validate(name: str, split_df: DataFrame, folds: int = 5, fast: bool = False,
+                   parallelism: int | None = None) -> DataFrame:
     """M8: refit on the training rows of k-1 folds, score the held-out fold.
 
-    Returns (model, fold, accuracy): one row per fold, computed eagerly while
-    the training rows are persisted; A18 summarises them.
+    Folds are fitted concurrently (thread pool, like ``CrossValidator``'s
+    ``parallelism``) over the persisted training rows.  Returns (model, fold,
+    accuracy): one row per fold, computed eagerly; A18 summarises them.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.util import inheritable_thread_target
+
     data = training_frame(split_df.where(F.col("split") == "train")).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
+
+    def one(f: int) -> tuple:
+        model = fit_pipeline(name, data.where(F.col("fold") != f), fast)
+        held = score(model, data.where(F.col("fold") == f), name)
+        return (name, f, held.agg(F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))).first()[0])
+
     try:
-        for f in range(folds):
-            model = fit_pipeline(name, data.where(F.col("fold") != f), fast)
-            held = score(model, data.where(F.col("fold") == f), name)
-            acc = held.agg(F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))).first()[0]
-            rows.append((name, f, acc))
+        data.count()
+        with ThreadPoolExecutor(max_workers=parallelism or folds) as pool:
+            target = inheritable_thread_target(data.sparkSession)(one)
+            rows = list(pool.map(target, range(folds)))
     finally:
         data.unpersist()
     return split_df.sparkSession.createDataFrame(rows, "model string, fold int, accuracy double")

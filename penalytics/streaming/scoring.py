@@ -63,7 +63,8 @@ def write_request_files(requests: DataFrame, folder: str, parts: int = 4) -> str
     """split requests by request_id % parts into one Parquet folder each
     (as separate files so ``maxFilesPerTrigger`` yields several batches)."""
     bucket = F.pmod(F.col("request_id"), F.lit(parts))
-    requests.withColumn("_part", bucket).write.mode("overwrite").partitionBy("_part").parquet(folder)
+    (requests.withColumn("_part", bucket).repartition(parts, "_part")
+     .write.mode("overwrite").partitionBy("_part").parquet(folder))
     return folder
 
 

@@ -59,3 +59,10 @@ def test_population_scaler(spark):
     assert vals == pytest.approx([-2 / sd, 0.0, 2 / sd])
     const = spark.createDataFrame([(4.0,), (4.0,)], "x double")
     assert [r["x_scaled"] for r in FE.PopulationScaler(inputCols=["x"]).fit(const).transform(const).collect()] == [0.0, 0.0]
+
+
+def test_one_hot_columns(spark):
+    df = spark.createDataFrame([(1, "b", "x"), (2, "a", None), (3, "b", "y")], "id int, s string, t string")
+    out = FE.one_hot_columns(df, ["s", "t"]).orderBy("id")
+    assert out.columns == ["id", "s_a", "s_b", "t_x", "t_y"]
+    assert [tuple(r)[1:] for r in out.collect()] == [(0, 1, 1, 0), (1, 0, 0, 0), (0, 1, 0, 1)]
