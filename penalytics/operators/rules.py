@@ -152,8 +152,11 @@ def drivers_v2(pred: Column, exp: Column, readm: Column, disch: Column) -> Colum
 # ---------------------------------------------------------------- R3 score, R4 drivers v3
 
 def risk_score_v3(pred: Column, exp: Column, readm: Column, disch: Column, cond: Column) -> Column:
-    ratio = ratio_guarded(pred, exp)
-    rpct = readmission_pct(readm, disch)
+    return score_from(ratio_guarded(pred, exp), readmission_pct(readm, disch), disch, cond)
+
+
+def score_from(ratio: Column, rpct: Column, disch: Column, cond: Column) -> Column:
+    """R3 from an already computed guarded ratio and readmission percentage."""
     raw = ((ratio - 0.9) * 45
            + _pos(rpct - 15) * 3
            + _pos((F.lit(25.0) - disch) / 3) * 12
@@ -164,7 +167,10 @@ def risk_score_v3(pred: Column, exp: Column, readm: Column, disch: Column, cond:
 def drivers_v3(pred: Column, exp: Column, readm: Column, disch: Column, cond: Column) -> Column:
     ratio = ratio_guarded(pred, exp)
     rpct = readmission_pct(readm, disch)
-    score = risk_score_v3(pred, exp, readm, disch, cond)
+    return drivers_v3_from(ratio, rpct, score_from(ratio, rpct, disch, cond), disch, cond)
+
+
+def drivers_v3_from(ratio: Column, rpct: Column, score: Column, disch: Column, cond: Column) -> Column:
     conds_values = [
         (ratio > V3_RATIO, F.format_string("%.2fx", ratio)),
         (is_priority_condition(cond), prefix(cond, 25)),
@@ -213,7 +219,11 @@ def confidence(p: Column) -> Column:
 
 def risk_index(pred: Column, exp: Column) -> Column:
     """min(99, max(1, (ratio - 0.9) x 220))."""
-    x = (ratio_guarded(pred, exp) - 0.9) * 220
+    return risk_index_from(ratio_guarded(pred, exp))
+
+
+def risk_index_from(ratio: Column) -> Column:
+    x = (ratio - 0.9) * 220
     return _cap(F.when(x.isNull(), _null_double()).when(x < 1, F.lit(1.0)).otherwise(x), 99)
 
 
@@ -229,7 +239,11 @@ def exposure_a(pred: Column, exp: Column, disch: Column) -> tuple[Column, Column
 
 def exposure_b(pred: Column, exp: Column, disch: Column) -> Column:
     """min(max(ratio - 1, 0), 0.03) x discharges x 6000 (unguarded ratio)."""
-    over = ratio_unguarded(pred, exp) - 1
+    return exposure_b_from(ratio_unguarded(pred, exp), disch)
+
+
+def exposure_b_from(ratio_u: Column, disch: Column) -> Column:
+    over = ratio_u - 1
     mult = F.when(over.isNull(), _null_double()).when(over < 0, F.lit(0.0)).otherwise(over)
     return _cap(mult, EXPOSURE_B_CAP) * disch * EXPOSURE_B_PER_DISCHARGE
 
@@ -247,7 +261,10 @@ def gap_tier(pred: Column, exp: Column) -> Column:
 
 def ratio_tier(pred: Column, exp: Column) -> Column:
     """>1.1 immediate, >1.0 medium, else healthy."""
-    r = ratio_unguarded(pred, exp)
+    return ratio_tier_from(ratio_unguarded(pred, exp))
+
+
+def ratio_tier_from(r: Column) -> Column:
     return F.when(r > 1.1, "immediate").when(r > 1.0, "medium").otherwise("healthy")
 
 
@@ -262,6 +279,22 @@ def implied_readmissions(disch: Column, pred: Column) -> Column:
 
 
 # ---------------------------------------------------------------- DataFrame-level operators
+#
+# The operators below compute shared intermediates (ratios, percentage, score,
+# probability) in their own projection and refer to them by name.  Catalyst's
+# CollapseProject does not re-inline a non-trivial alias used more than once,
+# so each intermediate is evaluated once per row and the plan stays small.
+
+def staged(df: DataFrame, keep: list[str]) -> DataFrame:
+    """keep... + inputs + _rg (guarded ratio), _ru (unguarded), _rp (readm %),
+    _s (score), _pr (heuristic probability)."""
+    p, e, r, d, c = _cols()
+    base = df.select(*keep, PREDICTED, EXPECTED, READMISSIONS, DISCHARGES, MEASURE,
+                     ratio_guarded(p, e).alias("_rg"), ratio_unguarded(p, e).alias("_ru"),
+                     readmission_pct(r, d).alias("_rp"))
+    scored = base.select("*", score_from(F.col("_rg"), F.col("_rp"), d, c).alias("_s"))
+    return scored.select("*", heuristic_probability(F.col("_s")).alias("_pr"))
+
 
 def driver_report_v1(df: DataFrame, key: list[str]) -> DataFrame:
     """One row per (row, fired driver); rows with none keep one NULL row."""
@@ -277,20 +310,20 @@ def driver_report_v2(df: DataFrame, key: list[str]) -> DataFrame:
 
 def driver_report_v3(df: DataFrame, key: list[str]) -> DataFrame:
     """Ranked drivers with value text, weight and action."""
-    p, e, r, d, c = _cols()
-    return df.select(*key, F.inline_outer(drivers_v3(p, e, r, d, c)))
+    st = staged(df, key)
+    arr = drivers_v3_from(F.col("_rg"), F.col("_rp"), F.col("_s"), F.col(DISCHARGES), F.col(MEASURE))
+    return st.select(*key, F.inline_outer(arr))
 
 
 def score_table(df: DataFrame, key: list[str]) -> DataFrame:
     """R3, R5, R11-R14, R16 for every row."""
-    p, e, r, d, c = _cols()
-    score = risk_score_v3(p, e, r, d, c)
-    prob = heuristic_probability(score)
-    return df.select(
+    st = staged(df, key)
+    score, prob, d, c = F.col("_s"), F.col("_pr"), F.col(DISCHARGES), F.col(MEASURE)
+    return st.select(
         *key,
         score.alias("risk_score"),
-        ratio_guarded(p, e).alias("excess_ratio"),
-        readmission_pct(r, d).alias("readmission_pct"),
+        F.col("_rg").alias("excess_ratio"),
+        F.col("_rp").alias("readmission_pct"),
         payment_impact(d, score).alias("payment_impact"),
         severity_band(score).alias("severity"),
         executive_action(score).alias("action_plan"),
@@ -306,34 +339,38 @@ def score_table(df: DataFrame, key: list[str]) -> DataFrame:
 def index_exposure_table(df: DataFrame, key: list[str]) -> DataFrame:
     """R6-R10, R17, R18 for every row."""
     p, e, r, d, _ = _cols()
-    idx = risk_index(p, e)
-    rate_a, money_a = exposure_a(p, e, d)
-    return df.select(
+    rg, ru = F.col("_rg"), F.col("_ru")
+    base = df.select(*key, PREDICTED, EXPECTED, DISCHARGES,
+                     ratio_guarded(p, e).alias("_rg"), ratio_unguarded(p, e).alias("_ru"))
+    st = base.select("*", risk_index_from(rg).alias("_idx"),
+                     (_pos(rg - 1) * 0.5).alias("_rate_a"))
+    idx, rate_a = F.col("_idx"), F.col("_rate_a")
+    return st.select(
         *key,
         idx.alias("risk_index"),
         risk_index_band(idx).alias("risk_index_band"),
         rate_a.alias("penalty_rate"),
-        money_a.alias("exposure_a"),
-        exposure_b(p, e, d).alias("exposure_b"),
+        (rate_a * d * EXPOSURE_A_PER_DISCHARGE).alias("exposure_a"),
+        exposure_b_from(ru, d).alias("exposure_b"),
         (p - e).alias("gap"),
         gap_tier(p, e).alias("gap_tier"),
-        ratio_tier(p, e).alias("ratio_tier"),
-        threshold_flag(p, e).alias("threshold_flag"),
+        ratio_tier_from(ru).alias("ratio_tier"),
+        F.when(rg > 1.0, "Above Threshold").otherwise("Below Threshold").alias("threshold_flag"),
         implied_readmissions(d, p).alias("implied_readmissions"))
 
 
 def profile_axes(df: DataFrame, key: list[str], benchmark: str = "benchmark_penalty_rate") -> DataFrame:
     """The five radar axes, long form (key..., axis, value)."""
-    p, e, r, d, c = _cols()
-    score = risk_score_v3(p, e, r, d, c)
+    st = staged(df, key + [benchmark])
+    r, d = F.col(READMISSIONS), F.col(DISCHARGES)
     axes = F.array(
-        F.struct(F.lit("Penalty Risk").alias("axis"), score.alias("value")),
-        F.struct(F.lit("Excess Ratio").alias("axis"), (ratio_guarded(p, e) * 55).alias("value")),
+        F.struct(F.lit("Penalty Risk").alias("axis"), F.col("_s").alias("value")),
+        F.struct(F.lit("Excess Ratio").alias("axis"), (F.col("_rg") * 55).alias("value")),
         F.struct(F.lit("Volume").alias("axis"), (d / 60).alias("value")),
         F.struct(F.lit("Readmit Rate").alias("axis"),
                  F.when(d > 0, _div(r, d) * 110).otherwise(F.lit(0.0)).alias("value")),
         F.struct(F.lit("Benchmark").alias("axis"), (F.col(benchmark) * 1.2).alias("value")))
-    return df.select(*key, F.inline(axes))
+    return st.select(*key, F.inline(axes))
 
 
 # Scenario grid for the what-if sweep: (scenario, change of the predicted rate in
@@ -353,16 +390,17 @@ def what_if(df: DataFrame, key: list[str], scenarios=DEFAULT_SCENARIOS) -> DataF
                               F.lit(fd).alias("disch_factor")) for n, dp, fd in scenarios])
     base = df.select(*key, PREDICTED, EXPECTED, READMISSIONS, DISCHARGES, MEASURE,
                      F.inline(grid))
-    p = F.col(PREDICTED) + F.col("pred_delta")
-    d = F.col(DISCHARGES) * F.col("disch_factor")
-    e, r, c = F.col(EXPECTED), F.col(READMISSIONS), F.col(MEASURE)
-    score = risk_score_v3(p, e, r, d, c)
-    _, money_a = exposure_a(p, e, d)
-    return base.select(
+    moved = base.select(*key, "scenario", EXPECTED, READMISSIONS, MEASURE,
+                        (F.col(PREDICTED) + F.col("pred_delta")).alias(PREDICTED),
+                        (F.col(DISCHARGES) * F.col("disch_factor")).alias(DISCHARGES))
+    st = staged(moved, key + ["scenario"])
+    p, e, d, rg = F.col(PREDICTED), F.col(EXPECTED), F.col(DISCHARGES), F.col("_rg")
+    score = F.col("_s")
+    return st.select(
         *key, "scenario",
         score.alias("risk_score"),
         payment_impact(d, score).alias("payment_impact"),
-        risk_index(p, e).alias("risk_index"),
-        money_a.alias("exposure_a"),
-        exposure_b(p, e, d).alias("exposure_b"),
+        risk_index_from(rg).alias("risk_index"),
+        (_pos(rg - 1) * 0.5 * d * EXPOSURE_A_PER_DISCHARGE).alias("exposure_a"),
+        exposure_b_from(F.col("_ru"), d).alias("exposure_b"),
         gap_tier(p, e).alias("gap_tier"))

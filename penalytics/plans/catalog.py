@@ -713,7 +713,7 @@ def _requests(spark, sf_dir):
 @register("stream_rule_scores", None, ids=("L2", "F7"))
 def q_stream_rule_scores(spark, sf_dir):
     folder = ST.write_request_files(_requests(spark, sf_dir), shared_path(spark, "requests"))
-    stream = ST.request_stream(spark, folder).select("request_id", *ST._rule_exprs())
+    stream = ST.rule_scores(ST.request_stream(spark, folder))
     return ST.run_available(stream, spark, "rule-scores")
 
 

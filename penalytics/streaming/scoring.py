@@ -73,24 +73,23 @@ def request_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1)
             .option("maxFilesPerTrigger", files_per_trigger).parquet(folder).drop("_part"))
 
 
-def _rule_exprs():
-    """L2: the batch rule expressions, unchanged; usable on a streaming frame."""
-    p, e, r, d, c = (F.col(PREDICTED), F.col(EXPECTED), F.col(READMISSIONS), F.col(DISCHARGES), F.col(MEASURE))
-    score = R.risk_score_v3(p, e, r, d, c)
-    return [score.alias("risk_score"),
-            R.payment_impact(d, score).alias("payment_impact"),
-            R.severity_band(score).alias("severity"),
-            R.risk_index(p, e).alias("risk_index"),
-            R.exposure_a(p, e, d)[1].alias("exposure_a"),
-            R.exposure_b(p, e, d).alias("exposure_b"),
-            R.gap_tier(p, e).alias("gap_tier"),
-            R.ratio_tier(p, e).alias("ratio_tier"),
-            F.size(R.drivers_v1(p, e, r, d)).alias("n_drivers_v1"),
-            F.size(R.drivers_v2(p, e, r, d)).alias("n_drivers_v2")]
-
-
-def rule_scores_batch(requests: DataFrame) -> DataFrame:
-    return requests.select("request_id", *_rule_exprs())
+def rule_scores(df: DataFrame) -> DataFrame:
+    """L2: the batch rule operators, unchanged, on a (streaming) frame of requests."""
+    st = R.staged(df, ["request_id"])
+    p, e, r, d = F.col(PREDICTED), F.col(EXPECTED), F.col(READMISSIONS), F.col(DISCHARGES)
+    score = F.col("_s")
+    return st.select(
+        "request_id",
+        score.alias("risk_score"),
+        R.payment_impact(d, score).alias("payment_impact"),
+        R.severity_band(score).alias("severity"),
+        R.risk_index_from(F.col("_rg")).alias("risk_index"),
+        (R._pos(F.col("_rg") - 1) * 0.5 * d * R.EXPOSURE_A_PER_DISCHARGE).alias("exposure_a"),
+        R.exposure_b_from(F.col("_ru"), d).alias("exposure_b"),
+        R.gap_tier(p, e).alias("gap_tier"),
+        R.ratio_tier_from(F.col("_ru")).alias("ratio_tier"),
+        F.size(R.drivers_v1(p, e, r, d)).alias("n_drivers_v1"),
+        F.size(R.drivers_v2(p, e, r, d)).alias("n_drivers_v2"))
 
 
 def model_scores(df: DataFrame, model: PipelineModel, name: str) -> DataFrame:

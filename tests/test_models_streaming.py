@@ -44,9 +44,9 @@ def _requests(spark):
 def test_stream_rules_equal_batch(spark):
     req = _requests(spark)
     folder = ST.write_request_files(req, shared_path(spark, "t-requests"))
-    streamed = ST.run_available(ST.request_stream(spark, folder).select("request_id", *ST._rule_exprs()),
+    streamed = ST.run_available(ST.rule_scores(ST.request_stream(spark, folder)),
                                 spark, "t-rules")
-    batch = ST.rule_scores_batch(req)
+    batch = ST.rule_scores(req)
     assert streamed.count() == batch.count()
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
 
