@@ -2,48 +2,75 @@
 
 A window ``over (order by x)`` with no partition key, or one partitioned by a
 two-valued label, sends a whole class to one task.  Exact quantiles, running
-sums (ROC curve, AUC) and per-class ranks (stratified split) therefore use the
-range-partition + offsets pattern:
-
-1. ``repartitionByRange`` on (group, order) spreads the rows over N tasks with
-   sampled, balanced bounds; ``spark_partition_id`` names each range.
-2. Totals per (range, group) form a table of at most N x groups rows; a small
-   window over it gives each range its starting offset.
-3. A window partitioned by (range, group) gives the running value inside a
-   range; offset + local value is the exact global one.
-
-Each task holds one range, never a whole class.  Groups are expected to be
-few (labels, model names, column names): the offsets table grows with
-N x groups.
-
-Size check first: the largest group is counted (one small aggregate).  When
-every group has at most ``WINDOW_LIMIT`` rows, a plain window partitioned by
-the group is exact and needs far fewer jobs; beyond that the range path is
-taken, so no task ever holds more than a bounded group.
+sums (ROC curve, AUC) and per-class ranks (stratified split) therefore go
+through ``running_sum``:
+
+* Size check first: the largest group is counted (one small aggregate).  When
+  every group has at most ``WINDOW_LIMIT`` rows, a plain window partitioned by
+  the group is exact and cheapest.
+* Beyond that, the (group, order) keys are cut into buckets of similar size.
+  Bucket bounds come from a small sample of the keys (about 20 per bucket)
+  collected once to the driver; each row's bucket is a literal binary search
+  over those bounds, a deterministic function of the row, so every branch
+  and every recomputation after a lost executor agrees on it.  Totals per
+  (bucket, group) form a table of buckets x groups rows; a small window over
+  it gives each bucket its offset; a window partitioned by (bucket, group)
+  gives the running value inside a bucket; offset + local value is exact.
+
+Each task then holds one bucket, never a whole class.  Groups are expected to
+be few (labels, model names, column names).  Ordering keys must be non-null
+and NaN-free (the callers normalise NaN to NULL and drop NULLs first).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PID = "_range_id"
+_BUCKET = "_bucket"
 # Largest group (rows) a single window task may hold.
 WINDOW_LIMIT = 1_000_000
+# Target rows per bucket on the bucketed path, and sample keys per bucket.
+BUCKET_ROWS = 1_000_000
+SAMPLES_PER_BUCKET = 20
 
 
-def largest_group(df: DataFrame, group_cols: list[str]) -> int:
-    """Row count of the largest group (0 for an empty frame): one aggregate job."""
+def group_sizes(df: DataFrame, group_cols: list[str]) -> tuple[int, int]:
+    """(largest group, total rows) from one aggregate job."""
     counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.agg(F.max("_n")).first()[0] or 0
+    r = counts.agg(F.max("_n"), F.sum("_n")).first()
+    return int(r[0] or 0), int(r[1] or 0)
+
+
+def largest_group(df: DataFrame, group_cols: list[str]) -> int:
+    return group_sizes(df, group_cols)[0]
+
 
+def _bucket_expr(df: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
+    """Index of the first bound >= key (0..len(bounds)), by binary search."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    key = F.struct(*[F.col(k) for k in keys])
 
-def _num_ranges(df: DataFrame, num_ranges: int | None) -> int:
-    if num_ranges:
-        return num_ranges
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    def lit(bound):
+        return F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, bound)])
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key <= lit(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+    return search(0, len(bounds))
+
+
+def _sample_bounds(df: DataFrame, keys: list[str], total: int, buckets: int, seed: int = 17) -> list[tuple]:
+    frac = min(1.0, SAMPLES_PER_BUCKET * buckets / max(total, 1))
+    sample = sorted(tuple(r) for r in df.select(*keys).sample(False, frac, seed).collect())
+    if not sample:
+        return []
+    picks = [sample[min(len(sample) - 1, (i * len(sample)) // buckets)] for i in range(1, buckets)]
+    return sorted(set(picks))
 
 
 def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str],
@@ -51,29 +78,31 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str],
                 prefix: str = "cum_", window_limit: int | None = WINDOW_LIMIT) -> DataFrame:
     """Inclusive running sums of ``weight_cols`` within each group, in order.
 
-    ``group_cols + order_cols`` should identify a row; ties would be summed in
-    an arbitrary order (the inclusive sum of tied rows is still exact when
-    rows are pre-aggregated to one row per order key).
+    ``group_cols + order_cols`` should identify a row (pre-aggregate to one
+    row per order key otherwise).  ``window_limit=None`` forces the bucketed
+    path; ``num_ranges`` fixes its bucket count.
     """
-    if window_limit and largest_group(df, group_cols) <= window_limit:
+    largest, total = group_sizes(df, group_cols)
+    if window_limit and largest <= window_limit:
         whole = Window.partitionBy(*group_cols).orderBy(*order_cols) \
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select("*", *[F.sum(w).over(whole).alias(f"{prefix}{w}") for w in weight_cols])
 
-    n = _num_ranges(df, num_ranges)
-    keys = [F.col(c) for c in group_cols + order_cols]
-    ranged = df.repartitionByRange(n, *keys).withColumn(_PID, F.spark_partition_id())
+    keys = group_cols + order_cols
+    buckets = num_ranges or max(2, math.ceil(total / BUCKET_ROWS))
+    bounds = _sample_bounds(df, keys, total, buckets)
+    bucketed = df.withColumn(_BUCKET, _bucket_expr(df, keys, bounds))
 
-    totals = ranged.groupBy(_PID, *group_cols).agg(
+    totals = bucketed.groupBy(_BUCKET, *group_cols).agg(
         *[F.sum(w).alias(f"_tot_{w}") for w in weight_cols])
-    before = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(_PID, *group_cols, *[
+    before = Window.partitionBy(*group_cols).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(_BUCKET, *group_cols, *[
         F.coalesce(F.sum(f"_tot_{w}").over(before), F.lit(0)).alias(f"_off_{w}") for w in weight_cols])
 
-    local = Window.partitionBy(_PID, *group_cols).orderBy(*order_cols) \
+    local = Window.partitionBy(_BUCKET, *group_cols).orderBy(*order_cols) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    with_local = ranged.select("*", *[F.sum(w).over(local).alias(f"_loc_{w}") for w in weight_cols])
-    joined = with_local.join(offsets, [_PID, *group_cols], "inner")
+    with_local = bucketed.select("*", *[F.sum(w).over(local).alias(f"_loc_{w}") for w in weight_cols])
+    joined = with_local.join(offsets, [_BUCKET, *group_cols], "inner")
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"_off_{w}") + F.col(f"_loc_{w}")).alias(f"{prefix}{w}") for w in weight_cols])
