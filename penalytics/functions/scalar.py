@@ -44,6 +44,13 @@ def prefix(c: Column, n: int = 25) -> Column:
     return F.substring(c, 1, n)
 
 
+def fixed(c: Column, decimals: int) -> Column:
+    """Python ``f"{x:.Nf}"`` text: ``format_number`` rounds half-even on the
+    exact binary value (as Python and C printf do); its grouping commas are
+    removed.  ``format_string`` would round half-up on the decimal digits."""
+    return F.regexp_replace(F.format_number(c, decimals), ",", "")
+
+
 def money(c: Column) -> Column:
     """``$1,234`` style text (comma grouping, no decimals)."""
     return F.concat(F.lit("$"), F.format_number(c, 0))
@@ -51,7 +58,7 @@ def money(c: Column) -> Column:
 
 def percent(c: Column, decimals: int = 1) -> Column:
     """Fraction -> ``12.3%`` text."""
-    return F.concat(F.format_string(f"%.{decimals}f", c * 100), F.lit("%"))
+    return F.concat(fixed(c * 100, decimals), F.lit("%"))
 
 
 def binary_label(c: Column, positive: str = "PENALIZED", negative: str = "NOT PENALIZED") -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import is_priority_condition, prefix
+from ..functions.scalar import fixed, is_priority_condition, prefix
 from .clean import DISCHARGES, EXPECTED, MEASURE, PREDICTED, READMISSIONS
 
 # ----------------------------------------------------------------------------
@@ -172,11 +172,11 @@ def drivers_v3(pred: Column, exp: Column, readm: Column, disch: Column, cond: Co
 
 def drivers_v3_from(ratio: Column, rpct: Column, score: Column, disch: Column, cond: Column) -> Column:
     conds_values = [
-        (ratio > V3_RATIO, F.format_string("%.2fx", ratio)),
+        (ratio > V3_RATIO, F.concat(fixed(ratio, 2), F.lit("x"))),
         (is_priority_condition(cond), prefix(cond, 25)),
         (disch < V3_LOW_VOLUME, disch.cast("string")),
-        (rpct > V3_READM_PCT, F.format_string("%.1f%%", rpct)),
-        (score < V3_ELITE_SCORE, F.format_string("%.0f%%", score)),
+        (rpct > V3_READM_PCT, F.concat(fixed(rpct, 1), F.lit("%"))),
+        (score < V3_ELITE_SCORE, F.concat(fixed(score, 0), F.lit("%"))),
     ]
     items = [F.when(c, F.struct(F.lit(rank).alias("rank"), F.lit(factor).alias("factor"),
                                 v.alias("value"), F.lit(risk).alias("risk"), F.lit(action).alias("action")))

@@ -29,3 +29,19 @@ def test_numeric_input_nan_becomes_null(spark):
 def test_na_tokens(spark):
     df = spark.createDataFrame([("N/A",), (" NULL ",), ("x",)], "s string")
     assert [r[0] for r in df.select(na_token_to_null(F.col("s"))).collect()] == [None, None, "x"]
+
+
+def test_to_number_matches_python_float(spark):
+    from hypothesis import given, settings, strategies as st
+
+    values = []
+
+    @settings(max_examples=60, deadline=None)
+    @given(st.floats(allow_nan=False, allow_infinity=False, width=64))
+    def collect(x):
+        values.append(x)
+    collect()
+    texts = [repr(x) for x in values] + [f"{x:.6e}" for x in values]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [r[0] for r in df.select(to_number(F.col("s"))).collect()]
+    assert got == [float(t) for t in texts]

@@ -85,3 +85,32 @@ def test_what_if_fanout(spark):
     out = R.what_if(df, ["id"])
     assert out.count() == 2 * len(R.DEFAULT_SCENARIOS)
     assert out.where(F.col("scenario").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("pred,exp,tier", [(22.0, 20.0, "medium"), (22.2, 20.0, "immediate"),
+                                           (20.0, 20.0, "healthy"), (20.2, 20.0, "medium"), (None, 20.0, "healthy")])
+def test_ratio_tier_edges(spark, pred, exp, tier):
+    df = frame(spark, [(1, "COPD", 100.0, pred, exp, 10.0)])
+    assert R.index_exposure_table(df, ["id"]).first()["ratio_tier"] == tier
+
+
+@pytest.mark.parametrize("readm,disch,fires", [(15.0, 100.0, False), (15.5, 100.0, True)])
+def test_v2_readmission_share_edge(spark, readm, disch, fires):
+    got = drivers(spark, [(1, "COPD", disch, 16.0, 16.0, readm)], R.driver_report_v2, "rule_no")
+    assert (3 in got[1]) == fires
+    assert 4 in got[1]  # volume row always present (100 -> adequate)
+
+
+@pytest.mark.parametrize("disch,readm,rank3,rank4", [(25.0, 4.0, False, False), (24.0, 4.5, True, True)])
+def test_v3_volume_and_readmission_edges(spark, disch, readm, rank3, rank4):
+    # readm / disch * 100: 16% at (25, 4), 18.75% at (24, 4.5)
+    got = R.driver_report_v3(frame(spark, [(1, "COPD", disch, 16.0, 16.0, readm)]), ["id"]).collect()
+    ranks = {r["rank"] for r in got}
+    assert (3 in ranks) == rank3 and (4 in ranks) == rank4
+
+
+def test_v3_elite_edge(spark):
+    # score = (1 - 0.9) * 45 + 0 + 0 + 0 = 4.5 < 35 -> rank 5 fires with value '4%' / '5%'
+    got = R.driver_report_v3(frame(spark, [(1, "COPD", 1000.0, 16.0, 16.0, 10.0)]), ["id"]).collect()
+    r5 = [r for r in got if r["rank"] == 5]
+    assert len(r5) == 1 and r5[0]["risk"] == -8 and r5[0]["value"] == "4%"  # 4.5 -> half-even, as Python
