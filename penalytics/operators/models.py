@@ -46,6 +46,10 @@ NUM_FEATURES = [DISCHARGES, PREDICTED, EXPECTED, READMISSIONS]
 CAT_FEATURES = [STATE, MEASURE]
 WEIGHT = "class_weight"
 SEED = 42
+# Convergence tolerances: the reference's estimators run with sklearn's default
+# tolerances (LogisticRegression and MLPClassifier 1e-4, SVC 1e-3); Spark's own
+# default (1e-6) would iterate to the cap.  GBT has no tolerance (all rounds run).
+SKLEARN_TOL = {"lr": 1e-4, "svm": 1e-3, "mlp": 1e-4}
 
 
 # ---------------------------------------------------------------- random Fourier features
@@ -173,14 +177,14 @@ def classifier_stages(name: str, n_train: int, n_features: int, fast: bool = Fal
         # sklearn: C * sum(w_i loss_i) + |b|^2 / 2  ==  Spark: mean_w(loss) + reg/2 |b|^2 with reg = 1/(C sum w)
         return [LogisticRegression(maxIter=100 if fast else 2000, regParam=1.0 / (1.0 * n_train),
                                    elasticNetParam=0.0, standardization=False, weightCol=WEIGHT,
-                                   family="binomial")]
+                                   family="binomial", tol=SKLEARN_TOL["lr"])]
     if name == "Decision Tree":
         return [DecisionTreeClassifier(maxDepth=25, impurity="entropy", minInstancesPerNode=5, seed=SEED,
                                        cacheNodeIds=True, checkpointInterval=10)]
     if name == "Support Vector Machine":
         return [RandomFourierFeatures(inputCol="features", outputCol="rff", numFeatures=100 if fast else 300),
                 LinearSVC(featuresCol="rff", regParam=1.0 / (10.0 * n_train), maxIter=50 if fast else 200,
-                          weightCol=WEIGHT, standardization=False),
+                          weightCol=WEIGHT, standardization=False, tol=SKLEARN_TOL["svm"]),
                 PlattScaling(rawPredictionCol="rawPrediction", labelCol="label")]
     if name == "Random Forest":
         return [RandomForestClassifier(numTrees=20 if fast else 200, maxDepth=20, minInstancesPerNode=2,
@@ -191,7 +195,8 @@ def classifier_stages(name: str, n_train: int, n_features: int, fast: bool = Fal
                               minInstancesPerNode=5, seed=SEED, checkpointInterval=10)]
     if name == "Neural Network (MLP)":
         return [MultilayerPerceptronClassifier(layers=[n_features, 100, 50, 25, 2],
-                                               maxIter=50 if fast else 500, seed=SEED, solver="l-bfgs")]
+                                               maxIter=50 if fast else 500, seed=SEED, solver="l-bfgs",
+                                               tol=SKLEARN_TOL["mlp"])]
     raise KeyError(name)
 
 
