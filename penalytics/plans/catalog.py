@@ -56,7 +56,13 @@ def drop_cached_views() -> None:
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.clean(raw(spark, sf_dir))
+    """F2, persisted next to the raw view."""
+    key = (spark.sparkContext.applicationId, sf_dir, "clean")
+    df = _VIEWS.get(key)
+    if df is None:
+        df = C.clean(raw(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+        _VIEWS[key] = df
+    return df
 
 
 def modeled(spark: SparkSession, sf_dir: str) -> DataFrame:
