@@ -67,3 +67,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def cluster_conf(total_cores: int, executor_memory_gb: int = 16) -> dict:
+    """Starting settings for a large cluster (pass as ``extra`` or spark-submit --conf).
+
+    * Shuffle partitions ~3 per core: AQE coalesces small ones and splits
+      skewed ones at runtime, so over-provisioning is cheap and a hot key
+      never lands in an oversized task.
+    * 128 MB file splits and 128 MB advisory post-shuffle partitions keep a
+      task's working set far below an executor's memory share.
+    * Broadcasts stay at Spark's size check (10 MB by plan statistics); AQE
+      re-checks with runtime sizes before converting a join.
+    """
+    return {
+        "spark.sql.shuffle.partitions": str(max(8, 3 * total_cores)),
+        "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * 1024 * 1024),
+        "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+        "spark.executor.memory": f"{executor_memory_gb}g",
+    }

@@ -34,3 +34,15 @@ def test_dimensions(spark):
 def test_fixture_grain_is_unique(spark):
     raw = K.raw(spark, SF_SMALL)
     assert raw.count() == raw.select("facility_id", "measure_name").distinct().count() == 60
+
+
+def test_partitioned_sink_prunes(spark):
+    from penalytics.sources.sinks import read_table, write_table
+    path = write_table(K.cleaned(spark, SF_SMALL), shared_path(spark, "t-clean"), ["state"],
+                       ["facility_id", "measure_name"])
+    df = read_table(spark, path)
+    q = df.where(F.col("state") == "AL")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(state" in plan and "AL" in plan
+    assert q.count() == K.cleaned(spark, SF_SMALL).where(F.col("state") == "AL").count()
+    assert df.count() == K.cleaned(spark, SF_SMALL).count()
