@@ -40,8 +40,16 @@ from .registry import register
 _VIEWS: dict = {}
 
 
+def _app(spark: SparkSession):
+    """Cache scope: the application (falls back to the session object)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # sessions without a driver-side context
+        return id(spark)
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, "raw")
+    key = (_app(spark), sf_dir, "raw")
     df = _VIEWS.get(key)
     if df is None:
         df = hrrp_raw(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
@@ -57,7 +65,7 @@ def drop_cached_views() -> None:
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2, persisted next to the raw view."""
-    key = (spark.sparkContext.applicationId, sf_dir, "clean")
+    key = (_app(spark), sf_dir, "clean")
     df = _VIEWS.get(key)
     if df is None:
         df = C.clean(raw(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
@@ -623,7 +631,7 @@ _FITTED: dict = {}
 def split_frame(spark, sf_dir):
     """The cleaned view with its deterministic split / fold columns, kept with
     the cached view (same key and life time)."""
-    key = (spark.sparkContext.applicationId, sf_dir, "split")
+    key = (_app(spark), sf_dir, "split")
     df = _VIEWS.get(key)
     if df is None:
         c = cleaned(spark, sf_dir)
@@ -636,7 +644,7 @@ def split_frame(spark, sf_dir):
 def fitted_model(spark, sf_dir, name):
     """Fit once per (application, input, model) and reuse; the fit is eager
     and distributed, the model itself is a few KB of parameters."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (_app(spark), sf_dir, name)
     if key not in _FITTED:
         data = MD.training_frame(split_frame(spark, sf_dir))
         _FITTED[key] = MD.fit_pipeline(name, data.where(F.col("split") == "train"))
@@ -665,7 +673,7 @@ for _name, _short in M.MODEL_NAMES:
 
 
 def all_scored(spark, sf_dir):
-    app = spark.sparkContext.applicationId
+    app = _app(spark)
     missing = [n for n, _ in M.MODEL_NAMES if (app, sf_dir, n) not in _FITTED]
     if missing:
         data = MD.training_frame(split_frame(spark, sf_dir))
