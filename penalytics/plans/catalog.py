@@ -52,6 +52,10 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (_app(spark), sf_dir, "raw")
     df = _VIEWS.get(key)
     if df is None:
+        # Performance-only optimizer flag (results are unchanged): lets AQE size
+        # the cached view's partitions from runtime statistics instead of
+        # keeping spark.sql.shuffle.partitions tiny partitions.
+        spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
         df = hrrp_raw(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
         _VIEWS[key] = df
     return df
