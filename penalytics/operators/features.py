@@ -193,16 +193,22 @@ def stratified_split(df: DataFrame, key: list[str], label: str = LABEL, seed: in
         .cast("int").alias("fold"))
 
 
-def one_hot_columns(df: DataFrame, cols: list[str], prefix_sep: str = "_") -> DataFrame:
-    """H3: dummy 0/1 columns ``<col>_<level>`` for every level present, in
-    alphabetical order, the source columns replaced (get_dummies semantics).
-
-    The vocabulary is collected first, like ``StringIndexer`` does: its size is
-    the number of distinct levels, not the number of rows.
+def one_hot_columns(df: DataFrame, cols: list[str], prefix_sep: str = "_",
+                    vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
+    """H3: dummy 0/1 columns ``<col>_<level>``, the source columns replaced.
+
+    Without ``vocabulary`` every level present gets a column, in alphabetical
+    order (get_dummies semantics); the levels are collected first, like
+    ``StringIndexer`` does, so the driver holds one entry per distinct level.
+    With ``vocabulary`` (e.g. a dimension table's codes) the columns are fixed
+    in advance and no collection happens.
     """
-    levels: dict[str, list[str]] = {c: [] for c in cols}
-    for r in category_levels(df, cols).orderBy("column_name", "level_index").collect():
-        levels[r["column_name"]].append(r["level"])
+    if vocabulary is not None:
+        levels = {c: list(vocabulary[c]) for c in cols}
+    else:
+        levels = {c: [] for c in cols}
+        for r in category_levels(df, cols).orderBy("column_name", "level_index").collect():
+            levels[r["column_name"]].append(r["level"])
     keep = [F.col(c) for c in df.columns if c not in cols]
     dummies = [F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}{prefix_sep}{v}")
                for c in cols for v in levels[c]]

@@ -25,7 +25,8 @@ from ..session import shared_path
 from ..sources.votes import row_id as make_row_id
 from ..streaming import scoring as ST
 from ..sources.votes import votes as make_votes
-from ..sources.dimensions import benchmark_dim, benchmark_values_sql, state_dim, state_values_sql
+from ..sources.dimensions import (BENCHMARK_RATES, STATE_NAMES, benchmark_dim, benchmark_values_sql,
+                                  state_dim, state_values_sql)
 from ..sources.fixture import RAW_COLUMNS
 from ..sources import csv_loader as CSV
 from ..sources.fixture import hrrp_raw
@@ -758,3 +759,24 @@ def q_csv_load_roundtrip(spark, sf_dir):
     with the explicit all-string schema and NA-token handling."""
     path = CSV.write_csv(raw(spark, sf_dir), shared_path(spark, "hrrp-csv"))
     return CSV.load_hrrp_csv(spark, path)
+
+
+# ---------------------------------------------------------------- one-hot against the dimensions (H3)
+
+DUMMY_VOCAB = {C.STATE: [c for c, _ in STATE_NAMES], C.MEASURE: [m for m, _ in BENCHMARK_RATES]}
+
+
+def _dummy_sql():
+    cols = []
+    for c in (C.STATE, C.MEASURE):
+        for v in DUMMY_VOCAB[c]:
+            name = f"{c}_{v}".replace('"', '""')
+            lit = v.replace("'", "''")
+            cols.append(f"cast(coalesce({c} = '{lit}', FALSE) AS integer) AS \"{name}\"")
+    return with_fixture("SELECT facility_id, " + ", ".join(cols) + " FROM hrrp_clean")
+
+
+@register("one_hot_dummies", _dummy_sql(), ids=("H3", "M4"))
+def q_one_hot_dummies(spark, sf_dir):
+    df = cleaned(spark, sf_dir).select("facility_id", C.STATE, C.MEASURE)
+    return FE.one_hot_columns(df, [C.STATE, C.MEASURE], vocabulary=DUMMY_VOCAB)
