@@ -658,11 +658,26 @@ def fitted_model(spark, sf_dir, name):
     return _FITTED[key]
 
 
+_SCORED: dict = {}
+
+
 def scored_rows(spark, sf_dir, name):
+    """Every row scored by one fitted model, persisted while that model is the
+    current fit (comparison and consensus aggregate over it several times)."""
+    model = fitted_model(spark, sf_dir, name)
+    key = (_app(spark), sf_dir, name)
+    hit = _SCORED.get(key)
+    if hit is not None and hit[0] is model:
+        return hit[1]
     data = MD.training_frame(split_frame(spark, sf_dir))
-    out = MD.score(fitted_model(spark, sf_dir, name), data, name)
-    return out.select("row_id", "facility_id", C.MEASURE, "split", "fold",
-                      F.col(C.LABEL).alias("label"), "model", "prediction", "probability")
+    out = MD.score(model, data, name).select(
+        "row_id", "facility_id", C.MEASURE, "split", "fold",
+        F.col(C.LABEL).alias("label"), "model", "prediction", "probability") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    if hit is not None:
+        hit[1].unpersist()
+    _SCORED[key] = (model, out)
+    return out
 
 
 MODEL_IDS = {"LR": "M9", "DT": "M10", "SVM": "M11", "RF": "M12", "GB": "M13", "MLP": "M14"}
