@@ -66,3 +66,16 @@ def test_one_hot_columns(spark):
     out = FE.one_hot_columns(df, ["s", "t"]).orderBy("id")
     assert out.columns == ["id", "s_a", "s_b", "t_x", "t_y"]
     assert [tuple(r)[1:] for r in out.collect()] == [(0, 1, 1, 0), (1, 0, 0, 0), (0, 1, 0, 1)]
+
+
+def test_approx_options_close_to_exact(spark):
+    from penalytics.operators import profile as PR
+    c = K.cleaned(spark, SF_MID)
+    exact = {r["column_name"]: r for r in PR.describe(c, ["predicted_readmission_rate"]).collect()}
+    approx = {r["column_name"]: r for r in PR.describe(c, ["predicted_readmission_rate"], approx_quantiles=True).collect()}
+    e, a = exact["predicted_readmission_rate"], approx["predicted_readmission_rate"]
+    assert a["count"] == e["count"] and a["mean"] == pytest.approx(e["mean"])
+    assert a["p50"] == pytest.approx(e["p50"], rel=0.05)
+    s_exact = PR.dataset_stats(c).first()
+    s_approx = PR.dataset_stats(c, approx=True).first()
+    assert abs(s_approx["n_hospitals"] - s_exact["n_hospitals"]) <= 0.05 * s_exact["n_hospitals"]
