@@ -18,3 +18,11 @@ def test_no_cross_or_nested_loop_join(spark, name):
     plan = _plan(all_queries()[name].build(spark, SF_SMALL))
     for op in FORBIDDEN:
         assert op not in plan, f"{name} plans {op}"
+
+
+def test_scans_are_pruned(spark):
+    from penalytics.sources.fixture import hrrp_raw
+    plan = _plan(hrrp_raw(spark, SF_SMALL))
+    assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_returnflag:string>" in plan
+    assert "ReadSchema: struct<p_partkey:bigint,p_type:string>" in plan
+    assert "ReusedExchange" in plan  # national rates reuse the lineitem aggregation
