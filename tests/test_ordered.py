@@ -71,3 +71,25 @@ def test_confusion_cells_sum_to_n(spark):
     rows = [("m", i % 2, (i // 2) % 2, 0.1) for i in range(37)]
     df = spark.createDataFrame(rows, "model string, label int, prediction int, probability double")
     assert sum(r["n"] for r in M.confusion_matrix(df, ["model"]).collect()) == 37
+
+
+def test_bucketed_quantiles_match_duckdb_on_lineitem(spark):
+    """Bucketed path forced (several buckets) over all sf0.01 lineitem values."""
+    import duckdb
+    import penalytics.operators.ordered as O
+
+    path = "/root/testdata/sf0.01/lineitem.parquet"
+    df = spark.read.parquet(path).select("l_extendedprice", "l_quantity")
+    probs = [0.01, 0.25, 0.5, 0.75, 0.99]
+    old = O.BUCKET_ROWS
+    O.BUCKET_ROWS = 5_000  # ~12 buckets over 60k rows
+    try:
+        got = {(r[0], r[1]): r[2] for r in
+               exact_quantiles(df, ["l_extendedprice", "l_quantity"], probs, window_limit=1000).collect()}
+    finally:
+        O.BUCKET_ROWS = old
+    con = duckdb.connect()
+    for c in ("l_extendedprice", "l_quantity"):
+        for p in probs:
+            want = con.execute(f"SELECT quantile_cont({c}, {p}) FROM read_parquet('{path}')").fetchone()[0]
+            assert got[(c, p)] == pytest.approx(want, rel=1e-12), (c, p)
