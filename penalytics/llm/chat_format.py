@@ -116,14 +116,17 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return grouped.select("conv_id", F.transform("all", lambda t: F.struct(t["role"], t["text"])).alias("turns"))
 
 
+def _prefixed(keys: Column, prefix: str) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(prefix), k))
+
+
 def json_fingerprint(json: Column) -> Column:
     """Fingerprint of one JSON object's own fields."""
-    known = [F.lit(p) for p in KNOWN_PATHS]
     paths = [F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))]
     for parent in sorted({p.split("[]")[0] for p in KNOWN_PATHS if "[]" in p}):
         keys = F.json_object_keys(F.get_json_object(json, f"$.{parent}[0]"))
-        paths.append(F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k, own=parent: F.concat(F.lit(f"{own}[]."), k)))
-    own = F.array_sort(F.filter(F.array_distinct(F.concat(*paths)), lambda p: p.isin([p for p in KNOWN_PATHS])))
+        paths.append(_prefixed(F.coalesce(keys, F.array().cast("array<string>")), f"{parent}[]."))
+    own = F.array_sort(F.filter(F.array_distinct(F.concat(*paths)), lambda p: p.isin(KNOWN_PATHS)))
     return F.xxhash64(F.array_join(own, "|"))
 
 
