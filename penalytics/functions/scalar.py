@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def guarded_ratio(num: Column, den: Column) -> Column:
     """num / den when den > 0, else 0; NULL when either input is NULL."""
     return (F.when(num.isNull() | den.isNull(), F.lit(None).cast("double"))
-             .when(den > 0, num / den).otherwise(F.lit(0.0)))
+             .when(den > 0, F.try_divide(num.cast("double"), den.cast("double"))).otherwise(F.lit(0.0)))
 
 
 def safe_divide(num: Column, den: Column) -> Column:
@@ -17,16 +17,6 @@ def safe_divide(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
-def clamp(c: Column, lo: float | None = None, hi: float | None = None) -> Column:
-    """least/greatest skip NULL, so a NULL input is kept NULL explicitly."""
-    out = c
-    if lo is not None:
-        out = F.greatest(out, F.lit(float(lo)))
-    if hi is not None:
-        out = F.least(out, F.lit(float(hi)))
-    return F.when(c.isNull(), F.lit(None).cast("double")).otherwise(out)
-
-
 def sigmoid(c: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-c))
 
@@ -51,11 +41,6 @@ def fixed(c: Column, decimals: int) -> Column:
     return F.regexp_replace(F.format_number(c, decimals), ",", "")
 
 
-def money(c: Column) -> Column:
-    """``$1,234`` style text (comma grouping, no decimals)."""
-    return F.concat(F.lit("$"), F.format_number(c, 0))
-
-
 def percent(c: Column, decimals: int = 1) -> Column:
     """Fraction -> ``12.3%`` text."""
     return F.concat(fixed(c * 100, decimals), F.lit("%"))

@@ -14,20 +14,20 @@ them as params (so ``PipelineModel.save`` persists them); transforming is a
 projection with literals.
 
 The stratified split ranks rows inside each class by a seeded hash with
-``rank_within`` (a size-checked window, or range partitions + offsets for
-large classes), so no unbounded class is gathered into one task, and gives
-exact per-class test sizes.
+``rank_within`` (buckets of the hash's top bits, with offsets), so no unbounded
+class is gathered into one task, and gives exact per-class test sizes.
 """
 
 from __future__ import annotations
 
 import json
+from fractions import Fraction
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clean import LABEL
@@ -153,23 +153,34 @@ def encoded_feature_counts(df: DataFrame, num_cols: list[str], cat_cols: list[st
 
 
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
-    """Balanced weight n / (k * n_c) per class (k = number of classes)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    n = df.agg(F.count(F.lit(1))).scalar()
-    k = df.agg(F.count_distinct(label)).scalar()
-    return counts.select(label, "n_c", (n / (k * F.col("n_c"))).alias("weight"))
+    """Balanced weight n / (k * n_c) per class (k = number of classes).
+
+    One scan; the totals are taken over the one-row-per-class table.
+    """
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
+    every = Window.partitionBy()  # over one row per class
+    return counts.select(label, "n_c", (F.sum("n_c").over(every) / (F.count(F.lit(1)).over(every) * F.col("n_c")))
+                         .alias("weight"))
+
+
+def balanced_weights(counts: dict) -> dict:
+    """M15 from the class sizes of a fit's rows."""
+    n, k = sum(counts.values()), len(counts)
+    return {label: n / (k * c) for label, c in counts.items()}
 
 
-def with_class_weight(df: DataFrame, label: str = LABEL, name: str = "class_weight") -> DataFrame:
-    """Attach the balanced weight; the weight table has one row per class."""
-    w = class_weights(df, label).select(label, F.col("weight").alias(name))
-    return df.join(F.broadcast(w), label)
+def with_class_weight(df: DataFrame, weights: dict, label: str = LABEL, name: str = "class_weight") -> DataFrame:
+    """Attach weights given per class (computed from the rows of a fit) as literals."""
+    expr = F.lit(None).cast("double")
+    for value, weight in weights.items():
+        expr = F.when(F.col(label) == value, F.lit(float(weight))).otherwise(expr)
+    return df.withColumn(name, expr)
 
 
 def test_size(n_c: F.Column, test_fraction: float = 0.2) -> F.Column:
     """Per-class test count: round-half-up of n_c x fraction, in integer arithmetic."""
-    den = round(1 / test_fraction)
-    return F.floor((2 * n_c + den) / (2 * den)).cast("bigint")
+    share = Fraction(str(test_fraction))
+    return F.floor((2 * n_c * share.numerator + share.denominator) / (2 * share.denominator)).cast("bigint")
 
 
 def stratified_split(df: DataFrame, key: list[str], label: str = LABEL, seed: int = 42,
@@ -177,14 +188,16 @@ def stratified_split(df: DataFrame, key: list[str], label: str = LABEL, seed: in
     """M7/M8: add ``split`` ('train'/'test') and ``fold`` (0..folds-1 on train rows).
 
     Rows of each class are ordered by xxhash64(key, seed) (key breaks hash
-    ties); the first round(0.2 n_c) are test, the rest are dealt round-robin
-    into folds, so fold sizes per class differ by at most one.
+    ties); the first round(fraction n_c) are test, the rest are dealt round-robin
+    into folds, so fold sizes per class differ by at most one.  Rows without a
+    label form a class of their own and are split like any other.
     """
     h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed)).alias("_h")
-    ranked = rank_within(df.select("*", h), [label], ["_h", *key], name="_rank")
-    sizes = df.groupBy(label).agg(test_size(F.count(F.lit(1)), test_fraction).alias("_n_test"))
+    ranked = rank_within(df.select("*", h), [label], ["_h", *key], name="_rank", uniform=True)
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(
+        test_size(F.count(F.lit(1)), test_fraction).alias("_n_test"))
     # one row per class value: a proven-small broadcast
-    out = ranked.join(F.broadcast(sizes), label)
+    out = ranked.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_label")))
     is_test = F.col("_rank") < F.col("_n_test")
     return out.select(
         *df.columns,

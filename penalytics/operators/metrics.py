@@ -136,16 +136,17 @@ def cv_summary(df: DataFrame, group: list[str], fold: str = "fold") -> DataFrame
                                         F.avg("acc").alias("cv_mean"), F.stddev_pop("acc").alias("cv_std"))
 
 
-def comparison(df: DataFrame, split: str = "split", fold: str = "fold") -> DataFrame:
+def comparison(df: DataFrame, split: str = "split", fold: str = "fold", cv: DataFrame | None = None) -> DataFrame:
     """The eight-metric table per model (train/test accuracy, test P/R/F1,
-    test AUC, CV mean/std over the training folds) plus E13's train-test gap."""
+    test AUC, CV mean/std) plus E13's train-test gap.  ``cv`` (model, cv_mean, cv_std)
+    comes from refits; without it the given predictions are summed up per fold."""
     test = df.where(F.col(split) == "test")
     train = df.where(F.col(split) == "train")
     tm = binary_metrics(test, [MODEL]).select(MODEL, F.col("accuracy").alias("test_accuracy"),
                                                "precision", "recall", "f1")
     tr = train.groupBy(MODEL).agg(F.avg((F.col(PRED) == F.col(LABEL)).cast("double")).alias("train_accuracy"))
     auc = roc_auc(test, [MODEL])
-    cv = cv_summary(train, [MODEL], fold).drop("n_folds")
+    cv = cv if cv is not None else cv_summary(train, [MODEL], fold).drop("n_folds")
     out = tr.join(tm, MODEL).join(auc, MODEL).join(cv, MODEL)
     return out.select(MODEL, "train_accuracy", "test_accuracy", "precision", "recall", "f1", "roc_auc",
                       "cv_mean", "cv_std",

@@ -1,18 +1,24 @@
 """The six classifiers as distributed ``pyspark.ml`` pipelines (SURVEY §2.11,
 M4-M6, M9-M17).
 
-Preprocessing, fitted on the training rows only: exact median / mode
-imputation, population-std scaling, alphabetical string indexing with an
-"unknown" slot that one-hot encoding drops (unseen -> zero vector), vector
-assembly.  Classifiers keep the reference's hyper-parameters where Spark has
+Preprocessing, fitted on the training rows only and once for all classifiers of a
+fit: exact median / mode imputation, population-std scaling, alphabetical string
+indexing with an "unknown" slot that one-hot encoding drops (unseen -> zero
+vector), vector assembly.  Its numbers and the class sizes come from one job.
+Class weights are those of the rows of the fit, so held-out rows don't enter.
+Classifiers keep the reference's hyper-parameters where Spark has
 them; where Spark has no equivalent the substitute is stated:
 
 * RBF SVM -> random Fourier features (Rahimi & Recht, 2007) + ``LinearSVC``
-  + Platt scaling of the margin.  The projection runs as an Arrow-batched
+  + Platt scaling, fitted on the margins of held-out folds.  The projection runs as an Arrow-batched
   pandas UDF (one matrix product per batch).
 * MLP with Adam/ReLU/early stopping -> ``MultilayerPerceptronClassifier``
   (sigmoid hidden layers, L-BFGS), same layer sizes and iteration cap.
 
+* The trees' minimum of rows to split a node (10, 5 and 10 for tree, forest and
+  boosting) has no Spark parameter; ``minInstancesPerNode`` (5, 2, 5), the minimum
+  of rows in a leaf, is kept, which forbids splits of fewer than twice as many.
+
 Every fit is a series of distributed jobs over the persisted training frame;
 iterative learners checkpoint to the shared checkpoint folder.
 """
@@ -21,15 +27,17 @@ from __future__ import annotations
 
 import json
 import math
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel, keyword_only
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
@@ -37,10 +45,13 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
+from ..functions.scalar import sigmoid
 from .clean import DISCHARGES, EXPECTED, LABEL, MEASURE, PREDICTED, READMISSIONS, STATE
-from .features import ExactMedianImputer, ModeImputer, PopulationScaler, with_class_weight
+from .features import ImputerModelExact, PopulationScalerModel, balanced_weights, with_class_weight
 from .metrics import MODEL_NAMES
+from .ordered import exact_median
 
 NUM_FEATURES = [DISCHARGES, PREDICTED, EXPECTED, READMISSIONS]
 CAT_FEATURES = [STATE, MEASURE]
@@ -49,6 +60,10 @@ SEED = 42
 # Convergence tolerances: the reference's estimators run with sklearn's default
 # tolerances (LogisticRegression and MLPClassifier 1e-4, SVC 1e-3); Spark's own
 # default (1e-6) would iterate to the cap.  GBT has no tolerance (all rounds run).
+# Memory for a tree level's statistics: a level is then found in one pass.
+TREE_MEMORY_MB = 512
+# Folds whose held-out margins calibrate the SVM.
+PLATT_FOLDS = 3
 SKLEARN_TOL = {"lr": 1e-4, "svm": 1e-3, "mlp": 1e-4}
 
 
@@ -132,7 +147,7 @@ class PlattModel(Model, _PlattParams, DefaultParamsReadable, DefaultParamsWritab
     def _transform(self, dataset: DataFrame) -> DataFrame:
         a, b = json.loads(self.getOrDefault(self.coef))
         margin = vector_to_array(F.col(self.getOrDefault(self.rawPredictionCol)))[1]
-        p1 = 1.0 / (1.0 + F.exp(-(F.lit(a) * margin + F.lit(b))))
+        p1 = sigmoid(F.lit(a) * margin + F.lit(b))
         return dataset.withColumn("probability", array_to_vector(F.array(1 - p1, p1)))
 
 
@@ -154,49 +169,124 @@ class PlattScaling(Estimator, _PlattParams, DefaultParamsReadable, DefaultParams
                           coef=json.dumps([float(lr.coefficients[0]), float(lr.intercept)]))
 
 
-# ---------------------------------------------------------------- registry
+# ---------------------------------------------------------------- preprocessing
+
+@dataclass
+class FitFacts:
+    """What a fit needs to know of its rows: a few numbers per column, level and class."""
+
+    medians: dict[str, float]
+    moments: dict[str, tuple[int, float, float]]  # non-null count, mean, population variance
+    levels: dict[str, dict[str, int]]
+    classes: dict[float, int]
+
+    @property
+    def rows(self) -> int:
+        return sum(self.classes.values())
+
 
-def preprocessing_stages(num_cols=NUM_FEATURES, cat_cols=CAT_FEATURES) -> list:
-    idx = [c + "_idx" for c in cat_cols]
+def fit_facts(train: DataFrame, num_cols: list[str], cat_cols: list[str], label: str = "label") -> FitFacts:
+    """Medians, moments, category levels and class sizes, in one job.
+
+    The result has a row per numeric column and figure, category level and class;
+    like ``StringIndexer``, the driver holds the vocabulary.
+    """
+    schema = "kind", "name", "text", "value"
+    parts = [train.groupBy(F.col(label).cast("string").alias("text")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+             .select(F.lit("class").alias("kind"), F.lit("").alias("name"), "text", "value")]
+    if num_cols:
+        parts.append(exact_median(train, num_cols).select(
+            F.lit("median").alias("kind"), F.col("column_name").alias("name"), F.lit("").alias("text"),
+            F.col("median").alias("value")))
+        one = train.agg(*[F.array(*[F.struct(F.lit(c).alias("name"), F.lit(k).alias("text"), v.cast("double").alias("value"))
+                                    for k, v in (("count", F.count(c)), ("mean", F.avg(c)), ("var", F.var_pop(c)))]).alias(c)
+                          for c in num_cols])
+        parts.append(one.select(F.inline(F.concat(*[F.col(c) for c in num_cols])))
+                     .select(F.lit("moment").alias("kind"), "name", "text", "value"))
+    if cat_cols:
+        long = train.select(*[F.col(c).cast("string").alias(c) for c in cat_cols]).unpivot(
+            ids=[], values=cat_cols, variableColumnName="name", valueColumnName="text").where("text is not null")
+        parts.append(long.groupBy("name", "text").agg(F.count(F.lit(1)).cast("double").alias("value"))
+                     .select(F.lit("level").alias("kind"), "name", "text", "value"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    facts, moments = FitFacts({}, {}, {c: {} for c in cat_cols}, {}), {c: {} for c in num_cols}
+    for r in every.select(*schema).collect():
+        if r["kind"] == "class":
+            facts.classes[float(r["text"])] = int(r["value"])
+        elif r["kind"] == "median":
+            facts.medians[r["name"]] = r["value"]
+        elif r["kind"] == "moment":
+            moments[r["name"]][r["text"]] = r["value"]
+        else:
+            facts.levels[r["name"]][r["text"]] = int(r["value"])
+    facts.moments = {c: (int(m["count"] or 0), m["mean"], m["var"]) for c, m in moments.items()}
+    return facts
+
+
+def fit_preprocessing(train: DataFrame, num_cols: list[str] = NUM_FEATURES, cat_cols: list[str] = CAT_FEATURES
+                      ) -> tuple[list, FitFacts]:
+    """M1-M5 fitted on ``train`` (with a double ``label``): the stages, and the facts they came from."""
+    facts = fit_facts(train, num_cols, cat_cols)
+    scaled = {}
+    for c in num_cols:
+        n, mean, var = facts.moments[c]
+        fill, total = facts.medians.get(c), facts.rows
+        if n == 0 or total == 0:
+            scaled[c] = [0.0, 1.0]
+            continue
+        # mean and variance of the imputed column follow from those of its values
+        miss = total - n
+        center = (n * mean + miss * fill) / total
+        spread = (n * (var + (mean - center) ** 2) + miss * (fill - center) ** 2) / total
+        scaled[c] = [center, math.sqrt(spread)]
+    modes = {c: min(v, key=lambda t: (-v[t], t)) if v else None for c, v in facts.levels.items()}
+    stages = [ImputerModelExact(inputCols=num_cols, fitted=json.dumps({c: facts.medians.get(c) for c in num_cols})),
+              ImputerModelExact(inputCols=cat_cols, fitted=json.dumps(modes)),
+              PopulationScalerModel(inputCols=num_cols, fitted=json.dumps(scaled), outputSuffix="_scaled")]
     vec = [c + "_vec" for c in cat_cols]
-    return [
-        ExactMedianImputer(inputCols=num_cols),
-        ModeImputer(inputCols=cat_cols),
-        PopulationScaler(inputCols=num_cols),
-        StringIndexer(inputCols=cat_cols, outputCols=idx, stringOrderType="alphabetAsc", handleInvalid="keep"),
-        OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True, handleInvalid="keep"),
-        VectorAssembler(inputCols=[c + "_scaled" for c in num_cols] + vec, outputCol="features",
-                        handleInvalid="keep"),
-    ]
-
-
-def classifier_stages(name: str, n_train: int, n_features: int, fast: bool = False) -> list:
+    if cat_cols:
+        idx = [c + "_idx" for c in cat_cols]
+        # one model per column: a table of labels for several would be padded with nulls
+        indexers = [StringIndexerModel.from_labels(sorted(facts.levels[c]), inputCol=c, outputCol=i, handleInvalid="keep")
+                    for c, i in zip(cat_cols, idx)]
+        shown = PipelineModel([*stages, *indexers]).transform(train)
+        # the widths are in the indexed columns' metadata: fitting the encoder runs no job
+        encoder = OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True, handleInvalid="keep").fit(shown)
+        stages += [*indexers, encoder]
+    stages.append(VectorAssembler(inputCols=[c + "_scaled" for c in num_cols] + vec, outputCol="features",
+                                  handleInvalid="keep"))
+    return stages, facts
+
+
+# ---------------------------------------------------------------- registry
+
+def classifier(name: str, n_train: int, n_features: int, fast: bool = False):
     """The reference's hyper-parameters mapped to Spark's (``fast`` shrinks the
     iteration / tree counts for smoke tests only)."""
     if name == "Logistic Regression":
         # sklearn: C * sum(w_i loss_i) + |b|^2 / 2  ==  Spark: mean_w(loss) + reg/2 |b|^2 with reg = 1/(C sum w)
-        return [LogisticRegression(maxIter=100 if fast else 2000, regParam=1.0 / (1.0 * n_train),
-                                   elasticNetParam=0.0, standardization=False, weightCol=WEIGHT,
-                                   family="binomial", tol=SKLEARN_TOL["lr"])]
+        return LogisticRegression(maxIter=100 if fast else 2000, regParam=1.0 / (1.0 * n_train),
+                                  elasticNetParam=0.0, standardization=False, weightCol=WEIGHT,
+                                  family="binomial", tol=SKLEARN_TOL["lr"])
     if name == "Decision Tree":
-        return [DecisionTreeClassifier(maxDepth=25, impurity="entropy", minInstancesPerNode=5, seed=SEED,
-                                       cacheNodeIds=True, checkpointInterval=10)]
+        return DecisionTreeClassifier(maxDepth=25, impurity="entropy", minInstancesPerNode=5, seed=SEED,
+                                      cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=TREE_MEMORY_MB)
     if name == "Support Vector Machine":
-        return [RandomFourierFeatures(inputCol="features", outputCol="rff", numFeatures=100 if fast else 300),
-                LinearSVC(featuresCol="rff", regParam=1.0 / (10.0 * n_train), maxIter=50 if fast else 200,
-                          weightCol=WEIGHT, standardization=False, tol=SKLEARN_TOL["svm"]),
-                PlattScaling(rawPredictionCol="rawPrediction", labelCol="label")]
+        return LinearSVC(featuresCol="rff", regParam=1.0 / (10.0 * n_train), maxIter=50 if fast else 200,
+                         weightCol=WEIGHT, standardization=False, tol=SKLEARN_TOL["svm"])
     if name == "Random Forest":
-        return [RandomForestClassifier(numTrees=20 if fast else 200, maxDepth=20, minInstancesPerNode=2,
-                                       featureSubsetStrategy="sqrt", seed=SEED, cacheNodeIds=True,
-                                       checkpointInterval=10)]
+        return RandomForestClassifier(numTrees=20 if fast else 200, maxDepth=20, minInstancesPerNode=2,
+                                      featureSubsetStrategy="sqrt", seed=SEED, cacheNodeIds=True,
+                                      checkpointInterval=10, maxMemoryInMB=TREE_MEMORY_MB)
     if name == "Gradient Boosting":
-        return [GBTClassifier(maxIter=15 if fast else 150, stepSize=0.1, maxDepth=5, subsamplingRate=0.8,
-                              minInstancesPerNode=5, seed=SEED, checkpointInterval=10)]
+        return GBTClassifier(maxIter=15 if fast else 150, stepSize=0.1, maxDepth=5, subsamplingRate=0.8,
+                             minInstancesPerNode=5, seed=SEED, checkpointInterval=10, maxMemoryInMB=TREE_MEMORY_MB)
     if name == "Neural Network (MLP)":
-        return [MultilayerPerceptronClassifier(layers=[n_features, 100, 50, 25, 2],
-                                               maxIter=50 if fast else 500, seed=SEED, solver="l-bfgs",
-                                               tol=SKLEARN_TOL["mlp"])]
+        return MultilayerPerceptronClassifier(layers=[n_features, 100, 50, 25, 2],
+                                              maxIter=50 if fast else 500, seed=SEED, solver="l-bfgs",
+                                              tol=SKLEARN_TOL["mlp"])
     raise KeyError(name)
 
 
@@ -208,71 +298,75 @@ def short_name(name: str) -> str:
     return dict(MODEL_NAMES)[name]
 
 
-def training_frame(df: DataFrame) -> DataFrame:
-    """Features + double label + balanced class weight."""
-    out = df.withColumn("label", F.col(LABEL).cast("double"))
-    return with_class_weight(out, LABEL, WEIGHT)
+def labelled(df: DataFrame) -> DataFrame:
+    """Rows with a label, which learners need as a double."""
+    return df.withColumn("label", F.col(LABEL).cast("double")).where(F.col("label").isNotNull())
 
 
-# Rows per partition of the prepared training frame: iterative learners run one
-# job per iteration over every partition, so tiny inputs get one partition and
-# large ones keep ~this many rows (~40 doubles each) per task.
-ROWS_PER_PARTITION = 250_000
+def _fit_svm(prepared: DataFrame, n_train: int, fast: bool, folds: int = PLATT_FOLDS) -> list:
+    """Fourier features, the SVM of all rows, and Platt scaling on margins of rows not fitted on."""
+    rff = RandomFourierFeatures(inputCol="features", outputCol="rff", numFeatures=100 if fast else 300).fit(prepared)
+    # equal rows share a fold, so no copy of a held-out row is fitted on
+    mapped = rff.transform(prepared).withColumn(
+        "_platt", F.pmod(F.xxhash64(vector_to_array("features")), F.lit(folds))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        def held_out(f: int) -> DataFrame:
+            part = classifier("Support Vector Machine", n_train, 0, fast).fit(mapped.where(F.col("_platt") != f))
+            return part.transform(mapped.where(F.col("_platt") == f)).select("rawPrediction", "label")
+
+        fits = _together(prepared.sparkSession, held_out, list(range(folds)))
+        margins = fits[0]
+        for other in fits[1:]:
+            margins = margins.unionByName(other)
+        platt = PlattScaling(rawPredictionCol="rawPrediction", labelCol="label").fit(margins)
+        svm = classifier("Support Vector Machine", n_train, 0, fast).fit(mapped)
+    finally:
+        mapped.unpersist()
+    return [rff, svm, platt]
 
 
-def training_partitions(n_rows: int, current: int) -> int:
-    return max(1, min(current, math.ceil(n_rows / ROWS_PER_PARTITION)))
+def _together(spark, work, items: list, parallelism: int | None = None) -> list:
+    """Run small chains of jobs from a thread pool, as ``CrossValidator(parallelism=...)`` does."""
+    with ThreadPoolExecutor(max_workers=parallelism or max(1, len(items))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))
 
 
-def fit_pipeline(name: str, train: DataFrame, fast: bool = False) -> PipelineModel:
-    """Fit preprocessing + classifier on the training rows.
+def fit_many(names: list[str], train: DataFrame, fast: bool = False, parallelism: int | None = None,
+             exclude_features: tuple[str, ...] = ()) -> dict[str, PipelineModel]:
+    """Fit registry models on the same training rows.
 
-    The training rows are persisted (memory, spilling to disk) for the length
-    of the fit so the several preprocessing passes do not recompute their
-    lineage; a lost executor only means recomputing its blocks from it.
+    Preprocessing is fitted once and one prepared frame (label, weight, features)
+    is kept for all classifiers (memory, spilling to disk; a lost executor means
+    recomputing its blocks); its partitions are those of the input, which AQE
+    sizes by bytes.  The classifiers' jobs interleave on the executors.
+    ``exclude_features`` leaves columns out, for instance those that give the
+    label away.
     """
-    owned = train.storageLevel == StorageLevel.NONE
-    if owned:
-        train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    prepared = None
+    num = [c for c in NUM_FEATURES if c not in exclude_features]
+    cat = [c for c in CAT_FEATURES if c not in exclude_features]
+    train = labelled(train)
+    pre, facts = fit_preprocessing(train, num, cat)
+    weighted = with_class_weight(train, balanced_weights(facts.classes), "label", WEIGHT)
+    prepared = PipelineModel(pre).transform(weighted).select("label", WEIGHT, "features")
+    n_features = prepared.schema["features"].metadata["ml_attr"]["num_attrs"]
+    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def one(name: str) -> PipelineModel:
+        if name == "Support Vector Machine":
+            own = _fit_svm(prepared, facts.rows, fast)
+        else:
+            own = [classifier(name, facts.rows, n_features, fast).fit(prepared)]
+        return PipelineModel(stages=[*pre, *own])
+
     try:
-        n_train = train.count()
-        pre = Pipeline(stages=preprocessing_stages()).fit(train)
-        transformed = pre.transform(train)
-        parts = training_partitions(n_train, transformed.rdd.getNumPartitions())
-        prepared = transformed.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
-        n_features = prepared.select("features").first()["features"].size
-        clf = Pipeline(stages=classifier_stages(name, n_train, n_features, fast)).fit(prepared)
+        return dict(zip(names, _together(train.sparkSession, one, list(names), parallelism)))
     finally:
-        if prepared is not None:
-            prepared.unpersist()
-        if owned:
-            train.unpersist()
-    return PipelineModel(stages=list(pre.stages) + list(clf.stages))
+        prepared.unpersist()
 
 
-def fit_many(names: list[str], train: DataFrame, fast: bool = False,
-             parallelism: int | None = None) -> dict[str, PipelineModel]:
-    """Fit several registry models concurrently on the same training rows.
-
-    Each fit is a chain of small jobs; running them from a thread pool (as
-    ``CrossValidator(parallelism=...)`` does) lets the scheduler interleave
-    their tasks on the executors instead of leaving cores idle between jobs.
-    The training rows are persisted once for all of them.
-    """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.util import inheritable_thread_target
-
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        train.count()
-        with ThreadPoolExecutor(max_workers=parallelism or max(1, len(names))) as pool:
-            target = inheritable_thread_target(train.sparkSession)(fit_pipeline)
-            futures = {n: pool.submit(target, n, train, fast) for n in names}
-            return {n: f.result() for n, f in futures.items()}
-    finally:
-        train.unpersist()
+def fit_pipeline(name: str, train: DataFrame, fast: bool = False, **options) -> PipelineModel:
+    """One registry model on the training rows."""
+    return fit_many([name], train, fast, **options)[name]
 
 
 def score(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
@@ -286,35 +380,28 @@ def score(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
 
 def fit_and_score(name: str, split_df: DataFrame, fast: bool = False) -> DataFrame:
     """Fit on split == 'train', score every row (train and test)."""
-    data = training_frame(split_df)
-    model = fit_pipeline(name, data.where(F.col("split") == "train"), fast)
-    return score(model, data, name).drop("class_weight")
+    model = fit_pipeline(name, split_df.where(F.col("split") == "train"), fast)
+    return score(model, split_df, name)
 
 
-def cross_validate(name: str, split_df: DataFrame, folds: int = 5, fast: bool = False,
-                   parallelism: int | None = None) -> DataFrame:
-    """M8: refit on the training rows of k-1 folds, score the held-out fold.
+def cross_validate(names: list[str], folded: DataFrame, folds: int = 5, fast: bool = False) -> DataFrame:
+    """M8: refit on k-1 folds, score the held-out fold, for every named model.
 
-    Folds are fitted concurrently (thread pool, like ``CrossValidator``'s
-    ``parallelism``) over the persisted training rows.  Returns (model, fold,
-    accuracy): one row per fold, computed eagerly; A18 summarises them.
+    Preprocessing and weights are fitted once per fold, for all models.  Returns
+    (model, fold, accuracy): one row per model and fold, computed eagerly.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.util import inheritable_thread_target
-
-    data = training_frame(split_df.where(F.col("split") == "train")).persist(StorageLevel.MEMORY_AND_DISK)
+    data = folded.where(F.col(LABEL).isNotNull() & F.col("fold").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def one(f: int) -> tuple:
-        model = fit_pipeline(name, data.where(F.col("fold") != f), fast)
-        held = score(model, data.where(F.col("fold") == f), name)
-        return (name, f, held.agg(F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))).first()[0])
+    def one(f: int) -> list[tuple]:
+        models = fit_many(names, data.where(F.col("fold") != f), fast)
+        held, every = data.where(F.col("fold") == f).select(LABEL, *NUM_FEATURES, *CAT_FEATURES), None
+        for n, m in models.items():
+            part = score(m, held, n).select("model", (F.col("prediction") == F.col(LABEL)).cast("double").alias("right"))
+            every = part if every is None else every.unionByName(part)
+        return [(r["model"], f, r["accuracy"]) for r in every.groupBy("model").agg(F.avg("right").alias("accuracy")).collect()]
 
     try:
-        data.count()
-        with ThreadPoolExecutor(max_workers=parallelism or folds) as pool:
-            target = inheritable_thread_target(data.sparkSession)(one)
-            rows = list(pool.map(target, range(folds)))
+        rows = [r for part in _together(data.sparkSession, one, list(range(folds))) for r in part]
     finally:
         data.unpersist()
-    return split_df.sparkSession.createDataFrame(rows, "model string, fold int, accuracy double")
+    return folded.sparkSession.createDataFrame(rows, "model string, fold int, accuracy double")

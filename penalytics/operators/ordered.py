@@ -3,117 +3,101 @@
 A window ``over (order by x)`` with no partition key, or one partitioned by a
 two-valued label, sends a whole class to one task.  Exact quantiles, running
 sums (ROC curve, AUC) and per-class ranks (stratified split) therefore go
-through ``running_sum``:
-
-* Size check first: the largest group is counted (one small aggregate).  When
-  every group has at most ``WINDOW_LIMIT`` rows, a plain window partitioned by
-  the group is exact and cheapest.
-* Beyond that, the (group, order) keys are cut into buckets of similar size.
-  Bucket bounds come from a small sample of the keys (about 20 per bucket)
-  collected once to the driver; each row's bucket is a literal binary search
-  over those bounds, a deterministic function of the row, so every branch
-  and every recomputation after a lost executor agrees on it.  Totals per
-  (bucket, group) form a table of buckets x groups rows; a small window over
-  it gives each bucket its offset; a window partitioned by (bucket, group)
-  gives the running value inside a bucket; offset + local value is exact.
-
-Each task then holds one bucket, never a whole class.  Groups are expected to
-be few (labels, model names, column names).  Ordering keys must be non-null
-and NaN-free (the callers normalise NaN to NULL and drop NULLs first).
+through buckets of an order-preserving code:
+
+* ``order_code`` maps an ordering key to a long that never decreases with the
+  key: sign, exponent and 20 fraction bits of a number, the leading bytes of a
+  string, the top bits of a uniform hash.  It is a function of the value alone,
+  so there is nothing to sample, to collect or to write into the plan, and a
+  recomputed task puts its rows in the same buckets.
+* Totals per (group, code) are summed map-side.  Their running sums are formed
+  in two steps, within blocks of 2^16 codes and over the blocks, so each of the
+  windows holds a bounded number of rows.
+* A window per (group, code) gives the running value inside a bucket; offset
+  plus local value is exact.
+
+Every size takes the same path and nothing runs while the plan is built.
+Ordering keys must be non-null and NaN-free (the callers normalise NaN to NULL
+and drop NULLs first).  Groups may be NULL; a NULL group is a group.  Rows that
+are equal in the first ordering key share a bucket, so callers aggregate equal
+keys first where they may be many.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-_BUCKET = "_bucket"
-# Largest group (rows) a single window task may hold.
-WINDOW_LIMIT = 1_000_000
-# Target rows per bucket on the bucketed path, and sample keys per bucket.
-BUCKET_ROWS = 1_000_000
-SAMPLES_PER_BUCKET = 20
-
-
-def group_sizes(df: DataFrame, group_cols: list[str]) -> tuple[int, int]:
-    """(largest group, total rows) from one aggregate job."""
-    counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    r = counts.agg(F.max("_n"), F.sum("_n")).first()
-    return int(r[0] or 0), int(r[1] or 0)
-
-
-def largest_group(df: DataFrame, group_cols: list[str]) -> int:
-    return group_sizes(df, group_cols)[0]
-
-
-def _bucket_expr(df: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
-    """Index of the first bound >= key (0..len(bounds)), by binary search."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    key = F.struct(*[F.col(k) for k in keys])
-
-    def lit(bound):
-        return F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, bound)])
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= lit(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-    return search(0, len(bounds))
-
-
-def _sample_bounds(df: DataFrame, keys: list[str], total: int, buckets: int, seed: int = 17) -> list[tuple]:
-    frac = min(1.0, SAMPLES_PER_BUCKET * buckets / max(total, 1))
-    sample = sorted(tuple(r) for r in df.select(*keys).sample(False, frac, seed).collect())
-    if not sample:
-        return []
-    picks = [sample[min(len(sample) - 1, (i * len(sample)) // buckets)] for i in range(1, buckets)]
-    return sorted(set(picks))
-
-
-def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                weight_cols: list[str], num_ranges: int | None = None,
-                prefix: str = "cum_", window_limit: int | None = WINDOW_LIMIT) -> DataFrame:
+from pyspark.sql import types as T
+
+FRACTION_BITS = 20
+BLOCK_BITS = 16
+
+
+def order_code(key: Column, kind: T.DataType, uniform: bool = False) -> Column:
+    """A long that never decreases as ``key`` grows."""
+    if uniform:  # a 64-bit hash: its top 24 bits
+        return F.shiftright(key, 40)
+    if isinstance(kind, T.StringType):  # strings are compared by their UTF-8 bytes
+        head = F.rpad(F.hex(F.substring(key.cast("binary"), 1, 4)), 8, "0")
+        return F.conv(head, 16, 10).cast("long")
+    x = key.cast("double")
+    size = F.abs(x)
+    exponent = F.floor(F.log2(size))
+    part = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * (1 << FRACTION_BITS))
+    code = (exponent + 1076) * (1 << FRACTION_BITS) + part
+    return (F.when(x == 0, F.lit(0))
+             .when(size == float("inf"), F.signum(x).cast("long") * (1 << 40))
+             .otherwise(F.signum(x).cast("long") * code)).cast("long")
+
+
+def _join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys match; the right side's keys are dropped."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def _running_totals(totals: DataFrame, group_cols: list[str], names: list[str]) -> DataFrame:
+    """``totals`` (one row per group and _code) with _off_<name>: the sum over all smaller codes."""
+    totals = totals.withColumn("_block", F.shiftright("_code", BLOCK_BITS))
+    blocks = totals.groupBy(*group_cols, "_block").agg(*[F.sum(n).alias(f"_b_{n}") for n in names])
+    before = Window.partitionBy(*group_cols).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*group_cols, "_block", *[
+        F.coalesce(F.sum(f"_b_{n}").over(before), F.lit(0)).alias(f"_base_{n}") for n in names])
+    inside = Window.partitionBy(*group_cols, "_block").orderBy("_code").rowsBetween(Window.unboundedPreceding, -1)
+    local = totals.select("*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_in_{n}") for n in names])
+    joined = _join_on(local, blocks, [*group_cols, "_block"])
+    return joined.select(*group_cols, "_code", *names, *[
+        (F.col(f"_base_{n}") + F.col(f"_in_{n}")).alias(f"_off_{n}") for n in names])
+
+
+def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], weight_cols: list[str],
+                prefix: str = "cum_", uniform: bool = False) -> DataFrame:
     """Inclusive running sums of ``weight_cols`` within each group, in order.
 
     ``group_cols + order_cols`` should identify a row (pre-aggregate to one
-    row per order key otherwise).  ``window_limit=None`` forces the bucketed
-    path; ``num_ranges`` fixes its bucket count.
+    row per order key otherwise).  ``uniform``: the first ordering key is a hash.
     """
-    largest, total = group_sizes(df, group_cols)
-    if window_limit and largest <= window_limit:
-        whole = Window.partitionBy(*group_cols).orderBy(*order_cols) \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select("*", *[F.sum(w).over(whole).alias(f"{prefix}{w}") for w in weight_cols])
-
-    keys = group_cols + order_cols
-    buckets = num_ranges or max(2, math.ceil(total / BUCKET_ROWS))
-    bounds = _sample_bounds(df, keys, total, buckets)
-    bucketed = df.withColumn(_BUCKET, _bucket_expr(df, keys, bounds))
-
-    totals = bucketed.groupBy(_BUCKET, *group_cols).agg(
-        *[F.sum(w).alias(f"_tot_{w}") for w in weight_cols])
-    before = Window.partitionBy(*group_cols).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(_BUCKET, *group_cols, *[
-        F.coalesce(F.sum(f"_tot_{w}").over(before), F.lit(0)).alias(f"_off_{w}") for w in weight_cols])
-
-    local = Window.partitionBy(_BUCKET, *group_cols).orderBy(*order_cols) \
+    kind = df.schema[order_cols[0]].dataType
+    coded = df.withColumn("_code", order_code(F.col(order_cols[0]), kind, uniform))
+    totals = coded.groupBy(*group_cols, "_code").agg(*[F.sum(w).alias(f"_t{i}") for i, w in enumerate(weight_cols)])
+    names = [f"_t{i}" for i in range(len(weight_cols))]
+    offsets = _running_totals(totals, group_cols, names).drop(*names)
+    local = Window.partitionBy(*group_cols, "_code").orderBy(*order_cols) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    with_local = bucketed.select("*", *[F.sum(w).over(local).alias(f"_loc_{w}") for w in weight_cols])
-    joined = with_local.join(offsets, [_BUCKET, *group_cols], "inner")
+    with_local = coded.select("*", *[F.sum(w).over(local).alias(f"_loc{i}") for i, w in enumerate(weight_cols)])
+    joined = _join_on(with_local, offsets, [*group_cols, "_code"])
     return joined.select(
         *[F.col(c) for c in df.columns],
-        *[(F.col(f"_off_{w}") + F.col(f"_loc_{w}")).alias(f"{prefix}{w}") for w in weight_cols])
+        *[(F.col(f"_off__t{i}") + F.col(f"_loc{i}")).alias(f"{prefix}{w}") for i, w in enumerate(weight_cols)])
 
 
-def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                name: str = "rank", num_ranges: int | None = None,
-                window_limit: int | None = WINDOW_LIMIT) -> DataFrame:
+def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], name: str = "rank",
+                uniform: bool = False) -> DataFrame:
     """0-based position of each row within its group; order must be total."""
-    out = running_sum(df.withColumn("_one", F.lit(1)), group_cols, order_cols, ["_one"],
-                      num_ranges, prefix="_cum", window_limit=window_limit)
+    out = running_sum(df.withColumn("_one", F.lit(1)), group_cols, order_cols, ["_one"], "_cum", uniform)
     return out.withColumn(name, F.col("_cum_one") - 1).drop("_one", "_cum_one")
 
 
@@ -124,53 +108,38 @@ def _long_values(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    num_ranges: int | None = None, window_limit: int | None = WINDOW_LIMIT) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     """Exact linear-interpolation quantiles: (column_name, prob, quantile).
 
     Position (n-1)p between the order statistics floor and ceil, as in
-    numpy's default, DuckDB ``quantile_cont`` and Spark ``percentile``, but
-    computed with a bounded state per task: values are first reduced to
-    (value, count) pairs, then ranked.  The per-column sizes (one row per
-    column) are collected first; they decide between one window per column
-    (at most ``window_limit`` distinct values) and the range path.
+    numpy's default, DuckDB ``quantile_cont`` and Spark ``percentile``, but with
+    a bounded state per task: values are counted per code, the codes that hold
+    the wanted positions are found from the counts, and only the values of those
+    codes (at most 2 x columns x probs of them) are put in order.
     """
-    vc = _long_values(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("c"))
-    # One row per column: n values and n distinct values (bounded by the call).
-    sizes = {r["column_name"]: (r["n"], r["nd"]) for r in
-             vc.groupBy("column_name").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("nd")).collect()}
-    if not sizes:
-        return df.sparkSession.createDataFrame([], "column_name string, prob double, quantile double")
-    largest = max(nd for _, nd in sizes.values())
-    if window_limit and largest <= window_limit:
-        upto = Window.partitionBy("column_name").orderBy("value") \
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cum = vc.select("*", F.sum("c").over(upto).alias("cum_c"))
-    else:
-        cum = running_sum(vc, ["column_name"], ["value"], ["c"], num_ranges, window_limit=None)
-
-    # (column, prob, pos, k_lo, k_hi) targets: a literal table of len(columns) x len(probs).
-    targets = []
-    for c, (n, _) in sizes.items():
-        for p in probs:
-            pos = (n - 1) * float(p)
-            targets.append(F.struct(F.lit(c).alias("t_column"), F.lit(float(p)).alias("prob"),
-                                    F.lit(pos).alias("pos"), F.lit(math.floor(pos)).alias("k_lo"),
-                                    F.lit(math.ceil(pos)).alias("k_hi")))
-    lo_excl = F.col("cum_c") - F.col("c")
-    hit_lo = (lo_excl <= F.col("k_lo")) & (F.col("k_lo") < F.col("cum_c"))
-    hit_hi = (lo_excl <= F.col("k_hi")) & (F.col("k_hi") < F.col("cum_c"))
-    matched = cum.select("*", F.inline(F.array(*targets))).where(
-        (F.col("column_name") == F.col("t_column")) & (hit_lo | hit_hi)).select(
-        "column_name", "prob", "pos", "k_lo",
-        F.when(hit_lo, F.col("value")).alias("v_lo"),
-        F.when(hit_hi, F.col("value")).alias("v_hi"))
-    agg = matched.groupBy("column_name", "prob").agg(
-        F.max("v_lo").alias("v_lo"), F.max("v_hi").alias("v_hi"),
-        F.first("pos").alias("pos"), F.first("k_lo").alias("k_lo"))
-    frac = F.col("pos") - F.col("k_lo")
-    return agg.select("column_name", "prob",
-                      (F.col("v_lo") + frac * (F.col("v_hi") - F.col("v_lo"))).alias("quantile"))
+    values = _long_values(df, columns).withColumn("_code", order_code(F.col("value"), T.DoubleType()))
+    counts = values.groupBy("column_name", "_code").agg(F.count(F.lit(1)).alias("c"))
+    cum = _running_totals(counts, ["column_name"], ["c"])
+    sizes = counts.groupBy("column_name").agg(F.sum("c").alias("n"))
+    positions = sizes.select("column_name", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+    positions = positions.withColumn("pos", (F.col("n") - 1) * F.col("prob"))
+    positions = positions.select("column_name", "prob", "pos", F.explode(F.array_distinct(F.array(
+        F.floor("pos"), F.ceil("pos")))).alias("k"))
+    # a row per column, probability and side: a size fixed by the call
+    hits = cum.join(F.broadcast(positions), "column_name").where("_off_c <= k and k < _off_c + c")
+    hits = hits.select("column_name", "_code", "prob", "pos", "k", (F.col("k") - F.col("_off_c")).alias("place"))
+    wanted = hits.select("column_name", "_code").distinct()
+    near = values.join(F.broadcast(wanted), ["column_name", "_code"]) \
+        .groupBy("column_name", "_code", "value").agg(F.count(F.lit(1)).alias("m"))
+    upto = Window.partitionBy("column_name", "_code").orderBy("value") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = near.select("*", F.sum("m").over(upto).alias("end"))
+    found = ranked.join(F.broadcast(hits), ["column_name", "_code"]).where("end - m <= place and place < end")
+    pair = found.groupBy("column_name", "prob").agg(
+        F.min_by("value", "k").alias("low"), F.max_by("value", "k").alias("high"),
+        F.first("pos").alias("pos"))
+    part = F.col("pos") - F.floor("pos")
+    return pair.select("column_name", "prob", (F.col("low") + part * (F.col("high") - F.col("low"))).alias("quantile"))
 
 
 def exact_median(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.coerce import NA_TOKENS
 from ..functions.scalar import round_half_even
+from .clean import columns_of_kind
 from .ordered import exact_quantiles
 
 
@@ -83,7 +84,7 @@ def any_missing(df: DataFrame) -> DataFrame:
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    return columns_of_kind(df, "number")
 
 
 def describe(df: DataFrame, columns: list[str] | None = None, approx_quantiles: bool = False) -> DataFrame:
@@ -153,21 +154,26 @@ def preview(df: DataFrame, n: int = 10, order: list[str] | None = None) -> DataF
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(n)
 
 
-def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column Q1, median, Q3, 1.5 x IQR fences, whiskers (the most
-    extreme values inside the fences) and the outlier count.
-
-    The fences table has one row per column (size fixed by the call), so it
-    is broadcast to the value scan.
-    """
+def box_fences(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Quartiles, IQR and the 1.5 x IQR fences, one row per column."""
     q = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
-    fences = q.groupBy("column_name").agg(
+    return q.groupBy("column_name").agg(
         F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
         F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("median"),
         F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3")) \
         .withColumn("iqr", F.col("q3") - F.col("q1")) \
         .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr")) \
         .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr"))
+
+
+def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per column Q1, median, Q3, 1.5 x IQR fences, whiskers (the most
+    extreme values inside the fences) and the outlier count.
+
+    The fences table has one row per column (size fixed by the call), so it
+    is broadcast to the value scan.
+    """
+    fences = box_fences(df, columns)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         ids=[], values=columns, variableColumnName="column_name", valueColumnName="value") \
         .where(F.col("value").isNotNull())
@@ -182,7 +188,7 @@ def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def box_outliers(df: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
     """The rows outside the 1.5 x IQR fences, long form (key..., column_name, value)."""
-    stats = box_stats(df, columns).select("column_name", "lower_fence", "upper_fence")
+    stats = box_fences(df, columns).select("column_name", "lower_fence", "upper_fence")
     long = df.select(*key, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         ids=key, values=columns, variableColumnName="column_name", valueColumnName="value") \
         .where(F.col("value").isNotNull())

@@ -6,9 +6,9 @@ Driver lists are ``array<struct>`` columns built with ``when`` + ``array_compact
 ``inline_outer`` turns them into report rows.  All divisions use
 ``try_divide`` so a zero denominator yields NULL instead of an ANSI error.
 
-NULL semantics follow the reference's NaN behaviour where it is explicit
-(``x if d > 0 else 0`` -> 0 for a missing d; ``max(0, NaN)`` -> 0), except
-that a missing score stays missing instead of becoming the cap.
+NULL semantics: a missing input gives a missing result.  No band, tier or flag
+is given and no driver fires on what isn't known; a zero or negative denominator
+that is known still gives the guarded ratio 0.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import fixed, is_priority_condition, prefix
+from ..functions.scalar import fixed, guarded_ratio, is_priority_condition, percent, prefix, safe_divide
 from .clean import DISCHARGES, EXPECTED, MEASURE, PREDICTED, READMISSIONS
 
 # ----------------------------------------------------------------------------
@@ -77,32 +77,28 @@ HEURISTIC_PROB_THRESHOLD = 0.68
 # ----------------------------------------------------------------------------
 
 
-def _div(a: Column, b: Column) -> Column:
-    return F.try_divide(a.cast("double"), b.cast("double"))
-
-
 def _null_double() -> Column:
     return F.lit(None).cast("double")
 
 
 def ratio_guarded(pred: Column, exp: Column) -> Column:
-    """pred / exp when exp > 0 else 0 (a missing exp gives 0, as in the reference)."""
-    return F.when(exp > 0, _div(pred, exp)).otherwise(F.lit(0.0))
+    """pred / exp when exp > 0 else 0; NULL when either is missing."""
+    return guarded_ratio(pred, exp)
 
 
 def ratio_unguarded(pred: Column, exp: Column) -> Column:
     """pred / exp; NULL on a zero denominator (the reference would raise)."""
-    return _div(pred, exp)
+    return safe_divide(pred, exp)
 
 
 def readmission_pct(readm: Column, disch: Column) -> Column:
-    """readm / disch * 100 when disch > 0 else 0."""
-    return F.when(disch > 0, _div(readm, disch) * 100).otherwise(F.lit(0.0))
+    """readm / disch * 100 when disch > 0 else 0; NULL when either is missing."""
+    return guarded_ratio(readm, disch) * 100
 
 
 def _pos(x: Column) -> Column:
-    """max(0, x) with the reference's NaN rule: a missing x contributes 0."""
-    return F.when(x > 0, x).otherwise(F.lit(0.0))
+    """max(0, x); NULL stays NULL."""
+    return F.when(x > 0, x).when(x.isNotNull(), F.lit(0.0))
 
 
 def _cap(x: Column, hi: float) -> Column:
@@ -118,8 +114,8 @@ def _cols(pred=PREDICTED, exp=EXPECTED, readm=READMISSIONS, disch=DISCHARGES, co
 def drivers_v1(pred: Column, exp: Column, readm: Column, disch: Column) -> Column:
     conds = [
         pred > exp,
-        (exp > 0) & (_div(pred, exp) > 1),
-        (disch > 0) & (_div(readm, disch) > V1_READM_SHARE),
+        (exp > 0) & (safe_divide(pred, exp) > 1),
+        (disch > 0) & (safe_divide(readm, disch) > V1_READM_SHARE),
         disch > V1_HIGH_VOLUME,
         pred <= exp,
     ]
@@ -141,10 +137,10 @@ def drivers_v2(pred: Column, exp: Column, readm: Column, disch: Column) -> Colum
                         F.lit(im).alias("impact"), F.lit(rs).alias("reason"))
 
     items = [
-        F.when(ratio > 1, item(1, "ratio_high")).otherwise(item(1, "ratio_ok")),
+        F.when(ratio > 1, item(1, "ratio_high")).when(ratio <= 1, item(1, "ratio_ok")),
         F.when(pred > exp, item(2, "pred_high")),
         F.when(rpct > V2_READM_PCT, item(3, "readm_high")),
-        F.when(disch < V2_LOW_VOLUME, item(4, "volume_low")).otherwise(item(4, "volume_ok")),
+        F.when(disch < V2_LOW_VOLUME, item(4, "volume_low")).when(disch >= V2_LOW_VOLUME, item(4, "volume_ok")),
     ]
     return F.array_compact(F.array(*items))
 
@@ -164,17 +160,11 @@ def score_from(ratio: Column, rpct: Column, disch: Column, cond: Column) -> Colu
     return _cap(raw, SCORE_CAP)
 
 
-def drivers_v3(pred: Column, exp: Column, readm: Column, disch: Column, cond: Column) -> Column:
-    ratio = ratio_guarded(pred, exp)
-    rpct = readmission_pct(readm, disch)
-    return drivers_v3_from(ratio, rpct, score_from(ratio, rpct, disch, cond), disch, cond)
-
-
 def drivers_v3_from(ratio: Column, rpct: Column, score: Column, disch: Column, cond: Column) -> Column:
     conds_values = [
         (ratio > V3_RATIO, F.concat(fixed(ratio, 2), F.lit("x"))),
         (is_priority_condition(cond), prefix(cond, 25)),
-        (disch < V3_LOW_VOLUME, disch.cast("string")),
+        (disch < V3_LOW_VOLUME, fixed(disch, 0)),
         (rpct > V3_READM_PCT, F.concat(fixed(rpct, 1), F.lit("%"))),
         (score < V3_ELITE_SCORE, F.concat(fixed(score, 0), F.lit("%"))),
     ]
@@ -191,17 +181,28 @@ def payment_impact(disch: Column, score: Column) -> Column:
 
 def severity_band(score: Column) -> Column:
     """>75 high, >50 medium, else low."""
-    return F.when(score > 75, "high").when(score > 50, "medium").otherwise("low")
+    return F.when(score > 75, "high").when(score > 50, "medium").when(score.isNotNull(), "low")
 
 
 def executive_action(score: Column) -> Column:
     """The action plan key."""
-    return F.when(score > 75, "executive_alert").otherwise("sustain_excellence")
+    return F.when(score > 75, "executive_alert").when(score.isNotNull(), "sustain_excellence")
+
+
+def heuristic_probability(score: Column, noise: Column | None = None) -> Column:
+    """min(0.97, score / 105 + noise).  Without ``noise`` (the default) it is deterministic;
+    it has no lower bound, so it is no probability for R13 and R16."""
+    value = score / HEURISTIC_PROB_DIVISOR
+    return _cap(value if noise is None else value + noise, HEURISTIC_PROB_CAP)
+
 
+def seeded_noise(key: list[str], seed: int = 42, deviation: float = 0.07) -> Column:
+    """The normal noise term of R14 from a hash of the row's key (Box-Muller), so a row
+    keeps its noise in every run and every recomputed task."""
+    def uniform(n: int) -> Column:
+        return (F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed), F.lit(n)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
-def heuristic_probability(score: Column) -> Column:
-    """R14 without the random noise term: min(0.97, score / 105)."""
-    return _cap(score / HEURISTIC_PROB_DIVISOR, HEURISTIC_PROB_CAP)
+    return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * F.pi() * uniform(2)) * deviation
 
 
 def probability_band(p: Column) -> Column:
@@ -233,7 +234,11 @@ def risk_index_band(index: Column) -> Column:
 
 def exposure_a(pred: Column, exp: Column, disch: Column) -> tuple[Column, Column]:
     """rate = max(0, ratio - 1) x 0.5; money = rate x discharges x 5000."""
-    rate = _pos(ratio_guarded(pred, exp) - 1) * 0.5
+    return exposure_a_from(ratio_guarded(pred, exp), disch)
+
+
+def exposure_a_from(ratio: Column, disch: Column) -> tuple[Column, Column]:
+    rate = _pos(ratio - 1) * 0.5
     return rate, rate * disch * EXPOSURE_A_PER_DISCHARGE
 
 
@@ -265,12 +270,16 @@ def ratio_tier(pred: Column, exp: Column) -> Column:
 
 
 def ratio_tier_from(r: Column) -> Column:
-    return F.when(r > 1.1, "immediate").when(r > 1.0, "medium").otherwise("healthy")
+    return F.when(r > 1.1, "immediate").when(r > 1.0, "medium").when(r.isNotNull(), "healthy")
 
 
 def threshold_flag(pred: Column, exp: Column) -> Column:
     """Ratio above / below 1.0."""
-    return F.when(ratio_guarded(pred, exp) > 1.0, "Above Threshold").otherwise("Below Threshold")
+    return threshold_flag_from(ratio_guarded(pred, exp))
+
+
+def threshold_flag_from(ratio: Column) -> Column:
+    return F.when(ratio > 1.0, "Above Threshold").when(ratio.isNotNull(), "Below Threshold")
 
 
 def implied_readmissions(disch: Column, pred: Column) -> Column:
@@ -303,9 +312,9 @@ def driver_report_v1(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def driver_report_v2(df: DataFrame, key: list[str]) -> DataFrame:
-    """R2: always 2-4 rows per input row."""
+    """R2: up to 4 rows per input row; a row of which nothing is known keeps one NULL row."""
     p, e, r, d, _ = _cols()
-    return df.select(*key, F.inline(drivers_v2(p, e, r, d)))
+    return df.select(*key, F.inline_outer(drivers_v2(p, e, r, d)))
 
 
 def driver_report_v3(df: DataFrame, key: list[str]) -> DataFrame:
@@ -316,7 +325,7 @@ def driver_report_v3(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def score_table(df: DataFrame, key: list[str]) -> DataFrame:
-    """R3, R5, R11-R14, R16 for every row."""
+    """R3, R5, R11, R12, R14 and F11 for every row."""
     st = staged(df, key)
     score, prob, d, c = F.col("_s"), F.col("_pr"), F.col(DISCHARGES), F.col(MEASURE)
     return st.select(
@@ -329,9 +338,6 @@ def score_table(df: DataFrame, key: list[str]) -> DataFrame:
         executive_action(score).alias("action_plan"),
         prob.alias("heuristic_probability"),
         (prob > HEURISTIC_PROB_THRESHOLD).alias("penalty_predicted"),
-        probability_band(prob).alias("probability_band"),
-        confidence(prob).alias("confidence"),
-        (1 - prob).alias("safe_probability"),
         (100 - prob * 100).cast("int").alias("safe_pct_int"),
         is_priority_condition(c).alias("priority_condition"))
 
@@ -342,20 +348,20 @@ def index_exposure_table(df: DataFrame, key: list[str]) -> DataFrame:
     rg, ru = F.col("_rg"), F.col("_ru")
     base = df.select(*key, PREDICTED, EXPECTED, DISCHARGES,
                      ratio_guarded(p, e).alias("_rg"), ratio_unguarded(p, e).alias("_ru"))
-    st = base.select("*", risk_index_from(rg).alias("_idx"),
-                     (_pos(rg - 1) * 0.5).alias("_rate_a"))
-    idx, rate_a = F.col("_idx"), F.col("_rate_a")
+    st = base.select("*", risk_index_from(rg).alias("_idx"))
+    idx = F.col("_idx")
+    rate_a, money_a = exposure_a_from(rg, d)
     return st.select(
         *key,
         idx.alias("risk_index"),
         risk_index_band(idx).alias("risk_index_band"),
         rate_a.alias("penalty_rate"),
-        (rate_a * d * EXPOSURE_A_PER_DISCHARGE).alias("exposure_a"),
+        money_a.alias("exposure_a"),
         exposure_b_from(ru, d).alias("exposure_b"),
         (p - e).alias("gap"),
         gap_tier(p, e).alias("gap_tier"),
         ratio_tier_from(ru).alias("ratio_tier"),
-        F.when(rg > 1.0, "Above Threshold").otherwise("Below Threshold").alias("threshold_flag"),
+        threshold_flag_from(rg).alias("threshold_flag"),
         implied_readmissions(d, p).alias("implied_readmissions"))
 
 
@@ -368,7 +374,7 @@ def profile_axes(df: DataFrame, key: list[str], benchmark: str = "benchmark_pena
         F.struct(F.lit("Excess Ratio").alias("axis"), (F.col("_rg") * 55).alias("value")),
         F.struct(F.lit("Volume").alias("axis"), (d / 60).alias("value")),
         F.struct(F.lit("Readmit Rate").alias("axis"),
-                 F.when(d > 0, _div(r, d) * 110).otherwise(F.lit(0.0)).alias("value")),
+                 (guarded_ratio(r, d) * 110).alias("value")),
         F.struct(F.lit("Benchmark").alias("axis"), (F.col(benchmark) * 1.2).alias("value")))
     return st.select(*key, F.inline(axes))
 
@@ -382,25 +388,43 @@ DEFAULT_SCENARIOS = [
 
 
 def what_if(df: DataFrame, key: list[str], scenarios=DEFAULT_SCENARIOS) -> DataFrame:
-    """Every row under every scenario, scored by R3/R5/R6/R7/R8/R9.
+    """Every row under every scenario; readmissions follow the sliders (R18), then R1-R18 apply.
 
     The grid is a literal array exploded per row (a fixed fan-out, no join).
     """
     grid = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(dp).alias("pred_delta"),
                               F.lit(fd).alias("disch_factor")) for n, dp, fd in scenarios])
-    base = df.select(*key, PREDICTED, EXPECTED, READMISSIONS, DISCHARGES, MEASURE,
-                     F.inline(grid))
-    moved = base.select(*key, "scenario", EXPECTED, READMISSIONS, MEASURE,
+    base = df.select(*key, PREDICTED, EXPECTED, DISCHARGES, MEASURE, F.inline(grid))
+    moved = base.select(*key, "scenario", EXPECTED, MEASURE,
                         (F.col(PREDICTED) + F.col("pred_delta")).alias(PREDICTED),
                         (F.col(DISCHARGES) * F.col("disch_factor")).alias(DISCHARGES))
-    st = staged(moved, key + ["scenario"])
-    p, e, d, rg = F.col(PREDICTED), F.col(EXPECTED), F.col(DISCHARGES), F.col("_rg")
-    score = F.col("_s")
+    moved = moved.withColumn(READMISSIONS, implied_readmissions(F.col(DISCHARGES), F.col(PREDICTED)))
+    st = staged(moved, list(dict.fromkeys([*key, "scenario"])))
+    p, e, r, d, c = _cols()
+    rg, ru, score, prob = F.col("_rg"), F.col("_ru"), F.col("_s"), F.col("_pr")
+    index = risk_index_from(rg)
+    rate_a, money_a = exposure_a_from(rg, d)
     return st.select(
-        *key, "scenario",
-        score.alias("risk_score"),
-        payment_impact(d, score).alias("payment_impact"),
-        risk_index_from(rg).alias("risk_index"),
-        (_pos(rg - 1) * 0.5 * d * EXPOSURE_A_PER_DISCHARGE).alias("exposure_a"),
-        exposure_b_from(F.col("_ru"), d).alias("exposure_b"),
-        gap_tier(p, e).alias("gap_tier"))
+        *key, "scenario", r.alias("implied_readmissions"), F.col("_rp").alias("readmission_pct"),
+        score.alias("risk_score"), payment_impact(d, score).alias("payment_impact"),
+        severity_band(score).alias("severity"), executive_action(score).alias("action_plan"),
+        prob.alias("heuristic_probability"),
+        index.alias("risk_index"), risk_index_band(index).alias("risk_index_band"),
+        rate_a.alias("penalty_rate"), money_a.alias("exposure_a"),
+        exposure_b_from(ru, d).alias("exposure_b"),
+        gap_tier(p, e).alias("gap_tier"), ratio_tier_from(ru).alias("ratio_tier"),
+        threshold_flag_from(rg).alias("threshold_flag"),
+        F.array_join(F.transform(drivers_v1(p, e, r, d), lambda x: x["rule_no"].cast("string")), ",").alias("drivers_v1"),
+        F.array_join(F.transform(drivers_v2(p, e, r, d), lambda x: x["rule_no"].cast("string")), ",").alias("drivers_v2"),
+        F.array_join(F.transform(drivers_v3_from(rg, F.col("_rp"), score, d, c), lambda x: x["rank"].cast("string")), ",").alias("drivers_v3"))
+
+
+def probability_report(scored: DataFrame, keep: list[str], probability: str = "probability",
+                       ratio: Column | None = None) -> DataFrame:
+    """R13, R16 and the safe share of a model's probability, which lies in [0, 1]."""
+    p = F.col(probability)
+    out = [p.alias(probability), percent(p, 1).alias("probability_text"), probability_band(p).alias("probability_band"),
+           confidence(p).alias("confidence"), (1 - p).alias("safe_probability")]
+    if ratio is not None:
+        out.append(threshold_flag_from(ratio).alias("threshold_flag"))
+    return scored.select(*keep, *out)

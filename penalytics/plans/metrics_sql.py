@@ -181,5 +181,12 @@ SELECT *, CASE WHEN correct_count = {len(MODEL_NAMES)} THEN 'all' WHEN correct_c
                ELSE 'split' END AS agreement FROM pm""", PM)
 
 
+def sample_test_rows_sql() -> str:
+    return _v(f"""
+SELECT *, CASE WHEN correct_count = {len(MODEL_NAMES)} THEN 'all' WHEN correct_count >= 4 THEN 'most'
+               ELSE 'split' END AS agreement
+FROM pm ORDER BY (row_id * 48271) % 2147483647, row_id LIMIT 5""", PM.replace("FROM votes GROUP", "FROM votes WHERE split = 'test' GROUP"))
+
+
 def correct_mean_sql() -> str:
     return _v("SELECT avg(correct_count) AS mean_correct_count, cast(count(*) AS bigint) AS n_rows FROM pm", PM)

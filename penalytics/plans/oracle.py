@@ -10,7 +10,10 @@ from __future__ import annotations
 
 FIXTURE_CTES = """
 base AS (
-  SELECT l.l_suppkey AS sk, s.s_name AS fname, s.s_nationkey AS nk, p.p_type AS pt,
+  SELECT l.l_suppkey AS sk, s.s_name AS fname, s.s_nationkey AS nk,
+         CASE p.p_type WHEN 'ECONOMY' THEN 'Acute Myocardial Infarction (AMI)' WHEN 'LARGE' THEN 'Heart Failure (HF)'
+                 WHEN 'MEDIUM' THEN 'Pneumonia (PN)' WHEN 'PROMO' THEN 'COPD'
+                 WHEN 'SMALL' THEN 'Hip/Knee Arthroplasty' ELSE 'CABG' END AS pt,
          CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END AS r
   FROM lineitem l
   JOIN part p ON l.l_partkey = p.p_partkey
@@ -29,19 +32,20 @@ g AS (
          CASE WHEN (f.sk*7 + f.rd) % 17 = 0 THEN 1 ELSE 0 END AS suppressed
   FROM f JOIN nat ON f.pt = nat.pt),
 hrrp_raw AS (
-  SELECT lpad(cast(sk AS varchar), 6, '0') AS facility_id,
+  SELECT CASE WHEN sk < 100000 THEN lpad(cast(sk AS varchar), 6, '0') ELSE cast(sk AS varchar) END AS facility_id,
          fname AS facility_name,
          substr('ALAKAZARCACOCTDEFLGAHIIDILINIAKSKYLAMEMDMAMIMNMSMO', cast(nk*2+1 AS int), 2) AS state,
-         CASE pt WHEN 'ECONOMY' THEN 'Acute Myocardial Infarction (AMI)' WHEN 'LARGE' THEN 'Heart Failure (HF)'
-                 WHEN 'MEDIUM' THEN 'Pneumonia (PN)' WHEN 'PROMO' THEN 'COPD'
-                 WHEN 'SMALL' THEN 'Hip/Knee Arthroplasty' ELSE 'CABG' END AS measure_name,
-         CASE WHEN d % 13 = 0 THEN 'N/A' ELSE cast(vol AS varchar) END AS number_of_discharges,
-         CASE WHEN suppressed = 1 THEN '5' ELSE cast(NULL AS varchar) END AS footnote,
-         CASE WHEN suppressed = 1 THEN 'N/A' ELSE cast(cast(pred/expd AS decimal(10,4)) AS varchar) END AS excess_readmission_ratio,
+         pt AS measure_name,
+         CASE WHEN d % 13 = 0 THEN CASE sk % 3 WHEN 0 THEN 'NA' WHEN 1 THEN 'null' ELSE 'N/A' END
+              WHEN d % 11 = 0 THEN cast(vol AS varchar) || '.0' ELSE cast(vol AS varchar) END AS number_of_discharges,
+         CASE WHEN suppressed = 1 THEN '5' WHEN (sk*5 + rd) % 7 = 0 THEN '29' ELSE cast(NULL AS varchar) END AS footnote,
+         CASE WHEN suppressed = 1 THEN 'N/A' WHEN expd = 0 THEN NULL
+              ELSE cast(cast(pred/expd AS decimal(10,4)) AS varchar) END AS excess_readmission_ratio,
          CASE WHEN suppressed = 1 THEN 'N/A' ELSE cast(cast(pred AS decimal(10,4)) AS varchar) END AS predicted_readmission_rate,
          CASE WHEN suppressed = 1 THEN 'N/A' ELSE cast(cast(expd AS decimal(10,4)) AS varchar) END AS expected_readmission_rate,
          CASE WHEN (sk*3 + rd) % 19 = 0 THEN 'Too Few to Report'
-              WHEN (sk + rd) % 11 = 0 THEN 'N/A' ELSE cast(readm AS varchar) END AS number_of_readmissions,
+              WHEN (sk + rd) % 11 = 0 THEN CASE sk % 3 WHEN 0 THEN 'NA' WHEN 1 THEN 'null' ELSE 'N/A' END
+              WHEN (sk + rd) % 13 = 0 THEN cast(readm AS varchar) || 'e0' ELSE cast(readm AS varchar) END AS number_of_readmissions,
          '07/01/2020' AS start_date, '06/30/2023' AS end_date
   FROM g),
 hrrp_num AS (

@@ -64,10 +64,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder (never reused)."""
+    """A fresh sub-folder of the shared checkpoint folder (never reused), as Spark names it:
+    its scheme stays, so it means the same folder whatever the default file system is."""
     base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 

@@ -32,20 +32,18 @@ BENCHMARK_RATES = [
 ]
 
 
-def state_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STATE_NAMES, "code string, name string")
-
+def _values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """An inline relation: its size is in the plan, and joins broadcast it by themselves."""
+    def text(v) -> str:
+        return "'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else f"{v}D"
 
-def benchmark_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BENCHMARK_RATES, "measure_name string, benchmark_penalty_rate double")
+    body = ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({names})")
 
 
-def state_values_sql() -> str:
-    """The state map as a SQL VALUES list (for oracle queries)."""
-    rows = ", ".join("('{}', '{}')".format(c, n.replace("'", "''")) for c, n in STATE_NAMES)
-    return f"(VALUES {rows}) AS sd(code, name)"
+def state_dim(spark: SparkSession) -> DataFrame:
+    return _values(spark, STATE_NAMES, "code, name")
 
 
-def benchmark_values_sql() -> str:
-    rows = ", ".join("('{}', {}e0)".format(m, r) for m, r in BENCHMARK_RATES)
-    return f"(VALUES {rows}) AS bd(measure_name, benchmark_penalty_rate)"
+def benchmark_dim(spark: SparkSession) -> DataFrame:
+    return _values(spark, BENCHMARK_RATES, "measure_name, benchmark_penalty_rate")

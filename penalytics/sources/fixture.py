@@ -12,11 +12,11 @@ Plan shape (chosen for scale, not taken from the SQL text):
    before the shuffle.
 2. The reduced rows join ``part`` on partkey (sort-merge, or broadcast when
    AQE measures the part side below the threshold at runtime).
-3. A second aggregate to (suppkey, part type), then the supplier columns.
+3. A second aggregate to (suppkey, condition), then the supplier columns.
 4. National rates per condition are re-aggregated from step 3 instead of
-   scanning lineitem a second time.  That table has one row per part type;
-   no hint is given: AQE sees its exact size once its stage has run and turns
-   the join into a broadcast only then.
+   scanning lineitem a second time.  That table has one row per condition (six
+   names at most), so it is broadcast and the hospital table isn't shuffled on
+   a key of six values.
 """
 
 from __future__ import annotations
@@ -58,27 +58,32 @@ def _by_mod7(sk: Column, c0: Column, c1: Column, c2: Column, other: Column) -> C
 
 
 def facility_condition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sk, fname, nk, pt, d, rd): discharges and readmissions per hospital x condition."""
+    """(sk, fname, nk, cond, d, rd): discharges and readmissions per hospital x condition.
+
+    Part types are mapped to conditions before grouping, so all unknown types
+    are one condition and (hospital, condition) stays a key.
+    """
     li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_returnflag")
-    part = read_table(spark, sf_dir, "part", "p_partkey", "p_type")
+    part = read_table(spark, sf_dir, "part", "p_partkey", "p_type").select("p_partkey", _condition(F.col("p_type")).alias("cond"))
     supp = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
 
     per_part_supp = (li.groupBy("l_partkey", "l_suppkey")
                      .agg(F.count(F.lit(1)).alias("n"),
                           F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("nr")))
     per_supp_type = (per_part_supp.join(part, per_part_supp.l_partkey == part.p_partkey)
-                     .groupBy(F.col("l_suppkey").alias("sk"), F.col("p_type").alias("pt"))
+                     .groupBy(F.col("l_suppkey").alias("sk"), "cond")
                      .agg(F.sum("n").alias("d"), F.sum("nr").alias("rd")))
     return (per_supp_type.join(supp, per_supp_type.sk == supp.s_suppkey)
             .select("sk", F.col("s_name").alias("fname"), F.col("s_nationkey").alias("nk"),
-                    "pt", "d", "rd"))
+                    "cond", "d", "rd"))
 
 
 def hrrp_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the dirty all-string hospital x condition table."""
     f = facility_condition_counts(spark, sf_dir)
-    nat = f.groupBy("pt").agg(F.sum("rd").alias("nr"), F.sum("d").alias("nd"))
-    g = f.join(nat, "pt")
+    nat = f.groupBy("cond").agg(F.sum("rd").alias("nr"), F.sum("d").alias("nd"))
+    # one row per condition; the size is fixed by the mapping (six names)
+    g = f.join(F.broadcast(nat), "cond")
 
     sk, d, rd = F.col("sk"), F.col("d"), F.col("rd")
     pred = F.lit(50.0) * rd / d
@@ -91,18 +96,23 @@ def hrrp_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         return x.cast("decimal(10,4)").cast("string")
 
     na = F.lit("N/A")
+    # spellings of a missing value and of a number, by key
+    na_any = F.when(sk % 3 == 0, "NA").when(sk % 3 == 1, "null").otherwise(na)
     return g.select(
-        F.lpad(sk.cast("string"), 6, "0").alias("facility_id"),
+        F.lpad(sk.cast("string"), F.greatest(F.lit(6), F.length(sk.cast("string"))), F.lit("0")).alias("facility_id"),
         F.col("fname").alias("facility_name"),
         F.lit(STATE_CODES).substr((F.col("nk") * 2 + 1).cast("int"), F.lit(2)).alias("state"),
-        _condition(F.col("pt")).alias("measure_name"),
-        F.when(d % 13 == 0, na).otherwise(vol.cast("bigint").cast("string")).alias("number_of_discharges"),
-        F.when(suppressed, F.lit("5")).otherwise(F.lit(None).cast("string")).alias("footnote"),
-        F.when(suppressed, na).otherwise(dec4(pred / expd)).alias("excess_readmission_ratio"),
+        F.col("cond").alias("measure_name"),
+        F.when(d % 13 == 0, na_any).when(d % 11 == 0, F.concat(vol.cast("bigint").cast("string"), F.lit(".0")))
+         .otherwise(vol.cast("bigint").cast("string")).alias("number_of_discharges"),
+        F.when(suppressed, F.lit("5")).when((sk * 5 + rd) % 7 == 0, F.lit("29"))
+         .otherwise(F.lit(None).cast("string")).alias("footnote"),
+        F.when(suppressed, na).otherwise(dec4(F.try_divide(pred, expd))).alias("excess_readmission_ratio"),
         F.when(suppressed, na).otherwise(dec4(pred)).alias("predicted_readmission_rate"),
         F.when(suppressed, na).otherwise(dec4(expd)).alias("expected_readmission_rate"),
         F.when((sk * 3 + rd) % 19 == 0, F.lit("Too Few to Report"))
-         .when((sk + rd) % 11 == 0, na)
+         .when((sk + rd) % 11 == 0, na_any)
+         .when((sk + rd) % 13 == 0, F.concat(readm.cast("bigint").cast("string"), F.lit("e0")))
          .otherwise(readm.cast("bigint").cast("string")).alias("number_of_readmissions"),
         F.lit("07/01/2020").alias("start_date"),
         F.lit("06/30/2023").alias("end_date"),

@@ -59,18 +59,16 @@ BOUNDARY_REQUESTS = [
 ]
 
 
-def write_request_files(requests: DataFrame, folder: str, parts: int = 4) -> str:
-    """split requests by request_id % parts into one Parquet folder each
-    (as separate files so ``maxFilesPerTrigger`` yields several batches)."""
-    bucket = F.pmod(F.col("request_id"), F.lit(parts))
-    (requests.withColumn("_part", bucket).repartition(parts, "_part")
-     .write.mode("overwrite").partitionBy("_part").parquet(folder))
+def write_request_files(requests: DataFrame, folder: str, rows_per_file: int = 1_000_000) -> str:
+    """the requests as Parquet files.  Their number follows the data: each task of the
+    input writes its own files, of at most ``rows_per_file`` rows, and nothing is shuffled."""
+    requests.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(folder)
     return folder
 
 
-def request_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(REQUEST_SCHEMA + ", _part int")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder).drop("_part"))
+def request_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
+    return (spark.readStream.schema(REQUEST_SCHEMA)
+            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
 
 
 def rule_scores(df: DataFrame) -> DataFrame:
@@ -84,7 +82,7 @@ def rule_scores(df: DataFrame) -> DataFrame:
         R.payment_impact(d, score).alias("payment_impact"),
         R.severity_band(score).alias("severity"),
         R.risk_index_from(F.col("_rg")).alias("risk_index"),
-        (R._pos(F.col("_rg") - 1) * 0.5 * d * R.EXPOSURE_A_PER_DISCHARGE).alias("exposure_a"),
+        R.exposure_a_from(F.col("_rg"), d)[1].alias("exposure_a"),
         R.exposure_b_from(F.col("_ru"), d).alias("exposure_b"),
         R.gap_tier(p, e).alias("gap_tier"),
         R.ratio_tier_from(F.col("_ru")).alias("ratio_tier"),
@@ -92,12 +90,19 @@ def rule_scores(df: DataFrame) -> DataFrame:
         F.size(R.drivers_v2(p, e, r, d)).alias("n_drivers_v2"))
 
 
-def model_scores(df: DataFrame, model: PipelineModel, name: str) -> DataFrame:
-    """L1: a saved pipeline applied to a (streaming) frame of requests."""
+def model_scores(df: DataFrame, model: PipelineModel, name: str, report: bool = False) -> DataFrame:
+    """L1: a saved pipeline applied to a (streaming) frame of requests.
+
+    ``report`` adds the probability's band and confidence and the threshold flag (R13, R16, R17).
+    """
     out = model.transform(df.withColumn(LABEL, F.lit(None).cast("int")))
-    return out.select("request_id", F.lit(name).alias("model"),
-                      F.col("prediction").cast("int").alias("prediction"),
-                      vector_to_array(F.col("probability"))[1].alias("probability"))
+    keep = ["request_id", F.lit(name).alias("model"), F.col("prediction").cast("int").alias("prediction")]
+    p = vector_to_array(F.col("probability"))[1].alias("probability")
+    if not report:
+        return out.select(*keep, p)
+    ratio = R.ratio_guarded(F.col(PREDICTED), F.col(EXPECTED)).alias("excess_ratio")
+    return R.probability_report(out.select(*keep, p, ratio), ["request_id", "model", "prediction", "excess_ratio"],
+                                "probability", F.col("excess_ratio"))
 
 
 def run_available(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Distributed order statistics: the range path equals the window path and brute force."""
+"""Distributed order statistics equal plain windows, numpy, DuckDB and brute force."""
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from penalytics.operators import metrics as M
-from penalytics.operators.ordered import exact_quantiles, rank_within, running_sum
+from penalytics.operators.ordered import exact_quantiles, order_code, rank_within, running_sum
 
 
 @pytest.fixture(scope="module")
@@ -16,34 +18,61 @@ def values(spark):
     return spark.createDataFrame(rows, "id long, a double, b double"), a, b
 
 
-@pytest.mark.parametrize("limit", [None, 10**6])
-def test_quantiles_match_numpy(values, limit):
+def test_quantiles_match_numpy(values):
     df, a, b = values
-    got = {(r["column_name"], r["prob"]): r["quantile"]
-           for r in exact_quantiles(df, ["a", "b"], [0.1, 0.25, 0.5, 0.9], window_limit=limit).collect()}
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {(r["column_name"], r["prob"]): r["quantile"] for r in exact_quantiles(df, ["a", "b"], probs).collect()}
     for name, arr in (("a", a), ("b", b)):
-        for p in (0.1, 0.25, 0.5, 0.9):
+        for p in probs:
             assert got[(name, p)] == pytest.approx(np.quantile(arr, p), rel=1e-12)
 
 
-def test_rank_within_range_path_is_exact(values):
-    df, a, _ = values
-    g = df.withColumn("g", (F.col("id") % 3).cast("int"))
-    r1 = {r["id"]: r["rank"] for r in rank_within(g, ["g"], ["a", "id"], window_limit=None, num_ranges=7).collect()}
-    r2 = {r["id"]: r["rank"] for r in rank_within(g, ["g"], ["a", "id"]).collect()}
-    assert r1 == r2
-    # ranks inside each group are 0..n-1
-    for k in range(3):
-        ranks = sorted(v for i, v in r1.items() if i % 3 == k)
-        assert ranks == list(range(len(ranks)))
+def test_order_code_never_decreases(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=3000) * 10.0 ** rng.integers(-300, 300, 3000), rng.integers(-5, 5, 200).astype(float),
+                        [0.0, -0.0, np.inf, -np.inf, 5e-324, 1.7976931348623157e308],
+                        *[[2.0 ** k, np.nextafter(2.0 ** k, 0), np.nextafter(2.0 ** k, np.inf)] for k in range(-60, 60)]])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    rows = sorted((r["x"], r["c"]) for r in df.select("x", order_code(F.col("x"), T.DoubleType()).alias("c")).collect())
+    assert all(a[1] <= b[1] for a, b in zip(rows, rows[1:]))
+    words = ["", "a", "ab", "abcd", "abcde", "b", "é", "z", "日本", "\x01"]
+    df = spark.createDataFrame([(w,) for w in words], "s string")
+    got = {r["s"]: r["c"] for r in df.select("s", order_code(F.col("s"), T.StringType()).alias("c")).collect()}
+    ordered = sorted(words, key=lambda w: w.encode())
+    assert all(got[a] <= got[b] for a, b in zip(ordered, ordered[1:]))
 
 
-def test_running_sum_paths_agree(values):
+@pytest.mark.parametrize("hot", [False, True])
+def test_rank_within_equals_a_plain_window(spark, values, hot):
+    df, _, _ = values
+    group = F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise((F.lit(0) if hot else F.col("id") % 3).cast("int"))
+    g = df.withColumn("g", group).withColumn("s", F.concat(F.lit("k"), F.col("id").cast("string")))
+    g = g.withColumn("h", F.xxhash64("id"))
+    for order, uniform in ((["a", "id"], False), (["s"], False), (["h", "id"], True), (["b"], False)):
+        plain = g.select("id", (F.row_number().over(Window.partitionBy("g").orderBy(*order)) - 1).alias("rank"))
+        want = {r["id"]: r["rank"] for r in plain.collect()}
+        got = {r["id"]: r["rank"] for r in rank_within(g, ["g"], order, uniform=uniform).collect()}
+        assert got == want, order
+    assert rank_within(g.limit(0), ["g"], ["b"]).count() == 0
+
+
+def test_running_sum_without_groups_and_over_many_codes(spark, values):
     df, _, _ = values
     x = df.groupBy("a").agg(F.count(F.lit(1)).alias("c"))
-    p1 = {r["a"]: r["cum_c"] for r in running_sum(x, [], ["a"], ["c"], window_limit=None).collect()}
-    p2 = {r["a"]: r["cum_c"] for r in running_sum(x, [], ["a"], ["c"]).collect()}
-    assert p1 == p2 and max(p1.values()) == 500
+    sums = [r["cum_c"] for r in running_sum(x, [], ["a"], ["c"]).orderBy("a").collect()]
+    counts = [r["c"] for r in x.orderBy("a").collect()]
+    assert sums == list(np.cumsum(counts)) and sums[-1] == 500
+    wide = spark.range(20_000).select(((F.col("id") - 9_000) * 3.7).alias("v"), F.lit(2).alias("w"))
+    got = running_sum(wide, [], ["v"], ["w"]).orderBy("v").select("cum_w").collect()
+    assert [r[0] for r in got] == list(range(2, 40_001, 2))
+
+
+def test_the_plan_does_not_grow_and_runs_nothing(spark):
+    def plan(n):
+        df = spark.range(n).select(F.col("id").cast("double").alias("x"))
+        return exact_quantiles(df, ["x"], [0.5])._jdf.queryExecution().analyzed().toString()
+
+    assert len(plan(10)) == pytest.approx(len(plan(10**12)), rel=0.02)
 
 
 def _auc_brute(labels, scores):
@@ -73,21 +102,13 @@ def test_confusion_cells_sum_to_n(spark):
     assert sum(r["n"] for r in M.confusion_matrix(df, ["model"]).collect()) == 37
 
 
-def test_bucketed_quantiles_match_duckdb_on_lineitem(spark):
-    """Bucketed path forced (several buckets) over all sf0.01 lineitem values."""
+def test_quantiles_match_duckdb_on_lineitem(spark):
     import duckdb
-    import penalytics.operators.ordered as O
 
     path = "/root/testdata/sf0.01/lineitem.parquet"
     df = spark.read.parquet(path).select("l_extendedprice", "l_quantity")
     probs = [0.01, 0.25, 0.5, 0.75, 0.99]
-    old = O.BUCKET_ROWS
-    O.BUCKET_ROWS = 5_000  # ~12 buckets over 60k rows
-    try:
-        got = {(r[0], r[1]): r[2] for r in
-               exact_quantiles(df, ["l_extendedprice", "l_quantity"], probs, window_limit=1000).collect()}
-    finally:
-        O.BUCKET_ROWS = old
+    got = {(r[0], r[1]): r[2] for r in exact_quantiles(df, ["l_extendedprice", "l_quantity"], probs).collect()}
     con = duckdb.connect()
     for c in ("l_extendedprice", "l_quantity"):
         for p in probs:

@@ -46,3 +46,43 @@ def test_partitioned_sink_prunes(spark):
     assert "PartitionFilters: [isnotnull(state" in plan and "AL" in plan
     assert q.count() == K.cleaned(spark, SF_SMALL).where(F.col("state") == "AL").count()
     assert df.count() == K.cleaned(spark, SF_SMALL).count()
+
+
+def _tables(spark, folder, types=("ECONOMY", "LARGE", "NEW1", "NEW2"), keys=(7, 123456, 1234567, 1234568)):
+    """A small set of tables: wide supplier keys, unknown part types, a condition without returns."""
+    parts = [(i, t) for i, t in enumerate(types)]
+    suppliers = [(k, f"S{k}", k % 25) for k in keys]
+    lines = [(p, k, "R" if types[p] != "LARGE" and (n + k) % 3 == 0 else "N") for p, _ in parts for k in keys for n in range(9)]
+    for name, rows, schema in (("part", parts, "p_partkey long, p_type string"),
+                               ("supplier", suppliers, "s_suppkey long, s_name string, s_nationkey long"),
+                               ("lineitem", lines, "l_partkey long, l_suppkey long, l_returnflag string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_wide_ids_unknown_types_and_a_condition_without_returns(spark, tmp_path):
+    from penalytics.operators import clean as C
+    from penalytics.sources.fixture import hrrp_raw
+    df = hrrp_raw(spark, _tables(spark, tmp_path))
+    rows = df.collect()
+    assert {r["facility_id"] for r in rows} == {"000007", "123456", "1234567", "1234568"}
+    keys = [(r["facility_id"], r["measure_name"]) for r in rows]
+    assert len(keys) == len(set(keys)) == 12  # both unknown types are one condition
+    none = [r for r in rows if r["measure_name"] == "Heart Failure (HF)"]
+    assert len(none) == 4 and all(r["excess_readmission_ratio"] in (None, "N/A") for r in none)
+    assert C.clean(df).where("measure_name = 'Heart Failure (HF)'").count() == 0
+
+
+def test_strict_drop_keeps_complete_rows_with_a_footnote(spark):
+    from penalytics.operators import clean as C
+    from penalytics.plans import catalog as K
+    from tests.conftest import SF_MID
+    kept = C.clean_strict(K.raw(spark, SF_MID)).collect()
+    assert len(kept) > 10 and {r["footnote"] for r in kept} == {"29"}
+
+
+def test_spellings_reach_the_view(spark):
+    from penalytics.plans import catalog as K
+    from tests.conftest import SF_MID
+    texts = [r[0] for r in K.raw(spark, SF_MID).select("number_of_discharges").collect()]
+    assert {"N/A", "NA", "null"} <= set(texts) and any(t.endswith(".0") for t in texts)

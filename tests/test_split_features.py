@@ -39,6 +39,43 @@ def test_split_deterministic(spark, split):
     assert a == b
 
 
+@pytest.mark.parametrize("share, wanted", [(0.3, 300), (0.4, 400), (0.2, 200), (0, 0), (1, 1000), (0.125, 125)])
+def test_asked_sizes(spark, share, wanted):
+    df = spark.range(1000).withColumn("is_penalized", F.lit(1))
+    out = FE.stratified_split(df, ["id"], test_fraction=share)
+    assert out.where("split = 'test'").count() == wanted and out.count() == 1000
+
+
+def test_rows_without_a_label_stay(spark):
+    df = spark.range(100).withColumn("is_penalized", F.when(F.col("id") % 5 > 0, (F.col("id") % 2).cast("int")))
+    out = FE.stratified_split(df, ["id"])
+    assert out.count() == 100 and out.where("is_penalized is null and split = 'test'").count() == 4
+
+
+def test_weights_come_from_the_rows_of_the_fit(spark):
+    from penalytics.operators import models as MD
+    rows = K.split_frame(spark, SF_MID)
+    changed = rows.withColumn("is_penalized", F.when(F.col("split") == "test", 1 - F.col("is_penalized")).otherwise(F.col("is_penalized")))
+    facts = [MD.fit_facts(MD.labelled(d.where("split = 'train'")), MD.NUM_FEATURES, MD.CAT_FEATURES) for d in (rows, changed)]
+    assert facts[0] == facts[1]
+    counts = {float(r[0]): r[1] for r in rows.where("split = 'train'").groupBy("is_penalized").count().collect()}
+    assert FE.balanced_weights(facts[0].classes) == {c: sum(counts.values()) / (2 * n) for c, n in counts.items()}
+
+
+def test_prepared_features_equal_the_single_steps(spark):
+    from pyspark.ml import PipelineModel
+    from penalytics.operators import models as MD
+    train = MD.labelled(K.split_frame(spark, SF_MID).where("split = 'train'"))
+    stages, _ = MD.fit_preprocessing(train)
+    out = PipelineModel(stages).transform(train)
+    plain = FE.impute_frame(train, MD.NUM_FEATURES, MD.CAT_FEATURES)
+    plain = FE.PopulationScaler(inputCols=MD.NUM_FEATURES).fit(plain).transform(plain)
+    names = [c + "_scaled" for c in MD.NUM_FEATURES]
+    a = {r["row_id"]: [r[c] for c in names] for r in out.collect()}
+    b = {r["row_id"]: [r[c] for c in names] for r in plain.collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
 def test_median_imputer_interpolates(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,), (None,)], "x double")
     out = FE.ExactMedianImputer(inputCols=["x"]).fit(df).transform(df)
