@@ -13,8 +13,9 @@ Both public model kinds are decoded as their library defines them:
   most one path to a boundary survives, and the search finds the merge result.
 
 Characters outside the vocabulary become byte pieces. Where no vocabulary piece
-runs across a word start, all paths meet there; the ids of such a span depend on
-the span alone, and recent spans are remembered (a bounded memo in each worker).
+runs across a kind of boundary (before words, between letters and other characters),
+all paths meet there; the ids of such a span depend on the span alone, and recent
+spans are remembered (a bounded memo in each worker).
 
 Defined results: null is encoded like an empty text, to no ids. Decoding gives
 the text back byte for byte, except that U+2581, the model's own mark for a
@@ -25,6 +26,7 @@ read on the driver and sent to the executors (it has a fixed size).
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -100,13 +102,80 @@ class Model:
                 self.bytes[int(self.pieces[i][3:5], 16)] = i
         self.longest = max(map(len, self.ids))
         self.unknown_score = min(self.scores[i] for i in self.ids.values()) - 10.0
-        #: No piece runs from one word into the next.
-        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.endings = self._endings()
-
-    def _endings(self) -> frozenset[str]:
-        """Every suffix of a piece: what a search backwards from a boundary may meet."""
-        return frozenset(p[i:] for p in self.ids for i in range(len(p)))
+        #: Every suffix of a piece, which a search backwards from a boundary may meet, with
+        #: the piece's id where the suffix is a piece itself.
+        self.endings: dict[str, int | None] = {p[i:]: None for p in self.ids for i in range(len(p))}
+        self.endings.update(self.ids)
+        self.span = self._span()
+
+    def _span(self) -> re.Pattern | None:
+        """Cuts marked text where no piece of the vocabulary runs across; None: nowhere.
+
+        Looked for, from fine to coarse: cuts between letters, digits and other characters
+        (and between digits), and before each word.
+        """
+        odd = "_" + "".join(sorted({c for p in self.ids for c in p if c.isalnum() and not c.isalpha() and not c.isdecimal()}))
+        fine = (rf"{SPACE}*[^\W\d{odd}]+", rf"{SPACE}*\d", rf"{SPACE}*(?:[^\w{SPACE}]|[{odd}])+", rf"{SPACE}+")
+        for kinds in (fine, (rf"{SPACE}+[^{SPACE}]*", rf"[^{SPACE}]+")):
+            span = re.compile("|".join(kinds))
+            if all(span.fullmatch(p) for p in self.ids):
+                return span
+        return None
+
+
+#: What stands for a piece in ``last``: the start of a text, and a character outside the vocabulary.
+START, OTHER = -1, -2
+_MISSING = object()
+
+
+def extend(model: Model, joins: "Joins | None", text: str, back: list, value: list, last: list) -> None:
+    """Viterbi step for every boundary of ``text`` that the three lists don't reach yet.
+
+    ``back``: start of the best piece that ends at a boundary; ``last``: that piece's id
+    (None: no path arrives); ``value``: the path's score, which only unigram models have.
+    ``last[0]`` is the piece before the text.
+    """
+    lookup = model.endings.get
+    for end in range(len(back), len(text) + 1):
+        found, start_of, best = None, end - 1, 0.0
+        start = end - 1
+        while start >= 0:
+            number = lookup(text[start:end], _MISSING)
+            if number is _MISSING:
+                break
+            if number is not None and (left := last[start]) is not None:
+                if joins is not None:
+                    kept = joins.apart[number].get(left)
+                    if kept is None:
+                        kept = joins.stays_apart(left, number)
+                    if kept:  # no other path can arrive here
+                        found, start_of = number, start
+                        break
+                elif found is None or value[start] + model.scores[number] > best:
+                    found, start_of, best = number, start, value[start] + model.scores[number]
+            start -= 1
+        if last[end - 1] is not None and text[end - 1] not in model.ids:  # byte pieces
+            other = value[end - 1] + model.unknown_score
+            if found is None or joins is None and other > best:
+                found, start_of, best = OTHER, end - 1, other
+        back.append(start_of)
+        value.append(0.0 if joins else best)
+        last.append(found)
+
+
+def trace(model: Model, text: str, back: list, last: list, end: int) -> list[int]:
+    """Ids of the path to the boundary ``end``."""
+    found: list[int] = []
+    while end > 0:
+        start, number = back[end], last[end]
+        if number >= 0:
+            found.append(number)
+        elif model.fallback:
+            found += [model.bytes[b] for b in reversed(text[start:end].encode())]
+        else:
+            found.append(model.unknown)
+        end = start
+    return found[::-1]
 
 
 class Encoder:
@@ -115,108 +184,117 @@ class Encoder:
     def __init__(self, model: Model, joins: "Joins | None"):
         self.model, self.joins = model, joins
         self.text = ""  # characters after the last committed boundary
-        self.back = [0]  # for each boundary of the window: start of the piece that ends there
-        self.value = [0.0]
-        self.last: list[str | None] = [None]  # the piece itself; None at the committed boundary
-        self.before: str | None = None  # last committed piece
+        self.back, self.value, self.last = [0], [0.0], [START]
 
     def feed(self, chunk: str) -> Iterator[int]:
         size = 4 * self.model.longest
         for at in range(0, len(chunk), size):
-            self._extend(chunk[at: at + size])
+            self.text += chunk[at: at + size]
+            extend(self.model, self.joins, self.text, self.back, self.value, self.last)
             yield from self._commit()
 
     def finish(self) -> Iterator[int]:
-        yield from self._ids(len(self.text))
+        yield from trace(self.model, self.text, self.back, self.last, len(self.text))
         self.__init__(self.model, self.joins)
 
-    def _extend(self, chunk: str) -> None:
-        model, first = self.model, len(self.text)
-        self.text += chunk
-        text, ids, scores, endings = self.text, model.ids, model.scores, model.endings
-        for end in range(first + 1, len(text) + 1):
-            best, start_of, piece_of = None, end - 1, None
-            for start in range(end - 1, max(-1, end - 1 - model.longest), -1):
-                piece = text[start:end]
-                if piece not in endings:
-                    break
-                if (number := ids.get(piece)) is None or self.value[start] is None:
-                    continue
-                if self.joins is None:
-                    value = self.value[start] + scores[number]
-                    if best is None or value > best:
-                        best, start_of, piece_of = value, start, piece
-                elif self.joins.stays_apart(self.last[start] if start else self.before, piece):
-                    best, start_of, piece_of = 0.0, start, piece
-                    break
-            one = text[end - 1]
-            if one not in ids and self.value[end - 1] is not None:  # byte pieces
-                value = self.value[end - 1] + (model.unknown_score if self.joins is None else 0.0)
-                if best is None or value > best:
-                    best, start_of, piece_of = value, end - 1, one
-            self.back.append(start_of)
-            self.value.append(best)
-            self.last.append(piece_of)
-
-    def _commit(self) -> Iterator[int]:
+    def _commit(self) -> list[int]:
         """Give out what all boundaries still in reach have in common."""
         end = len(self.text)
-        live = {b for b in range(max(0, end - self.model.longest), end + 1) if self.value[b] is not None}
+        live = {b for b in range(max(0, end - self.model.longest), end + 1) if self.last[b] is not None}
         while len(live) > 1:
             far = max(live)
             live.remove(far)
             live.add(self.back[far])
         common = live.pop()
+        final = trace(self.model, self.text, self.back, self.last, common)
         if common:
-            yield from self._ids(common)
-            self.before = self.last[common]
             gone = self.value[common]
             self.text = self.text[common:]
             self.back = [max(0, b - common) for b in self.back[common:]]
-            self.value = [v if v is None else v - gone for v in self.value[common:]]
+            self.value = [v - gone for v in self.value[common:]]
             self.last = self.last[common:]
-
-    def _ids(self, end: int) -> Iterator[int]:
-        path = []
-        while end > 0:
-            path.append(self.last[end])
-            end = self.back[end]
-        model = self.model
-        for piece in reversed(path):
-            if piece in model.ids:
-                yield model.ids[piece]
-            elif model.fallback:
-                yield from (model.bytes[b] for b in piece.encode())
-            else:
-                yield model.unknown
+        return final
 
 
 class Joins:
     """Whether byte-pair merging keeps two neighbouring pieces apart; remembers what it has seen."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.pieces = model.pieces
         self.rank = {p: -model.scores[i] for p, i in model.ids.items()}
-        self.apart: dict[tuple[str | None, str], bool] = {}
+        self.apart: list[dict[int, bool]] = [{} for _ in model.pieces]  # by the right piece
+        self.seen = 0
+        self.grown: dict[str, tuple | None] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """Plain byte-pair merging: the best neighbouring pair first, the leftmost of equals."""
+    def merged(self, text: str) -> tuple[list[str], list[str], list[str]]:
+        """Plain byte-pair merging (best neighbouring pair first, the leftmost of equals).
+
+        Its result, and the first and last part at all times when they grew.
+        """
         parts, rank = list(text), self.rank
+        firsts, lasts = [parts[0]], [parts[-1]]
         while len(parts) > 1:
-            best = min(((rank.get(a + b, np.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
+            best = min([(rank.get(a + b, np.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))])
             if best[0] == np.inf:
                 break
             i = best[1]
+            if i == len(parts) - 2:
+                lasts.append(parts[i] + parts[i + 1])
             parts[i: i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def stays_apart(self, left: str | None, right: str) -> bool:
-        key = (left, right)
-        if (known := self.apart.get(key)) is None:
-            if len(self.apart) > 500_000:
-                self.apart.clear()
-            known = self.apart[key] = self.merged((left or "") + right) == ([right] if left is None else [left, right])
-        return known
+            if i == 0:
+                firsts.append(parts[0])
+        return parts, firsts, lasts
+
+    def _growth(self, piece: str) -> tuple[list, list, bool] | None:
+        """Growth of a piece's first and last part, and whether ranks only rise; None if merging doesn't make it."""
+        if piece not in self.grown:
+            parts, firsts, lasts = self.merged(piece)
+            rises = all(self.rank[a] < self.rank[b] for grown in (firsts, lasts) for a, b in zip(grown[1:], grown[2:]))
+            self.grown[piece] = (firsts, lasts, rises) if parts == [piece] else None
+        return self.grown[piece]
+
+    def _meet(self, left: str, right: str) -> bool:
+        """Whether the two merge across their boundary while both grow.
+
+        The parts at the boundary change when a side's next merge is due; a merge
+        across comes first if its rank is smaller, or equal to that of the right side.
+        """
+        rank, never = self.rank, np.inf
+        lasts, firsts = self.grown[left][1], self.grown[right][0]
+        i = j = 0
+        while True:
+            due_left = rank[lasts[i + 1]] if i + 1 < len(lasts) else never
+            due_right = rank[firsts[j + 1]] if j + 1 < len(firsts) else never
+            across = rank.get(lasts[i] + firsts[j], never)
+            if across < due_left and across <= due_right:
+                return True
+            if due_left == due_right == never:
+                return False
+            if due_left <= due_right:
+                i += 1
+            else:
+                j += 1
+
+    def stays_apart(self, left: int, right: int) -> bool:
+        """Whether the piece ``right`` may follow ``left`` (START: nothing; OTHER: never merges)."""
+        self.seen += 1
+        if self.seen > 500_000:  # bounds what is remembered
+            self.apart, self.seen = [{} for _ in self.pieces], 0
+        after = self.pieces[right]
+        own = self._growth(after)
+        if left >= 0:
+            before = self.pieces[left]
+            other = self._growth(before)
+        if own is None or left >= 0 and other is None:
+            kept = False
+        elif left < 0:
+            kept = True
+        elif own[2] and other[2]:
+            kept = not self._meet(before, after)
+        else:
+            kept = self.merged(before + after)[0] == [before, after]
+        self.apart[right][left] = kept
+        return kept
 
 
 class Codec:
@@ -225,17 +303,19 @@ class Codec:
     def __init__(self, data: bytes, memo_spans: int = MEMO_SPANS):
         self.model = model = Model(data)
         self.joins = Joins(model) if model.is_bpe else None
-        self.span = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         codec = self
 
         class Memo(dict):
             def __missing__(self, span: str) -> bytes:
                 if len(self) >= memo_spans:
                     self.clear()
-                ids = np.array(list(codec.stream([span])), "<i4").tobytes()
-                if len(span) <= 64:
-                    self[span] = ids
-                return ids
+                if len(span) > 64:
+                    return np.array(list(codec.stream([span])), "<i4").tobytes()
+                back, value, last = [0], [0.0], [START]
+                extend(model, codec.joins, span, back, value, last)
+                ids = trace(model, span, back, last, len(span))
+                self[span] = packed = struct.pack(f"<{len(ids)}i", *ids)
+                return packed
 
         self.memo = Memo()
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() if k == NORMAL else
@@ -253,9 +333,9 @@ class Codec:
 
     def encode(self, text: str | None) -> np.ndarray:
         marked = self.marked(text or "")
-        if not self.model.by_word:
+        if self.model.span is None:
             return np.array(list(self.stream([marked])), "<i4")
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.span.findall(marked))), "<i4")
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.model.span.findall(marked))), "<i4")
 
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
