@@ -61,9 +61,17 @@ def _kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 def drop_cached_views() -> None:
     """Release every kept view, fitted model and scored table."""
-    for kept in (*_VIEWS.values(), *_SCORED.values()):
+    for kept in _VIEWS.values():
         kept.unpersist()
-    for cache in (_VIEWS, _SCORED, _FITTED, _CV):
+    _VIEWS.clear()
+    drop_models()
+
+
+def drop_models() -> None:
+    """Forget the fitted models, their scored tables and CV results; the views stay."""
+    for kept in _SCORED.values():
+        kept.unpersist()
+    for cache in (_SCORED, _FITTED, _CV):
         cache.clear()
 
 
