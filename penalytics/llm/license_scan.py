@@ -95,8 +95,10 @@ def _units(text: Column) -> Column:
     """Whole text, paragraphs and lines, normalised, as arrays of words."""
     spaced = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
     lined = F.regexp_replace(spaced, r" ?\n ?", "\n")
-    units = F.flatten(F.transform(F.array(lined), lambda t: F.concat(F.array(t), F.split(t, "\n\n+"), F.split(t, "\n"))))
-    return F.transform(units, lambda u: F.trim(F.translate(u, "\n", " ")))
+    units = F.flatten(F.transform(F.array(lined), lambda t: F.concat(
+        F.array(F.regexp_replace(t, "\n+", " ")), F.transform(F.split(t, "\n\n+"), lambda p: F.translate(p, "\n", " ")),
+        F.split(t, "\n"))))
+    return F.transform(units, lambda u: F.trim(u))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -153,7 +155,7 @@ texts AS (
          regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g') AS n
   FROM documents),
 units AS (
-  SELECT r, generate_subscripts(u, 1) AS k, trim(replace(unnest(u), chr(10), ' ')) AS unit
+  SELECT r, generate_subscripts(u, 1) AS k, trim(regexp_replace(unnest(u), '\n+', ' ', 'g')) AS unit
   FROM (SELECT r, list_concat(list_concat([n], regexp_split_to_array(n, '\n\n+')), string_split(n, chr(10))) AS u FROM texts)),
 unit_grams AS (
   SELECT r, k, size, g, count(*) AS c FROM (
