@@ -18,9 +18,24 @@ from penalytics.sources.tables import table_path
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
+#: Folders that this application has made.
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder under the shared folder, as a URI; never used twice."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
+    return _MADE[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the staged folders of this application, once no result that reads them is needed; their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
