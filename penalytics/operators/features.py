@@ -207,12 +207,13 @@ def stratified_split(df: DataFrame, key: list[str], label: str = LABEL, seed: in
 
 
 def one_hot_columns(df: DataFrame, cols: list[str], prefix_sep: str = "_",
-                    vocabulary: dict[str, list[str]] | None = None) -> DataFrame:
+                    vocabulary: dict[str, list[str]] | None = None, max_levels: int = 5000) -> DataFrame:
     """H3: dummy 0/1 columns ``<col>_<level>``, the source columns replaced.
 
     Without ``vocabulary`` every level present gets a column, in alphabetical
     order (get_dummies semantics); the levels are collected first, like
-    ``StringIndexer`` does, so the driver holds one entry per distinct level.
+    ``StringIndexer`` does.  More than ``max_levels`` of them, too many for a
+    plan with a column each, raise an error and nothing is collected.
     With ``vocabulary`` (e.g. a dimension table's codes) the columns are fixed
     in advance and no collection happens.
     """
@@ -220,6 +221,9 @@ def one_hot_columns(df: DataFrame, cols: list[str], prefix_sep: str = "_",
         levels = {c: list(vocabulary[c]) for c in cols}
     else:
         levels = {c: [] for c in cols}
+        n = df.agg(F.greatest(F.lit(0), *[F.count_distinct(c) for c in cols])).first()[0]
+        if n > max_levels:
+            raise ValueError(f"{n} levels in one column; name the wanted ones in vocabulary")
         for r in category_levels(df, cols).orderBy("column_name", "level_index").collect():
             levels[r["column_name"]].append(r["level"])
     keep = [F.col(c) for c in df.columns if c not in cols]

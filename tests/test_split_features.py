@@ -103,6 +103,8 @@ def test_one_hot_columns(spark):
     out = FE.one_hot_columns(df, ["s", "t"]).orderBy("id")
     assert out.columns == ["id", "s_a", "s_b", "t_x", "t_y"]
     assert [tuple(r)[1:] for r in out.collect()] == [(0, 1, 1, 0), (1, 0, 0, 0), (0, 1, 0, 1)]
+    with pytest.raises(ValueError, match="levels"):
+        FE.one_hot_columns(df, ["s", "t"], max_levels=1)
 
 
 def test_approx_options_close_to_exact(spark):
