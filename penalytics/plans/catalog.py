@@ -20,7 +20,7 @@ from . import metrics_sql as MS
 from ..operators import metrics as M
 from ..operators import features as FE
 from ..operators import models as MD
-from ..session import shared_path
+from ..session import delete_path, shared_path
 from ..sources.votes import row_id as make_row_id
 from ..streaming import scoring as ST
 from ..sources.votes import votes as make_votes
@@ -34,8 +34,10 @@ from .registry import register
 
 # S4 cached load.  A query that reads the view once takes the pruned lineage (``raw``,
 # ``cleaned``): its columns alone reach the scans.  A query that reads it several times,
-# and a fit, take ``loaded``: the cleaned columns, kept (memory, spilling to disk) while
-# their input folder is in use; loading another folder releases the former one.
+# and a fit, take ``loaded``: the cleaned columns, written once to the shared folder.  Its
+# readers prune columns there, their plans start at a scan and not at the whole lineage,
+# and a lost executor loses nothing.  ``drop_cached_views`` deletes them; results that
+# read them lazily must be used before that.
 _VIEWS: dict = {}
 
 
@@ -50,19 +52,16 @@ def _app(spark: SparkSession):
 def _kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     key = (_app(spark), sf_dir, name)
     if key not in _VIEWS:
-        if any(k[:2] != key[:2] for k in _VIEWS):
-            drop_cached_views()
-        # Performance-only optimizer flag (results are unchanged): AQE sizes the
-        # kept partitions from runtime statistics.
-        spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
-        _VIEWS[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
-    return _VIEWS[key]
+        df, path = build(), shared_path(spark, f"view-{name}")
+        df.write.parquet(path)
+        _VIEWS[key] = (path, spark.read.schema(df.schema).parquet(path))
+    return _VIEWS[key][1]
 
 
 def drop_cached_views() -> None:
-    """Release every kept view, fitted model and scored table."""
-    for kept in _VIEWS.values():
-        kept.unpersist()
+    """Delete every kept view, and forget fitted models and scored tables."""
+    for path, kept in _VIEWS.values():
+        delete_path(kept.sparkSession, path)
     _VIEWS.clear()
     drop_models()
 

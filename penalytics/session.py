@@ -70,6 +70,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder of the shared store through Spark's file-system layer."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cluster_conf(total_cores: int, executor_memory_gb: int = 16) -> dict:
     """Starting settings for a large cluster (pass as ``extra`` or spark-submit --conf).
 
