@@ -1,11 +1,12 @@
 """Shards of nearly equal size by longest-processing-time scheduling.
 
 Rows with equal texts form a group and stay together. Groups are summed up by
-Spark; the ``heads`` largest are scheduled one by one, all others in ``heads``
-bundles by a hash of their text (a group is never split). Items go, from the
-largest to the smallest, to the least-loaded shard, taken from a heap. The heap sees
-at most 2 x ``heads`` items whatever the corpus holds, each bundle is about a
-``heads``-th of the rest, and so shards come out within a small part of a percent.
+Spark; those that hold a ``heads``-th of all bytes or more, of which there can be no
+more than ``heads``, are scheduled one by one, all others in ``heads`` bundles by a
+hash of their text (a group is never split). Items go, from the largest to the
+smallest, to the least-loaded shard, taken from a heap. The heap sees at most
+2 x ``heads`` items whatever the corpus holds, each bundle is about a ``heads``-th of
+the rest, and so shards come out within a small part of a percent.
 
 Slots number the rows of a shard from 0 without gaps. Rows are numbered within
 cells (a shard's part by a hash of the row) of about ``cell_rows`` rows, and the
@@ -48,12 +49,11 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), text_key(F.col(text_col)).alias("key")), "shard-rows")
     groups = stage(rows.groupBy("key").agg(F.sum("size").alias("total"), F.count("*").alias("n")), "shard-groups")
-    largest = groups.orderBy(F.desc("total"), "key").limit(heads)
+    size, count = groups.agg(F.sum("total"), F.sum("n")).first()
+    is_head = F.col("total") * F.lit(heads) >= F.lit(int(size or 0))
     bundle = F.pmod(F.xxhash64("key.a", "key.b"), F.lit(heads))
-    top = [(r["total"], (0, r["key"]["a"], r["key"]["b"])) for r in largest.collect()]  # at most ``heads`` rows
-    keys = spark.createDataFrame([(a, b) for _, (_, a, b) in top], "a long, b long")
-    keys = keys.select(F.struct("a", "b").alias("key"))
-    rest = groups.join(F.broadcast(keys), "key", "left_anti").groupBy(bundle.alias("bundle")).agg(F.sum("total").alias("total"))
+    top = [(r["total"], (0, r["key"]["a"], r["key"]["b"])) for r in groups.where(is_head).collect()]  # at most ``heads`` rows
+    rest = groups.where(~is_head).groupBy(bundle.alias("bundle")).agg(F.sum("total").alias("total"))
     bundles = [(r["total"], (1, r["bundle"], 0)) for r in rest.collect()]  # at most ``heads`` rows
     plan = longest_first(top + bundles, shards)
     single = spark.createDataFrame([(a, b, s) for (k, a, b), s in plan.items() if k == 0], "a long, b long, own int")
@@ -61,7 +61,7 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     shared = spark.createDataFrame([(a, s) for (k, a, _), s in plan.items() if k == 1], "bundle long, other int")
     placed = rows.withColumn("bundle", bundle)
     placed = placed.join(F.broadcast(single), "key", "left").join(F.broadcast(shared), "bundle", "left")
-    cells = max(16, -(-int(groups.agg(F.sum("n")).first()[0] or 0) // (shards * cell_rows)))
+    cells = max(16, -(-int(count or 0) // (shards * cell_rows)))
     placed = placed.select("doc_id", "size", "text_crc32", "key", F.coalesce("own", "other").alias("shard"),
                            F.pmod(F.xxhash64(F.lit("cell"), "doc_id", "key.a"), F.lit(cells)).alias("cell"))
     counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
