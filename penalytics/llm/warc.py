@@ -185,8 +185,11 @@ RECORDS = ("page_id long, url string, record_type string, refers_to long, payloa
            "payload_bytes long, payload binary")
 
 
-def read_archives(folder: str, manifest: DataFrame) -> DataFrame:
-    """``RECORDS`` of the manifest's files, each digest checked; a revisit has no payload of its own."""
+def read_archives(folder: str, manifest: DataFrame, most_tasks: int = 50_000) -> DataFrame:
+    """``RECORDS`` of the manifest's files, each digest checked; a revisit has no payload of its own.
+
+    A task reads a file, or several where there are more than ``most_tasks`` files.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, path = _folder(folder)
@@ -211,7 +214,9 @@ def read_archives(folder: str, manifest: DataFrame) -> DataFrame:
                             rows, size = [], 0
                     yield _frame(rows)
 
-    return manifest.select("file").repartition("file").mapInPandas(run, RECORDS)
+    # A stated number of tasks: names are few bytes, by which Spark would put all files into one task.
+    tasks = max(1, min(manifest.count(), most_tasks))
+    return manifest.select("file").repartitionByRange(tasks, "file").mapInPandas(run, RECORDS)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
