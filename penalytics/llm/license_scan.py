@@ -7,8 +7,8 @@ template are compared by the Dice coefficient of their bags of word bigrams,
 
 * size: a coefficient of t needs sizes within a factor (2 - t) / t of each other;
 * anchors: it also needs t / (2 - t) of the template's bigrams, so a unit without
-  any of a template's remaining share + 1 bigrams (the longest, which are rare in
-  prose) can't match.
+  any of a template's remaining share + 1 bigrams (those with numbers or long words)
+  can't match, and neither can a text without the words of any of them.
 
 Each unit gets the template with the largest coefficient (ties: the name that
 comes first). There is no join and no shuffle: every row is judged on its own.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,9 +87,17 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
 
 
 def anchors(grams: list[str], threshold: float) -> list[str]:
-    """Bigrams of which a matching unit must hold one."""
+    """Bigrams of which a matching unit must hold one: those with numbers or long words, which are rare in prose."""
     spare = len(grams) - math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
-    return sorted(grams, key=lambda g: (-len(g), g))[: spare + 1]
+    return sorted(grams, key=lambda g: (-8 * any(c.isdigit() for c in g) - max(map(len, g.split())), g))[: spare + 1]
+
+
+def marks(wanted: list[str], long: int = 6) -> list[tuple[str, ...]]:
+    """Words of which a text must hold all of one entry to hold an anchor: a long word, or else both words."""
+    words = {max(a.split(), key=lambda w: (len(w), w)) for a in wanted}
+    words = {w for w in words if len(w) >= long}
+    one = sorted(w for w in words if not any(o != w and o in w for o in words))
+    return [(w,) for w in one] + sorted({tuple(a.split()) for a in wanted if not any(w in a for w in one)})
 
 
 def _units(text: Column) -> Column:
@@ -119,12 +128,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
 
     def dice(unit: Column, grams: Counter, size: int, bound: tuple[int, int]) -> Column:
-        table = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(c).alias("c")) for g, c in sorted(grams.items())])
+        table = F.expr("array(" + ", ".join(f"named_struct('g', '{g}', 'c', {c})" for g, c in sorted(grams.items())) + ")")
         shared = F.aggregate(table, F.lit(0), lambda total, t: total + F.least(
             t["c"], F.size(F.filter(unit, lambda x: x == t["g"]))))
         return F.when(F.size(unit).between(*bound), shared * 2.0 / (F.size(unit) + size)).otherwise(0.0)
 
-    text = whole(F.col(text_col))
+    # bound to a name by the one-element array, so that the text is lowered once
+    marked = F.exists(F.array(F.lower(whole(F.col(text_col)))), lambda t: reduce(
+        lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.contains(t, F.lit(w)) for w in entry]) for entry in marks(wanted)]))
+    text = F.when(marked, whole(F.col(text_col))).otherwise(F.lit(""))
     sized = F.filter(_units(text), lambda u: words_in(u).between(least + 1, most + 1))
     grams = F.transform(F.transform(sized, lambda u: F.split(u, " ")), pairs)
     likely = F.filter(grams, lambda g: F.exists(g, lambda x: x.isin(wanted)))
