@@ -7,7 +7,10 @@ the lineage and outlive any executor; nothing is kept in a folder of one machine
 from __future__ import annotations
 
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +49,30 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep the batches that Python workers hold small, whatever the texts' length."""
+#: Applications whose Python workers have the package.
+_SHIPPED: set[str] = set()
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """Call before using Python in tasks: gives workers this package, and small Arrow batches.
+
+    The package goes to the executors as an archive through Spark itself, so it needn't be
+    installed there. Batches stay small whatever the texts' length.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        # in the driver's folder for files to be served, which Spark deletes at the end
+        folder = Path(SparkFiles.getRootDirectory()) / "packages"
+        folder.mkdir(exist_ok=True)
+        archive = folder / f"{package.name}-{uuid.uuid4().hex[:8]}.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _SHIPPED.add(app)
 
 
 def whole(text: Column) -> Column:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stage, text_key
+from .common import prepare_workers, stage, text_key
 
 WORDS = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -172,7 +172,7 @@ def find_copies(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
                 threshold: float = THRESHOLD, block_words: int = 2_000_000) -> DataFrame:
     """Pairs doc_id, key (the text's 128-bit key), item_id, score, end_word: each item found in each row."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare_workers(spark)
     texts = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"),
                         F.col(text_col).cast("string").alias("text"))
     texts = texts.select("doc_id", F.col("key.a").alias("a"), F.col("key.b").alias("b"), "text")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_batches, scratch_path, stage, whole
+from .common import prepare_workers, scratch_path, stage, whole
 
 TABLE_BYTES = 64 << 20
 FANOUT_BITS = 4
@@ -210,7 +210,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              normalise: Callable[[Column], Column] = lambda c: c, table_bytes: int = TABLE_BYTES) -> tuple[DataFrame, DataFrame]:
     """Rows with their group within a task, and the classes of the groups that met others."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare_workers(spark)
     content = normalise(whole(F.col(text_col)))
     keyed = docs.withColumns({f"{OWN}cmp": content.cast("binary"), f"{OWN}hash": F.xxhash64(content),
                               f"{OWN}sha256": F.sha2(content.cast("binary"), 256)})

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import prepare_workers
 
 # Frequent function words.
 STOP_WORDS = frozenset("""
@@ -270,6 +270,6 @@ def extract(page: Column) -> Column:
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row."""
-    bounded_batches(pages.sparkSession)
+    prepare_workers(pages.sparkSession)
     out = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), extract(F.col(html_col)).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import prepare_workers
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -125,7 +125,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         fit_docs: int = 4000, alpha: float = 0.5) -> LanguageModel:
     """Learn from labelled rows; about ``fit_docs`` of each language, by a hash of the id."""
-    bounded_batches(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -169,7 +169,7 @@ def held_out(doc_id: Column) -> Column:
 
 def predict_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, languages, proportions of every document."""
-    bounded_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     docs = docs.select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out(F.col("doc_id"))))
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"),
@@ -186,7 +186,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.2) -> DataFrame:
     only texts without a letter go.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare_workers(spark)
     model = fit(docs.where(~held_out(F.col("doc_id"))))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import prepare_workers
 
 SPACE = "▁"
 #: Spans that a worker remembers before it starts anew.
@@ -349,7 +349,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     says that decoding the ids gives the text back (U+2581 read as a space).
     """
     spark: SparkSession = docs.sparkSession
-    bounded_batches(spark)
+    prepare_workers(spark)
     with open(model_file, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stage, text_key, whole
+from .common import prepare_workers, stage, text_key, whole
 from .components import components
 
 SEED = 42
@@ -91,7 +91,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``keeper`` is the struct (no_id, doc_id, key) that comes first: the row that a filter keeps.
     """
-    bounded_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     rows = stage(docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"),
                              fingerprint_of(F.col(text_col), shingle).alias("fp")), "simhash")
     me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")

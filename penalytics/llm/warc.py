@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, scratch_path, stage
+from .common import prepare_workers, scratch_path, stage
 from .exact_dedup import _folder
 
 ROLL_BYTES = 64 << 20
@@ -121,7 +121,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
                    payload_col: str = "html", least_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> tuple[str, DataFrame]:
     """Write a record for each row below ``folder`` (a URI); returns the folder and the manifest."""
     spark = pages.sparkSession
-    bounded_batches(spark)
+    prepare_workers(spark)
     folder = folder or scratch_path(spark, "warc")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
