@@ -41,6 +41,11 @@ def fixed(c: Column, decimals: int) -> Column:
     return F.regexp_replace(F.format_number(c, decimals), ",", "")
 
 
+def money(c: Column) -> Column:
+    """``$1,234`` text: comma grouping, no decimals, half-even."""
+    return F.concat(F.lit("$"), F.format_number(c, 0))
+
+
 def percent(c: Column, decimals: int = 1) -> Column:
     """Fraction -> ``12.3%`` text."""
     return F.concat(fixed(c * 100, decimals), F.lit("%"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import fixed, guarded_ratio, is_priority_condition, percent, prefix, safe_divide
+from ..functions.scalar import fixed, guarded_ratio, is_priority_condition, money, percent, prefix, safe_divide
 from .clean import DISCHARGES, EXPECTED, MEASURE, PREDICTED, READMISSIONS
 
 # ----------------------------------------------------------------------------
@@ -334,6 +334,7 @@ def score_table(df: DataFrame, key: list[str]) -> DataFrame:
         F.col("_rg").alias("excess_ratio"),
         F.col("_rp").alias("readmission_pct"),
         payment_impact(d, score).alias("payment_impact"),
+        money(payment_impact(d, score)).alias("payment_text"),
         severity_band(score).alias("severity"),
         executive_action(score).alias("action_plan"),
         prob.alias("heuristic_probability"),

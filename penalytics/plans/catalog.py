@@ -428,7 +428,7 @@ def q_risk_drivers_v3(spark, sf_dir):
     return R.driver_report_v3(loaded(spark, sf_dir), ROW_KEY)
 
 
-@register("risk_scores", RS.score_table_sql(), ids=("R3", "R5", "R11", "R12", "R14", "F1", "F2", "F11"))
+@register("risk_scores", RS.score_table_sql(), ids=("R3", "R5", "R11", "R12", "R14", "F1", "F2", "F8", "F11"))
 def q_risk_scores(spark, sf_dir):
     return R.score_table(loaded(spark, sf_dir), ROW_KEY)
 
@@ -834,6 +834,8 @@ def q_stream_model_scores(spark, sf_dir):
 def q_csv_load_roundtrip(spark, sf_dir):
     """The raw view written as header CSV to the shared folder and read back
     with the explicit all-string schema and NA-token handling."""
+    if CSV.load_hrrp_csv(spark, shared_path(spark, "no-such-csv")) is not None:  # S2
+        raise RuntimeError("a missing file must give None")
     path = CSV.write_csv(raw(spark, sf_dir), shared_path(spark, "hrrp-csv"))
     return CSV.load_hrrp_csv(spark, path)
 

@@ -166,7 +166,7 @@ def score_table_sql() -> str:
     prob = cap(f"{s} / 105", 0.97)
     return with_fixture(f"""
 SELECT {KEY}, s AS risk_score, {ratio_g()} AS excess_ratio, {rpct()} AS readmission_pct,
-       d * 5200 * s / 100 AS payment_impact,
+       d * 5200 * s / 100 AS payment_impact, '$' || format('{{:,.0f}}', d * 5200 * s / 100) AS payment_text,
        {_severity()} AS severity, {_action()} AS action_plan,
        pr AS heuristic_probability,
        pr > 0.68 AS penalty_predicted,
