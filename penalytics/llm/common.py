@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow.fs
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,13 @@ def prepare_workers(spark: SparkSession) -> None:
         _SHIPPED.add(app)
 
 
+def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """What opens files below a URI of the shared store, in tasks, and the path there."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:"):]
+    return pyarrow.fs.FileSystem.from_uri(uri)
+
+
 def whole(text: Column) -> Column:
     """Text with null read as empty."""
     return F.coalesce(text.cast("string"), F.lit(""))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import prepare_workers, scratch_path, stage, whole
+from .common import file_system, prepare_workers, scratch_path, stage, whole
 
 TABLE_BYTES = 64 << 20
 FANOUT_BITS = 4
@@ -136,12 +136,6 @@ def _local(id_col: str, text_col: str, limit: int) -> Callable:
     return run
 
 
-def _folder(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[len("file:"):]
-    return pyarrow.fs.FileSystem.from_uri(uri)
-
-
 def _grace(spill_uri: str, limit: int, id_type: pa.DataType) -> Callable:
     """Classes of the records of one hash partition; see the module's step 2."""
     record = pa.schema([("hash", pa.int64()), ("text", pa.binary()), ("part", pa.int64()), ("row", pa.int64()),
@@ -197,7 +191,7 @@ def _grace(spill_uri: str, limit: int, id_type: pa.DataType) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        fs, folder = _folder(spill_uri)
+        fs, folder = file_system(spill_uri)
         mine = f"{folder}/{context.partitionId()}-{context.taskAttemptId()}"
         yield from classes(batches, 0, fs, mine)
         if fs.get_file_info(mine).type == pyarrow.fs.FileType.Directory:

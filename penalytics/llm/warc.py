@@ -34,8 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare_workers, scratch_path, stage
-from .exact_dedup import _folder
+from .common import file_system, prepare_workers, scratch_path, stage
 
 ROLL_BYTES = 64 << 20
 DATE = "2000-01-01T00:00:00Z"
@@ -128,7 +127,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
                         payload.alias("payload"), F.sha2(payload, 256).alias("content"))
     sized = rows.where(F.octet_length("payload") >= least_bytes).select("page_id", "content")
     groups = sized.groupBy("content").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    copies = stage(sized.join(groups.drop("n"), "content").distinct(), "warc-copies")
+    # staged, so that the join deals both sides anew and a payload of very many pages is split
+    groups = stage(groups.drop("n"), "warc-groups")
+    copies = stage(sized.join(groups, "content").distinct(), "warc-copies")
     # A marker row with the reference sorts just before the page's own rows.
     both = rows.withColumns({"kind": F.lit(1), "refers_to": F.lit(None).cast("long")}).unionByName(
         copies.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"),
@@ -138,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        fs, path = _folder(folder)
+        fs, path = file_system(folder)
         roller = _Roller(fs, path, context.partitionId(), context.taskAttemptId(), roll_bytes)
         schema = pa.schema([("file", pa.string()), ("records", pa.int64()), ("compressed_bytes", pa.int64()),
                             ("first_id", pa.int64()), ("last_id", pa.int64()), ("sha1", pa.string())])
@@ -192,7 +193,7 @@ def read_archives(folder: str, manifest: DataFrame, most_tasks: int = 50_000) ->
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, path = _folder(folder)
+        fs, path = file_system(folder)
         for batch in batches:
             for name in batch["file"]:
                 with fs.open_input_stream(f"{path}/{name}", compression=None) as raw, gzip.GzipFile(fileobj=raw) as source:
