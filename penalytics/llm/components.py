@@ -15,7 +15,8 @@ from .common import stage
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links
-    low = both.groupBy("a").agg(F.min("b").alias("low"))
+    # Staged: then both sides of the join are dealt anew, and a node with very many links is split.
+    low = stage(both.groupBy("a").agg(F.min("b").alias("low")), "low")
     joined = both.join(low.select("a", F.least("a", "low").alias("low")), "a")
     if large:  # larger neighbours move to the smallest node around
         return joined.where("b > a and b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
@@ -27,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (columns a > b, longs); root: its component's smallest node."""
     links, before = stage(links.distinct(), "links"), None
     while True:
-        links = stage(_star(_star(links, True), False), "links")
+        links = stage(_star(stage(_star(links, True), "stars"), False), "links")
         print_of = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(print_of) == before:
             break

@@ -95,12 +95,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stage(docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"),
                              fingerprint_of(F.col(text_col), shingle).alias("fp")), "simhash")
     me = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
-    first = rows.groupBy("fp").agg(F.min(me).alias("keeper"))
+    first = stage(rows.groupBy("fp").agg(F.min(me).alias("keeper")), "simhash-distinct")
     roots = components(links(first.select("fp"), distance))
     linked = first.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
     of_root = linked.groupBy("root").agg(F.min("keeper").alias("of_root"))
     of_fp = linked.join(of_root, "root").select("fp", "of_root")
     best = first.join(of_fp, "fp", "left").select("fp", F.coalesce("of_root", "keeper").alias("keeper"))
+    # staged, so that the join deals both sides anew and a fingerprint of very many rows is split
+    best = stage(best, "simhash-keepers")
     return rows.join(best, "fp").select("doc_id", "key", "fp", F.col("keeper.doc_id").alias("component_id"), "keeper")
 
 
