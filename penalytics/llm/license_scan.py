@@ -11,7 +11,11 @@ template are compared by the Dice coefficient of their bags of word bigrams,
   can't match, and neither can a text without the words of any of them.
 
 Each unit gets the template with the largest coefficient (ties: the name that
-comes first). There is no join and no shuffle: every row is judged on its own.
+comes first). A licence that no such unit shows is looked for inside the text, over
+the ends of sentences, lines and paragraphs: windows of a template's own size are
+laid where one of its anchors occurs, and of overlapping windows that reach the
+threshold the one with the most common bigrams counts. There is no join and no
+shuffle: every row is judged on its own.
 
 Defined results: null and empty texts, and texts without a match, have no licence
 (null), an empty list and a coefficient of 0. Repeated rows each get their result.
@@ -74,6 +78,77 @@ notice shall be included in all copies or substantial portions of the Software."
 not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
 ]
 
+_SHORT_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and
+the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_THIRD_BSD = """ 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+_BSD_DISCLAIMER = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA,
+OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""
+
+
+def _gnu(licence: str, version: str, what: str = "program") -> str:
+    """The notice that the GNU licences ask for."""
+    return f"""This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {licence} as published
+by the Free Software Foundation; either version {version} of the License, or (at your option) any later version. This {what} is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+FITNESS FOR A PARTICULAR PURPOSE. See the GNU {licence} for more details."""
+
+
+# Further licences, full texts, and paragraphs that occur in one licence only.
+FURTHER: list[tuple[str, str]] = [
+    ("AGPL-3.0", _gnu("Affero General Public License", "3")),
+    ("AGPL-3.0", """The GNU Affero General Public License is a free, copyleft license for software and other kinds of works,
+specifically designed to ensure cooperation with the community in the case of network server software."""),
+    ("Apache-2.0", """"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1
+through 9 of this document. "Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is granting
+the License."""),
+    ("BSD-2-Clause", _SHORT_BSD),
+    ("BSD-2-Clause", _SHORT_BSD + _BSD_DISCLAIMER),
+    ("BSD-2-Clause", "Released under the 2-clause BSD License."),
+    ("BSD-3-Clause", _SHORT_BSD + _THIRD_BSD + _BSD_DISCLAIMER),
+    ("BSL-1.0", """Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at
+http://www.boost.org/LICENSE_1_0.txt)"""),
+    ("CC0-1.0", """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to
+this software to the public domain worldwide. This software is distributed without any warranty."""),
+    ("EPL-2.0", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/"""),
+    ("GPL-2.0", _gnu("General Public License", "2")),
+    ("GPL-2.0", """The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU
+General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free
+for all its users."""),
+    ("GPL-3.0", """The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for
+most software and other practical works are designed to take away your freedom to share and change the works."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""),
+    ("LGPL-2.1", _gnu("Lesser General Public License", "2.1", "library")),
+    ("LGPL-3.0", _gnu("Lesser General Public License", "3")),
+    ("LGPL-3.0", """This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU
+General Public License, supplemented by the additional permissions listed below."""),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use,
+copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
+is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included
+in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", """Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it
+and redistribute it freely, subject to the following restrictions"""),
+    *((name, f"SPDX-License-Identifier: {name}{more}") for name in ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")
+      for more in ("", "-only", "-or-later")),
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("BSD-2-Clause", "BSL-1.0", "CC0-1.0", "EPL-2.0", "ISC", "MPL-2.0",
+                                                              "Unlicense", "Zlib")),
+]
+
 
 def bigrams(text: str) -> list[str]:
     words = re.sub(r"[\W_]+", " ", text.lower()).split()
@@ -113,7 +188,8 @@ def _units(text: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, dice (of the best unit), licenses (sorted, comma-joined), n_units of every row."""
-    known = [(name, Counter(bigrams(text)), len(bigrams(text))) for name, text in templates or TEMPLATES]
+    entries = [(name, bigrams(text)) for name, text in templates or TEMPLATES + FURTHER]
+    known = [(name, Counter(grams), len(grams)) for name, grams in entries]
     if any(size < 1 for _, _, size in known):
         raise ValueError("a template needs two words")
     bounds = [size_bounds(size, threshold) for _, _, size in known]
@@ -133,6 +209,41 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             t["c"], F.size(F.filter(unit, lambda x: x == t["g"]))))
         return F.when(F.size(unit).between(*bound), shared * 2.0 / (F.size(unit) + size)).otherwise(0.0)
 
+    def listed(grams: list[str]) -> dict[str, list[int]]:
+        """The template's anchors with their places in it."""
+        own = set(anchors(grams, threshold))
+        return {g: [i for i, x in enumerate(grams) if x == g] for g in sorted(own)}
+
+    # one literal for all templates: name, size, number of repeated bigrams, bigrams with counts, anchors with places
+    literals = F.expr("array(" + ", ".join(
+        f"named_struct('name', '{name}', 'size', {len(grams)}, 'again', {len(grams) - len(set(grams))}, 'set', array("
+        + ", ".join(f"'{g}'" for g in sorted(set(grams))) + "), 'bag', array("
+        + ", ".join(f"named_struct('g', '{g}', 'c', {c})" for g, c in sorted(Counter(grams).items())) + "), 'anchors', array("
+        + ", ".join(f"named_struct('g', '{g}', 'o', {o})" for g, places in listed(grams).items() for o in places) + "))"
+        for name, grams in entries) + ")")
+
+    def windows(whole_text: Column, places: Column, t: Column) -> Column:
+        """Windows of the template's size at its anchors that reach the threshold."""
+        starts = F.array_distinct(F.flatten(F.transform(t["anchors"], lambda a: F.transform(
+            F.filter(places, lambda p: p["g"] == a["g"]), lambda p: p["i"] - a["o"]))))
+        cut = F.transform(starts, lambda s: F.struct(F.greatest(s, F.lit(0)).alias("start"), F.slice(
+            whole_text, F.greatest(s, F.lit(0)) + 1, F.greatest(t["size"] + F.least(s, F.lit(0)), F.lit(0))).alias("w")))
+        # the common bigrams are no more than the distinct common ones and the template's repeated ones
+        able = F.filter(cut, lambda c: (F.size(F.array_intersect(c["w"], t["set"])) + t["again"]) * 2.0
+                        >= threshold * (F.size(c["w"]) + t["size"]) - 1e-9)
+        counted = F.transform(able, lambda c: F.struct(F.aggregate(t["bag"], F.lit(0), lambda n, g: n + F.least(
+            g["c"], F.size(F.filter(c["w"], lambda x: x == g["g"])))).alias("shared"), c["start"], F.size(c["w"]).alias("n")))
+        hits = F.transform(counted, lambda c: F.struct(
+            (-c["shared"]).alias("fewer"), (-c["shared"] * 2.0 / (c["n"] + t["size"])).alias("less"), t["name"].alias("name"),
+            c["start"].alias("start"), (c["start"] + c["n"]).alias("stop")))
+        return F.filter(hits, lambda h: h["less"] <= -threshold)
+
+    def inside(whole_text: Column) -> Column:
+        """Windows of all templates in the bigrams of a text."""
+        places = F.array_compact(F.transform(whole_text, lambda g, i: F.when(g.isin(wanted), F.struct(g.alias("g"), i.alias("i")))))
+        return F.flatten(F.transform(F.array(places), lambda p: F.flatten(F.transform(
+            F.filter(literals, lambda t: F.size(p) > 0), lambda t: windows(whole_text, p, t)))))
+
     # bound to a name by the one-element array, so that the text is lowered once
     marked = F.exists(F.array(F.lower(whole(F.col(text_col)))), lambda t: reduce(
         lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.contains(t, F.lit(w)) for w in entry]) for entry in marks(wanted)]))
@@ -144,7 +255,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scored = F.transform(likely, lambda g: F.array_sort(F.array(*[
         F.struct((-dice(g, own, size, bound)).alias("less"), F.lit(name).alias("name"))
         for (name, own, size), bound in zip(known, bounds)]))[0])
-    found = docs.select(F.col(id_col).alias("doc_id"), F.filter(scored, lambda s: s["less"] <= -threshold).alias("found"))
+    every = F.transform(F.array(F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")), pairs)
+    found = docs.select(F.col(id_col).alias("doc_id"), F.filter(scored, lambda s: s["less"] <= -threshold).alias("units"),
+                        F.flatten(F.transform(every, inside)).alias("hits"))
+    # of overlapping windows the first in order (most common bigrams) counts, and only licences that no unit shows
+    more = F.filter(F.filter("hits", lambda h: ~F.exists("units", lambda u: u["name"] == h["name"])), lambda h: ~F.exists(
+        "hits", lambda o: (o["start"] < h["stop"]) & (h["start"] < o["stop"]) & (o < h)))
+    found = found.select("doc_id", F.concat("units", F.transform(more, lambda h: F.struct(h["less"], h["name"]))).alias("found"))
     best = F.array_min("found")
     return found.select(
         "doc_id", best["name"].alias("license"), F.round(F.coalesce(-best["less"], F.lit(0.0)), 6).alias("dice"),

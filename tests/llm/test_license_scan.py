@@ -55,3 +55,55 @@ def test_bounds_are_exact():
 def test_plan(spark, small):
     plan = L.scan(spark.read.parquet(table_path(small, "documents")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan and "Join" not in plan
+
+
+GPL_3 = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+#
+# You should have received a copy of the GNU General Public License
+# along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+BSD_3 = """Copyright (c) 2020, Some One
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+
+
+def test_notices_inside_longer_texts(spark, docs_of):
+    code = "import os\n\n\ndef run(path):\n    return os.listdir(path)\n" * 20
+    texts = {
+        "GPL-3.0": "# Copyright (C) 2020 Some One\n#\n" + GPL_3.replace("#\n", "\n") + code,
+        "GPL-2.0": GPL_3.replace("version 3", "version 2") + code,
+        "LGPL-3.0": GPL_3.replace("General Public", "Lesser General Public") + code,
+        "BSD-3-Clause": BSD_3,
+        "BSD-2-Clause": BSD_3[:BSD_3.index("3. Neither")] + code,
+        "MIT": "All of it is free to read. Released under the MIT License. Have fun with all of it.",
+        "CC-BY-SA-4.0": "Text and pictures. This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. Bye.",
+        "MPL-2.0": code + "/* SPDX-License-Identifier: MPL-2.0 */ " + "x = 1; " * 9,
+        None: "The licence of MIT is one of many. They are released under the sun. " + code,
+    }
+    found = {r.doc_id: r for r in L.scan(docs_of(list(enumerate(texts.values())))).collect()}
+    assert [(found[i].license, found[i].licenses) for i in range(len(texts))] == [(n, n or "") for n in texts]
+    assert all((found[i].n_units > 0) == (n is not None) and (found[i].dice >= L.THRESHOLD) == (n is not None) for i, n in enumerate(texts))
