@@ -2,7 +2,9 @@
 
 A page is cut into blocks at block-level tags. First pass: a block in a container
 that its tag, role, class or id marks as furniture (menu, header, footer, sidebar,
-notice, advert, form, comments, ...) is bad. Link density and copyright lines make
+notice, advert, form, comments, ...) is bad; a class or id counts by its first or last
+word, never on an article, and not on an element that holds most of the article's (or,
+without one, of the page's) text. Link density and copyright lines make
 a block bad; enough length and stop-word density make it good; long blocks without
 stop words are bad outside an article. Second pass: what is left, mostly short
 blocks, takes the label of the nearest decided neighbour. Where a page has an
@@ -56,6 +58,13 @@ notice notices notification alert popup modal overlay newsletter subscribe subsc
 comments commentlist discussion disqus respond reply replies share sharing social related recommended widget widgets
 pager pagination copyright legal disclaimer toolbar skip form forms search hidden""".split())
 NEGATED = frozenset("has with no without".split())
+#: Marks of comment sections, whose text is never the article's, however long it is.
+COMMENTS = frozenset("comment comments commentlist discussion disqus respond reply replies".split())
+#: First words of class names that tell an entry's topics, last words of those that tell a state.
+TOPICS = frozenset("category tag".split())
+STATES = frozenset("open opened closed enabled disabled active inactive on off visible".split())
+#: Last words that say where or how an element is, as in sidebar-right.
+PLACES = frozenset("left right top bottom wrap wrapper container inner outer box area block".split())
 
 TAG_END = re.compile(r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
 TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
@@ -75,34 +84,74 @@ class Block:
     links: int  # characters inside links
     section: int  # number of the article or main element around it; 0: none
     furniture: bool
+    mark: int = 0  # number of the innermost element around it whose class or id marks furniture; 0: none
     label: int = OPEN
 
 
-def _is_furniture(name: str, attributes: str, in_section: bool) -> bool:
+def _mark_of(word: str, in_section: bool) -> str:
+    """The mark that a class name or an id holds as its first or last word, or nothing."""
+    tokens = [t.lower() for t in TOKEN.findall(word)]
+    if not tokens or NEGATED.intersection(tokens) or tokens[0] in TOPICS or tokens[-1] in STATES:
+        return ""
+    while len(tokens) > 1 and tokens[-1] in PLACES:
+        tokens.pop()
+    return next((t for t in (tokens[-1], tokens[0]) if t in MARKS and not (in_section and t == "header")), "")
+
+
+def _is_furniture(name: str, attributes: str, in_section: bool) -> tuple[bool, str]:
+    """Whether an element is furniture for sure, and the mark of its classes and id, a comment section's first."""
     if name in FURNITURE and not (name == "header" and in_section):
-        return True
+        return True, ""
     if not attributes or name in ("html", "body", "main"):
-        return False
+        return False, ""
+    marks = []
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id"):
-            for word in value.split():
-                tokens = {t.lower() for t in TOKEN.findall(word)}
-                if in_section or name == "article":
-                    tokens.discard("header")
-                if tokens & MARKS and not tokens & NEGATED:
-                    return True
+            if name != "article":
+                marks += [m for m in (_mark_of(word, in_section) for word in value.split()) if m]
         elif key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, ""
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, ""
+    return False, min(marks, key=lambda m: m not in COMMENTS, default="")
+
+
+def _apply_marks(blocks: list[Block], marked: list[tuple[int, bool]]) -> None:
+    """Blocks in a marked element are furniture, unless the element holds most of the text that the page is about.
+
+    ``marked`` has for each marked element the number of the one around it and whether it is in a comment section.
+    """
+    if len(marked) == 1:
+        return
+    open_blocks = [b for b in blocks if not b.furniture]
+    # a page that has nothing but comments is about them
+    about = [b for b in open_blocks if not marked[b.mark][1]]
+    comments = bool(about)
+    about = about or open_blocks
+    sections: dict[int, int] = {}
+    for b in about:
+        sections[b.section] = sections.get(b.section, 0) + len(b.text)
+    longest = max((n for n in sections if n), key=sections.get, default=0)
+    held = [0] * len(marked)
+    for b in about:
+        if b.section == longest:
+            held[b.mark] += len(b.text)
+    for i in range(len(marked) - 1, 0, -1):
+        held[marked[i][0]] += held[i]
+    bad = [False] * len(marked)
+    for i in range(1, len(marked)):
+        around, comment = marked[i]
+        bad[i] = bad[around] or comment and comments or 2 * held[i] <= sections.get(longest, 0)
+    for b in blocks:
+        b.furniture = b.furniture or bad[b.mark]
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in order, none empty."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]  # name, furniture, section
+    stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]  # name, furniture, section, mark
+    marked: list[tuple[int, bool]] = [(0, False)]
     depth: dict[str, int] = {}
     parts: list[str] = []
     links = breaks = sections = at = 0
@@ -113,7 +162,7 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append(Block(text, links, stack[-1][2], stack[-1][1]))
+                blocks.append(Block(text, links, stack[-1][2], stack[-1][1], stack[-1][3]))
             parts.clear()
         links, breaks, in_link = 0, 0, False
 
@@ -184,7 +233,7 @@ def blocks_of(page: str) -> list[Block]:
         if name not in INLINE:
             flush()
             # an open paragraph ends where a block begins
-            if depth.get("p") and next(n for n, _, _ in reversed(stack) if n not in INLINE) == "p":
+            if depth.get("p") and next(n for n, *_ in reversed(stack) if n not in INLINE) == "p":
                 pop("p")
         if name in RAW:
             if not attributes.endswith("/"):
@@ -197,14 +246,19 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name == "a":
             in_link = True
-        _, furniture, section = stack[-1]
-        furniture = furniture or _is_furniture(name, attributes, bool(section))
+        _, furniture, section, mark = stack[-1]
+        if not furniture:
+            furniture, found = _is_furniture(name, attributes, bool(section))
+            if found:
+                marked.append((mark, marked[mark][1] or found in COMMENTS))
+                mark = len(marked) - 1
         if name in SECTION and not section:
             sections += 1
             section = sections
-        stack.append((name, furniture, section))
+        stack.append((name, furniture, section, mark))
         depth[name] = depth.get(name, 0) + 1
     flush()
+    _apply_marks(blocks, marked)
     return blocks
 
 

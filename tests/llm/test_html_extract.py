@@ -76,3 +76,25 @@ def test_rows(spark):
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in found) == [
         ("1", "", 0), ("1", "", 0), ("None", LONG.strip(), len(LONG.strip()))]
     assert re.fullmatch(r"\S.*\S", found[-1].text or "xx")
+
+
+@pytest.mark.parametrize("before, after", [
+    *((f'<article class="{c}">', "</article>") for c in (
+        "post category-legal", "post tag-search", "hentry comments-open", "post ad", "sidebar")),
+    *((f'<div class="{c}"><article>', "</article></div>") for c in (
+        "layout sidebar-right", "has-ads menu-open", "widget", "page modal")),
+    *((f'<main><div class="{c}"><article>', "</article></div></main>") for c in ("sidebar-right", "register")),
+    *((f'<div class="{c}"><div>', "</div></div>") for c in ("layout sidebar-right", "category-legal", "comments-open", "social")),
+])
+def test_marks_never_take_the_article(before, after):
+    furniture = [f"<div class='{c}'>{LONG}</div>" for c in (
+        "sidebar-right", "ad-slot", "cookie-notice", "related-posts", "wp-social", "commentList")]
+    text = f"{(LONG * 20).strip()}\n{(LONG * 2).strip()}"
+    page = f"<body><p>{before}<h2></h2><p>{LONG * 20}</p><p>{LONG * 2}</p>{furniture[1]}{after}{''.join(furniture)}"
+    assert H.main_text(page) == text
+    many = f"<div id=comments><div class=comment-body><article class=x><p>{LONG * 90}</p></article></div></div>"
+    assert H.main_text(page + many) == text
+
+
+def test_marked_elements_without_text():
+    assert H.main_text("<div class=ad></div>") == H.main_text("<div class=ad><nav>x</nav></div>") == ""
