@@ -6,8 +6,10 @@ notice, advert, form, comments, ...) is bad; a class or id counts by its first o
 word, never on an article, and not on an element that holds most of the article's (or,
 without one, of the page's) text. Link density and copyright lines make
 a block bad; enough length and stop-word density make it good; long blocks without
-stop words are bad outside an article. Second pass: what is left, mostly short
-blocks, takes the label of the nearest decided neighbour. Where a page has an
+stop words are bad outside an article. The stop words are those of four languages: where
+a page hardly holds any, or a block is of another script, they say nothing, and length
+and link density decide. Second pass: what is left, mostly short blocks, takes the label
+of the nearest decided neighbour, or is good where nothing else is. Where a page has an
 ``article`` or ``main`` element, neighbours are looked for in the same one, and text
 outside of it is furniture.
 
@@ -15,7 +17,7 @@ Character references are decoded, white space in a block becomes one space, and
 good blocks are joined by line feeds. One ``<br>`` is white space, two end a block.
 
 Defined results: null and empty pages, and pages without a good block, give an empty
-text. Cut-off tags, comments and scripts end with the page; ``<`` before anything but
+text, and so does a short piece of text without any element. Cut-off tags, comments and scripts end with the page; ``<`` before anything but
 a tag is text. Each page is judged on its own, so ties and repeated rows are alike.
 """
 
@@ -69,6 +71,7 @@ PLACES = frozenset("left right top bottom wrap wrapper container inner outer box
 TAG_END = re.compile(r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
 TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]++)\s*+(?:=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+OTHER_SCRIPT = re.compile(r"[^\W\d_\u0000-\u024f]")
 TOKEN = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
 SECTION = frozenset(("article", "main"))
 
@@ -84,6 +87,7 @@ class Block:
     links: int  # characters inside links
     section: int  # number of the article or main element around it; 0: none
     furniture: bool
+    element: bool = True  # whether it is in any element
     mark: int = 0  # number of the innermost element around it whose class or id marks furniture; 0: none
     label: int = OPEN
 
@@ -155,14 +159,14 @@ def blocks_of(page: str) -> list[Block]:
     depth: dict[str, int] = {}
     parts: list[str] = []
     links = breaks = sections = at = 0
-    in_link = False
+    in_link = seen = False
 
     def flush():
         nonlocal links, breaks, in_link
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append(Block(text, links, stack[-1][2], stack[-1][1], stack[-1][3]))
+                blocks.append(Block(text, links, stack[-1][2], stack[-1][1], seen, stack[-1][3]))
             parts.clear()
         links, breaks, in_link = 0, 0, False
 
@@ -210,7 +214,7 @@ def blocks_of(page: str) -> list[Block]:
                 text("<")
                 at = lt + 1
             continue
-        name = named[0].lower()
+        name, seen = named[0].lower(), True
         closed = TAG_END.match(page, named.end())
         stop = closed.end() if closed else page.find(">", named.end()) + 1
         if not stop:
@@ -266,32 +270,37 @@ def label(blocks: list[Block]) -> list[Block]:
     """Both passes of the rules."""
     has_section = any(b.section and not b.furniture for b in blocks)
     dense = [0, *(b.links > LINK_DENSITY * len(b.text) and b.section + 1 for b in blocks), 0]
+    words = [b.text.lower().split() for b in blocks]
+    listed = [sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in own) for own in words]
+    text = [i for i, b in enumerate(blocks) if not (b.furniture or has_section and not b.section)]
+    no_words = sum(listed[i] for i in text) < STOP_LOW * sum(len(words[i]) for i in text)
     for i, b in enumerate(blocks, 1):
         size = len(b.text)
-        words = b.text.lower().split()
-        stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+        stops = listed[i - 1] / len(words[i - 1])
+        unknown = stops < STOP_LOW and (no_words or 2 * len(OTHER_SCRIPT.findall(b.text)) > sum(map(str.isalpha, b.text)))
         # in an article a list of links is a menu, a single block of links may be a title or a source
         menu = dense[i] and (not b.section or dense[i] in (dense[i - 1], dense[i + 1]))
         if b.furniture or has_section and not b.section or menu:
             b.label = BAD
         elif size < 2 * LONG and b.text.startswith(("©", "(c) ", "Copyright ")):
             b.label = BAD
-        elif size >= SHORT and not dense[i] and (stops >= STOP_HIGH or size >= LONG and stops >= STOP_LOW):
+        elif size >= SHORT and not dense[i] and (stops >= STOP_HIGH or size >= LONG and stops >= STOP_LOW or unknown):
             b.label = GOOD
-        elif size >= LONG and not b.section:
+        elif size >= LONG and not b.section and not unknown:
             b.label = BAD
     # furniture inside an article says nothing about the text around it
     decided = [OPEN if b.furniture and b.section else b.label for b in blocks]
+    found = {b.section for b in blocks if b.label == GOOD}
     before, after = _nearest(blocks, decided, 1), _nearest(blocks, decided, -1)
     for b, (d1, l1), (d2, l2) in zip(blocks, before, after):
         if b.label != OPEN:
             continue
-        if d1 != d2:
+        if b.section not in found:  # what is neither furniture nor links is the text
+            b.label = GOOD if b.element else BAD
+        elif d1 != d2:
             b.label = l1 if d1 < d2 else l2
-        elif d1 < float("inf"):
+        else:
             b.label = max(l1, l2)
-        else:  # nothing decided around: an article's short blocks are its text
-            b.label = GOOD if b.section else BAD
     return blocks
 
 

@@ -98,3 +98,21 @@ def test_marks_never_take_the_article(before, after):
 
 def test_marked_elements_without_text():
     assert H.main_text("<div class=ad></div>") == H.main_text("<div class=ad><nav>x</nav></div>") == ""
+
+
+RUSSIAN = "Это текст статьи, написанной на русском языке, и в ней есть всё, что должно быть в такой статье о погоде и природе. "
+CHINESE = "这是一篇关于天气和自然的文章它没有空格所以整个段落看起来就像一个单词" * 8
+POLISH = "Wszystkie dzieci chętnie czytają ciekawe książki, których bohaterowie podróżują przez odległe krainy. "
+SHORT_TEXT = "Closed this week; new opening hours come later, see below."
+
+
+@pytest.mark.parametrize("page, expected", [
+    *((f"<nav>{t}</nav><h1>{t[:9]}</h1><p>{t * n}</p><p>{t[:30]}</p><div><a href=x>{t * 3}</a></div><footer>{t}</footer>",
+       "\n".join(x.strip() for x in (t[:9], t * n, t[:30]))) for t in (RUSSIAN, CHINESE, POLISH) for n in (1, 4)),
+    (f"<h1>Title</h1><p>{SHORT_TEXT}</p>", f"Title\n{SHORT_TEXT}"),
+    (f"<body><nav><a href=/>Home</a></nav><h1>Title</h1><p>{SHORT_TEXT}</p><footer>x</footer>", f"Title\n{SHORT_TEXT}"),
+    (f"<p>{POLISH.strip()}</p><p>{POLISH.strip()}</p>", f"{POLISH.strip()}\n{POLISH.strip()}"),
+    (f"<p>{LONG * 9}</p><p>{RUSSIAN * 3}</p>", f"{(LONG * 9).strip()}\n{(RUSSIAN * 3).strip()}"),
+])
+def test_other_languages_and_short_pages(page, expected):
+    assert H.main_text(page) == expected
