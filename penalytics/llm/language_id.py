@@ -11,6 +11,11 @@ language about ``fit_docs`` documents, chosen by a hash of their id (the
 documented bound of the fit). N-grams are hashed to ``BUCKETS`` counters, so
 the model has a fixed size for each language, whatever the corpus holds.
 
+How well the set explains a text is its mean log-likelihood per n-gram. The bound lies
+half-way between that of the labelled texts (each n-gram left out of its own count) and
+that of a background in which all buckets are alike, less two standard errors of a text
+of that length, so gibberish and unlearned languages fall below it and short texts don't.
+
 Defined results: a null text, or one without any letter, is ``und`` with score
 0. Without any labelled row nothing is learned and every text is ``und``. Equal
 texts get equal results; columns other than the text are never looked at.
@@ -31,7 +36,7 @@ from .common import prepare_workers
 BUCKETS = 1 << 15
 ORDERS = 3
 UNKNOWN = "und"
-RESULT = "lang string, score double, languages array<string>, proportions array<double>"
+RESULT = "lang string, score double, languages array<string>, proportions array<double>, explained boolean"
 _LETTERS: np.ndarray | None = None
 
 
@@ -65,26 +70,43 @@ class LanguageModel:
 
     languages: tuple[str, ...]
     logp: np.ndarray
+    #: Mean log-likelihood of a labelled n-gram of each language, and its standard deviation.
+    typical: np.ndarray | None = None
+    spread: np.ndarray | None = None
 
     def mixture(self, text: str | None, penalty: float = 5.0, rounds: int = 40) -> list[tuple[str, float]]:
         """Languages of a text with their proportions, largest first; empty for ``und``."""
+        return self.judge(text, penalty, rounds)[0]
+
+    def explains(self, mean: float, grams: int, chosen: list[int], share: np.ndarray) -> bool:
+        """Whether a mean log-likelihood is one of a text in the mixture; a model no better than the background can't tell."""
+        if self.typical is None:
+            return True
+        typical, background = float(self.typical[chosen] @ share), -np.log(BUCKETS)
+        # the n-grams of all orders at one place are one observation
+        error = float(self.spread[chosen] @ share) / np.sqrt(grams / ORDERS)
+        return typical <= background or mean >= (typical + background) / 2 - 2 * error
+
+    def judge(self, text: str | None, penalty: float = 5.0, rounds: int = 40) -> tuple[list[tuple[str, float]], bool]:
+        """Languages of a text with their proportions, and whether they explain it."""
         grams = gram_buckets(text)
         if not len(grams) or not self.languages:
-            return []
+            return [], False
         counts = np.bincount(grams, minlength=BUCKETS)
         seen = np.flatnonzero(counts)
         counts, logp = counts[seen].astype(float), self.logp[seen]
         single = counts @ logp
         best = int(single.argmax())
         if len(self.languages) == 1:
-            return [(self.languages[0], 1.0)]
+            return [(self.languages[0], 1.0)], self.explains(single[0] / len(grams), len(grams), [0], np.ones(1))
         price = penalty * np.log(len(grams))
         # The likelihood is concave in the proportions: its gradient at one pure
         # language bounds what any mixture can gain, so most texts need no EM.
         ratio = np.exp(np.minimum(logp - logp[:, [best]], 50.0))
         if (counts @ ratio).max() - counts.sum() <= price:
             near = np.exp((single - single[best]) / ORDERS)
-            return [(self.languages[best], float(1.0 / near.sum()))]
+            explained = self.explains(single[best] / len(grams), len(grams), [best], np.ones(1))
+            return [(self.languages[best], float(1.0 / near.sum()))], explained
         p = np.exp(logp - logp.max(axis=1, keepdims=True))
         order = np.argsort(-expectation_maximisation(p, counts, rounds), kind="stable")
         order = [best, *(int(i) for i in order if i != best)]
@@ -97,7 +119,8 @@ class LanguageModel:
                 break
             top, chosen, share = value, order[:k], pi
         pairs = sorted(zip(chosen, share), key=lambda x: (-x[1], x[0]))
-        return [(self.languages[i], float(w)) for i, w in pairs]
+        mean = (top + price * (len(chosen) - 1)) / len(grams)
+        return [(self.languages[i], float(w)) for i, w in pairs], self.explains(mean, len(grams), chosen, share)
 
 
 def expectation_maximisation(p: np.ndarray, counts: np.ndarray, rounds: int) -> np.ndarray:
@@ -142,8 +165,13 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for j, lang in enumerate(languages):
         own = counts[counts["lang"] == lang]
         table[own["bucket"].to_numpy(np.int64), j] = own["n"]
+    total = np.maximum(table.sum(axis=0), 1)
+    # each n-gram by the model without it, as in a text that the fit hasn't seen
+    without = np.log((np.maximum(table - 1, 0) + alpha) / (total - 1 + alpha * BUCKETS))
+    typical = (table * without).sum(axis=0) / total
+    spread = np.sqrt((table * (without - typical) ** 2).sum(axis=0) / total)
     table += alpha
-    return LanguageModel(languages, np.log(table / table.sum(axis=0)))
+    return LanguageModel(languages, np.log(table / table.sum(axis=0)), typical, spread)
 
 
 def identify(text: Column, model: LanguageModel, spark) -> Column:
@@ -152,12 +180,14 @@ def identify(text: Column, model: LanguageModel, spark) -> Column:
 
     @F.pandas_udf(RESULT)
     def predict(texts: pd.Series) -> pd.DataFrame:
-        found = [shared.value.mixture(t) for t in texts]
+        judged = [shared.value.judge(t) for t in texts]
+        found = [x for x, _ in judged]
         return pd.DataFrame({
             "lang": [x[0][0] if x else UNKNOWN for x in found],
             "score": [min(1.0, max(0.0, x[0][1])) if x else 0.0 for x in found],
             "languages": [[a for a, _ in x] for x in found],
-            "proportions": [[b for _, b in x] for x in found]})
+            "proportions": [[b for _, b in x] for x in found],
+            "explained": [bool(e) for _, e in judged]})
 
     return predict(text)
 
@@ -179,10 +209,11 @@ def predict_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.2) -> DataFrame:
-    """Rows of ``docs`` whose language is known with a score of ``least_score`` or more.
+    """Rows of ``docs`` in known languages that explain the text, with a score of ``least_score`` or more.
 
-    Rejected: null texts, texts without a letter, and mixtures in which no
-    language reaches that share. Where nothing could be learned (no labelled rows),
+    Rejected: null texts, texts without a letter, texts that no set of the known
+    languages explains, and mixtures in which no language reaches that share (with
+    five languages or fewer one always does). Where nothing could be learned (no labelled rows),
     only texts without a letter go.
     """
     spark = docs.sparkSession
@@ -191,4 +222,4 @@ def keep_identified(docs: DataFrame, least_score: float = 0.2) -> DataFrame:
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = docs.withColumn("__x_lang", identify(F.col("text"), model, spark))
-    return found.where(f"__x_lang.lang <> '{UNKNOWN}' and __x_lang.score >= {float(least_score)}").select(*docs.columns)
+    return found.where(f"__x_lang.lang <> '{UNKNOWN}' and __x_lang.explained and __x_lang.score >= {float(least_score)}").select(*docs.columns)

@@ -65,3 +65,23 @@ def test_no_labels(spark, docs_of):
     assert {(r.doc_id, r.lang_pred, r.score) for r in L.predict_documents(docs).collect()} == {
         (1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0)}
     assert [r.doc_id for r in L.keep_identified(docs).collect()] == [1]
+
+
+def test_texts_that_no_language_explains_are_rejected(documents, model):
+    import random
+    rng = random.Random(4)
+    rows = documents.limit(60).collect()
+    odd = {
+        1: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(600)),
+        2: "xkcd qzrt wvbn plkj hgfd zxcv " * 9,
+        3: "Это текст статьи, написанной на русском языке, и в ней есть всё, что нужно. " * 3,
+        4: "Wszystkie dzieci chętnie czytają ciekawe książki, których bohaterowie podróżują przez odległe krainy. " * 2,
+        5: "これは日本語の文章です。天気と自然について書いてあります。" * 3,
+    }
+    short = {k: t for k, t in enumerate(("the end of it and all", "Hello there", "Das Museum hat heute geschlossen.", "la casa de los libros"), 10)}
+    spark = documents.sparkSession
+    more = spark.createDataFrame([(-k, t, None, "x", 0) for k, t in (odd | short).items()],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in L.keep_identified(documents.select("doc_id", "text", "lang", "source", "n_chars").unionByName(more)).collect()}
+    assert kept & {-k for k in odd} == set() and {-k for k in short} <= kept
+    assert {r.doc_id for r in rows if r.text and any(c.isalpha() for c in r.text)} <= kept
