@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chat_format, decontaminate, exact_dedup, html_extract, language_id, license_scan, sentencepiece_codec,
-               sharding, simhash, warc)
+               sharding, simhash, token_alignment, warc)
 from .common import table
 
 #: A public SentencePiece model; any other file of that kind will do.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+#: A public byte-level tokenizer.
+A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
@@ -70,9 +72,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str, a_file: str = A_FILE, b_file: str = MODEL_FILE) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), a_file, b_file)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_sentencepiece, op2_warc, op3_exact_dedup, op4_html_extract, op5_sharding, op6_simhash, op7_license_scan,
-    op8_chat_format, op9_decontaminate, op10_language_id)}
+    op8_chat_format, op9_decontaminate, op10_language_id, op11_token_alignment)}
 
 ORACLES: dict[str, str] = {
     "op2_warc": """
