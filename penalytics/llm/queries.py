@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontaminate, exact_dedup, html_extract, language_id, license_scan, sentencepiece_codec,
-               sharding, simhash, token_alignment, warc)
+from . import (chat_format, decontaminate, exact_dedup, html_extract, language_id, license_scan, quality_gam,
+               sentencepiece_codec, sharding, simhash, token_alignment, warc)
 from .common import table
 
 #: A public SentencePiece model; any other file of that kind will do.
@@ -76,9 +76,13 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str, a_file: str = A_FILE,
     return token_alignment.align_documents(table(spark, sf_dir, "documents"), a_file, b_file)
 
 
+def op12_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_sentencepiece, op2_warc, op3_exact_dedup, op4_html_extract, op5_sharding, op6_simhash, op7_license_scan,
-    op8_chat_format, op9_decontaminate, op10_language_id, op11_token_alignment)}
+    op8_chat_format, op9_decontaminate, op10_language_id, op11_token_alignment, op12_quality_gam)}
 
 ORACLES: dict[str, str] = {
     "op2_warc": """
