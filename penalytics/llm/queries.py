@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontaminate, exact_dedup, html_extract, language_id, license_scan, quality_gam,
+from . import (chat_format, decontaminate, exact_dedup, html_extract, language_id, license_scan, prefix_trie, quality_gam,
                sentencepiece_codec, sharding, simhash, token_alignment, warc)
 from .common import table
 
@@ -80,9 +80,15 @@ def op12_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of ``conversations`` after each has taken over the first turns of its block's first one."""
+    nodes = prefix_trie.trie(*prefix_trie.lend_heads(prefix_trie.keyed_turns(table(spark, sf_dir, "conversations"))))
+    return nodes.drop("node", "parent")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_sentencepiece, op2_warc, op3_exact_dedup, op4_html_extract, op5_sharding, op6_simhash, op7_license_scan,
-    op8_chat_format, op9_decontaminate, op10_language_id, op11_token_alignment, op12_quality_gam)}
+    op8_chat_format, op9_decontaminate, op10_language_id, op11_token_alignment, op12_quality_gam, op13_prefix_trie)}
 
 ORACLES: dict[str, str] = {
     "op2_warc": """
@@ -100,4 +106,5 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
     "op7_license_scan": license_scan.oracle(),
     "op8_chat_format": chat_format.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
