@@ -23,11 +23,13 @@ from ..operators import models as MD
 from ..session import delete_path, shared_path
 from ..sources.votes import row_id as make_row_id
 from ..streaming import scoring as ST
+from ..streaming import windowed as SW
 from ..sources.votes import votes as make_votes
 from ..sources.dimensions import BENCHMARK_RATES, STATE_NAMES, benchmark_dim, state_dim
 from ..sources.fixture import RAW_COLUMNS
 from ..sources import csv_loader as CSV
 from ..sources.fixture import hrrp_raw
+from ..sources.observations import observations
 from .oracle import union_all, with_fixture
 from .registry import register
 
@@ -826,6 +828,44 @@ def q_stream_model_scores(spark, sf_dir):
     return ST.run_available(stream, spark, "model-scores")
 
 
+RATE_RULE = SW.WindowRule(size="30 days", lateness="10 days")
+DELIVERIES = 4
+
+
+@register("stream_penalty_rate", with_fixture("""
+SELECT window_start, window_start + INTERVAL 30 DAY AS window_end, state, cast(count(*) AS bigint) AS n_rows,
+       cast(sum(is_penalized) AS bigint) AS n_penalized, 100.0e0 * sum(is_penalized) / count(*) AS penalty_rate_pct
+FROM placed
+WHERE reported_at <= window_start + INTERVAL 40 DAY
+  AND window_start + INTERVAL 30 DAY <= (SELECT max(event_time) FROM placed) - INTERVAL 10 DAY
+GROUP BY window_start, state""", """
+placed AS (
+  SELECT l.l_shipdate AS event_time, c.state, c.is_penalized,
+         l.l_shipdate + to_days(cast((l.l_orderkey * 7 + l.l_linenumber * 13) % 45 AS integer)) AS reported_at,
+         TIMESTAMP '1970-01-01' + to_days(cast(30 * floor(epoch(l.l_shipdate) / 2592000) AS integer)) AS window_start
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+  JOIN hrrp_clean c ON cast(c.facility_id AS bigint) = l.l_suppkey AND c.measure_name =
+    CASE p.p_type WHEN 'ECONOMY' THEN 'Acute Myocardial Infarction (AMI)' WHEN 'LARGE' THEN 'Heart Failure (HF)'
+         WHEN 'MEDIUM' THEN 'Pneumonia (PN)' WHEN 'PROMO' THEN 'COPD' WHEN 'SMALL' THEN 'Hip/Knee Arthroplasty' ELSE 'CABG' END)"""),
+          ids=("L3", "A10"))
+def q_stream_penalty_rate(spark, sf_dir):
+    """Observations come in deliveries by the time of their report; the stream is started anew after
+    each and goes on from its checkpoint."""
+    staged, folder = shared_path(spark, "observations-all"), shared_path(spark, "observations")
+    observations(spark, sf_dir, loaded(spark, sf_dir)).write.parquet(staged)
+    seen = spark.read.schema(SW.OBSERVATION_SCHEMA).parquet(staged)
+    low, high = seen.agg(F.min("reported_at").cast("double"), F.max("reported_at").cast("double")).first()
+    stream = SW.RateStream.create(spark, folder, RATE_RULE)
+    inner = [] if low is None else [F.lit(low + (high - low) * k / DELIVERIES).cast("timestamp") for k in range(1, DELIVERIES)]
+    at = [None, *inner, None]
+    for lower, upper in zip(at, at[1:]):
+        SW.deliver(seen, folder, lower, upper)
+        stream.advance(spark)
+    for read in (staged, folder):
+        delete_path(spark, read)
+    return stream.table(spark)
+
+
 # ---------------------------------------------------------------- CSV source
 
 @register("csv_load_roundtrip", with_fixture("SELECT " + ", ".join(

@@ -45,7 +45,7 @@ RAW_COLUMNS = [
 ]
 
 
-def _condition(pt: Column) -> Column:
+def condition_of(pt: Column) -> Column:
     expr = None
     for ptype, name in PART_TYPE_CONDITION:
         expr = (F.when(pt == ptype, name) if expr is None else expr.when(pt == ptype, name))
@@ -64,7 +64,7 @@ def facility_condition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     are one condition and (hospital, condition) stays a key.
     """
     li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_returnflag")
-    part = read_table(spark, sf_dir, "part", "p_partkey", "p_type").select("p_partkey", _condition(F.col("p_type")).alias("cond"))
+    part = read_table(spark, sf_dir, "part", "p_partkey", "p_type").select("p_partkey", condition_of(F.col("p_type")).alias("cond"))
     supp = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
 
     per_part_supp = (li.groupBy("l_partkey", "l_suppkey")
