@@ -114,3 +114,74 @@ def test_quantiles_match_duckdb_on_lineitem(spark):
         for p in probs:
             want = con.execute(f"SELECT quantile_cont({c}, {p}) FROM read_parquet('{path}')").fetchone()[0]
             assert got[(c, p)] == pytest.approx(want, rel=1e-12), (c, p)
+
+
+# ---------------------------------------------------------------- over-full codes
+
+def _plain_ranks(df, group, order):
+    return {r["id"]: r["rank"] for r in df.select(
+        "id", (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).alias("rank")).collect()}
+
+
+CLOSE = {
+    "scores near one": "0.9999D + id * 1e-12D",
+    "times in seconds": "1.7e9D + id * 1e-4D",
+    "below zero": "-(0.9999D + id * 1e-12D)",
+    "a common prefix": "concat('hospital-', lpad(cast(id as string), 7, '0'))",
+    "prefixes of each other": "rpad('', cast(id as int) % 40, 'ab')",
+    "a small hash range": "id * 1000",
+}
+
+
+@pytest.mark.parametrize("name", list(CLOSE))
+def test_over_full_codes_are_split_until_buckets_are_bounded(spark, name):
+    from penalytics.operators.ordered import _buckets
+    df = spark.range(6000).select("id", (F.col("id") % 2).alias("g"), F.expr(CLOSE[name]).alias("x"))
+    uniform = name == "a small hash range"
+    bound = 200
+    assert df.select(order_code(F.col("x"), df.schema["x"].dataType, uniform).alias("c")).distinct().count() < 40
+    placed, leaves, codes = _buckets(df.withColumn("w", F.lit(1)), ["g"], "x", ["w"], uniform, bound)
+    largest = placed.groupBy("g", *codes).count().agg(F.max("count")).first()[0]
+    assert largest <= bound
+    assert placed.select("g", *codes).distinct().count() == leaves.count()
+    got = {r["id"]: r["rank"] for r in rank_within(df, ["g"], ["x", "id"], uniform=uniform, bucket_rows=bound).collect()}
+    assert got == _plain_ranks(df, "g", ["x", "id"])
+
+
+def test_ten_million_values_in_one_code(spark):
+    """The bound of production: every bucket of 10 million close scores holds at most 2^20."""
+    from penalytics.operators.ordered import BUCKET_ROWS, _buckets
+    df = spark.range(10_000_000).select(F.lit(0).alias("g"), (F.lit(0.99990001) + F.col("id") * 1e-16 * 1.2).alias("x"), F.lit(1).alias("w"))
+    code = order_code(F.col("x"), T.DoubleType())
+    assert df.agg(F.max(code) - F.min(code)).first()[0] == 0
+    placed, _, codes = _buckets(df, ["g"], "x", ["w"], False, BUCKET_ROWS)
+    assert placed.groupBy("g", *codes).count().agg(F.max("count")).first()[0] <= BUCKET_ROWS
+
+
+def test_ordered_bits_are_those_of_the_double(spark):
+    from penalytics.operators.ordered import ordered_bits
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=2000) * 10.0 ** rng.integers(-300, 300, 2000), [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308,
+                        1.7976931348623157e308, np.inf, -np.inf, 2.2250738585072009e-308],
+                        *[[2.0 ** k, np.nextafter(2.0 ** k, 0), np.nextafter(2.0 ** k, np.inf)] for k in range(-1074, 1024)]])
+    want = np.abs(x).view(np.int64) * np.where(x < 0, -1, 1)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, x double")
+    got = {r["i"]: r["b"] for r in df.select("i", ordered_bits(F.col("x")).alias("b")).collect()}
+    assert [got[i] for i in range(len(x))] == want.tolist()
+
+
+def test_quantiles_of_close_values(spark):
+    rng = np.random.default_rng(4)
+    cols = {"a": 0.9999 + rng.integers(0, 3000, 4000) * 2.0 ** -52, "b": np.where(rng.random(4000) < 0.5, -0.0, 0.0),
+            "c": -1e-310 * rng.integers(0, 9, 4000), "d": rng.normal(size=4000)}
+    df = spark.createDataFrame(list(zip(*[v.tolist() for v in cols.values()])), "a double, b double, c double, d double")
+    probs = [0.0, 0.013, 0.5, 0.77, 1.0]
+    got = {(r["column_name"], r["prob"]): r["quantile"] for r in exact_quantiles(df, list(cols), probs).collect()}
+    for c, v in cols.items():
+        for p in probs:
+            assert got[c, p] == pytest.approx(np.quantile(v, p), rel=1e-12, abs=1e-320), (c, p)
+
+
+def test_quantiles_of_nothing_and_of_one_value(spark):
+    df = spark.createDataFrame([(None, 2.5), (None, None)], "a double, b double")
+    assert [tuple(r) for r in exact_quantiles(df, ["a", "b"], [0.5]).collect()] == [("b", 0.5, 2.5)]
