@@ -16,8 +16,9 @@ them; where Spark has no equivalent the substitute is stated:
   (sigmoid hidden layers, L-BFGS), same layer sizes and iteration cap.
 
 * The trees' minimum of rows to split a node (10, 5 and 10 for tree, forest and
-  boosting) has no Spark parameter; ``minInstancesPerNode`` (5, 2, 5), the minimum
-  of rows in a leaf, is kept, which forbids splits of fewer than twice as many.
+  boosting) has no Spark parameter; it is kept by cutting the fitted trees
+  (``tree_tables``), which is exact for the single tree and the forest.  Boosted
+  trees get Newton steps for the log loss at their leaves, as the reference's do.
 
 Every fit is a series of distributed jobs over the persisted training frame;
 iterative learners checkpoint to the shared checkpoint folder.
@@ -52,6 +53,7 @@ from .clean import DISCHARGES, EXPECTED, LABEL, MEASURE, PREDICTED, READMISSIONS
 from .features import ImputerModelExact, PopulationScalerModel, balanced_weights, with_class_weight
 from .metrics import MODEL_NAMES
 from .ordered import exact_median
+from .tree_tables import TreeTables, TreeTablesModel, newton_leaves, node_table
 
 NUM_FEATURES = [DISCHARGES, PREDICTED, EXPECTED, READMISSIONS]
 CAT_FEATURES = [STATE, MEASURE]
@@ -64,6 +66,9 @@ SEED = 42
 TREE_MEMORY_MB = 512
 # Folds whose held-out margins calibrate the SVM.
 PLATT_FOLDS = 3
+# Rows that a node needs to be split.
+MIN_SPLIT = {"Decision Tree": 10, "Random Forest": 5, "Gradient Boosting": 10}
+BOOSTING_RATE = 0.1
 SKLEARN_TOL = {"lr": 1e-4, "svm": 1e-3, "mlp": 1e-4}
 
 
@@ -281,7 +286,7 @@ def classifier(name: str, n_train: int, n_features: int, fast: bool = False):
                                       featureSubsetStrategy="sqrt", seed=SEED, cacheNodeIds=True,
                                       checkpointInterval=10, maxMemoryInMB=TREE_MEMORY_MB)
     if name == "Gradient Boosting":
-        return GBTClassifier(maxIter=15 if fast else 150, stepSize=0.1, maxDepth=5, subsamplingRate=0.8,
+        return GBTClassifier(maxIter=15 if fast else 150, stepSize=BOOSTING_RATE, maxDepth=5, subsamplingRate=0.8,
                              minInstancesPerNode=5, seed=SEED, checkpointInterval=10, maxMemoryInMB=TREE_MEMORY_MB)
     if name == "Neural Network (MLP)":
         return MultilayerPerceptronClassifier(layers=[n_features, 100, 50, 25, 2],
@@ -325,6 +330,16 @@ def _fit_svm(prepared: DataFrame, n_train: int, fast: bool, folds: int = PLATT_F
     return [rff, svm, platt]
 
 
+def _as_tables(name: str, fitted, prepared: DataFrame) -> TreeTablesModel:
+    """A fitted tree model with the reference's rules that Spark's learner lacks."""
+    boosted = name == "Gradient Boosting"
+    tables = TreeTables.of(node_table(fitted)).with_min_split(MIN_SPLIT[name], merge_equal=not boosted)
+    if not boosted:
+        return TreeTablesModel(tables=tables.encode(), kind="shares")
+    tables, start, _ = newton_leaves(tables, prepared, BOOSTING_RATE)
+    return TreeTablesModel(tables=tables.encode(), kind="steps", start=start, rate=BOOSTING_RATE)
+
+
 def _together(spark, work, items: list, parallelism: int | None = None) -> list:
     """Run small chains of jobs from a thread pool, as ``CrossValidator(parallelism=...)`` does."""
     with ThreadPoolExecutor(max_workers=parallelism or max(1, len(items))) as pool:
@@ -356,6 +371,8 @@ def fit_many(names: list[str], train: DataFrame, fast: bool = False, parallelism
             own = _fit_svm(prepared, facts.rows, fast)
         else:
             own = [classifier(name, facts.rows, n_features, fast).fit(prepared)]
+            if name in MIN_SPLIT:
+                own = [_as_tables(name, own[0], prepared)]
         return PipelineModel(stages=[*pre, *own])
 
     try:
