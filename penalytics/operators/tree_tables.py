@@ -10,8 +10,7 @@ holds them as arrays, by which two rules of the reference's learners are kept:
   the later ones were fitted to what the uncut ones left over.
 * leaf values of boosted trees by a Newton step for the log loss (``newton_leaves``): rows
   are routed to the leaves of all rounds once; then, round by round, gradients and
-  curvatures are summed for each leaf where the rows are, and a few numbers for each
-  leaf come back.
+  curvatures are summed for each leaf, and the leaf's step is their ratio.
 
 ``TreeTablesModel`` scores with such tables, all trees and a batch of rows at once, and is
 saved and loaded with its pipeline. Like Spark's own tree models it holds the nodes on the driver.
@@ -37,6 +36,9 @@ from pyspark.sql import functions as F
 from ..functions.scalar import sigmoid
 from ..session import delete_path, shared_path
 
+#: Distinct rows of leaves (two bytes a round) that the driver takes for Newton steps: some 20 MB.
+MOST_PATHS = 1 << 16
+
 
 def node_table(model) -> DataFrame:
     """(tree, node, parent, feature, threshold, left_values, n_categories, left, right, n_rows, gain, impurity, stats, prediction)
@@ -135,15 +137,23 @@ class TreeTables:
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row (in any order) and tree."""
-        at = np.broadcast_to(self.roots, (len(x), len(self.roots))).copy()
-        row = np.arange(len(x))[:, None]
-        while True:
-            f = self.feature[at]
-            inner = f >= 0
-            if not inner.any():
-                return at
-            down = np.where(x[row, np.maximum(f, 0)] <= self.threshold[at], self.left[at], self.right[at])
-            at = np.where(inner, down, at)
+        return self.router()(x)
+
+    def router(self):
+        """``leaves`` as a function of arrays alone, which workers can run without this package."""
+        roots, feature, threshold, left, right = self.roots, self.feature, self.threshold, self.left, self.right
+
+        def route(x):
+            at = np.broadcast_to(roots, (len(x), len(roots))).copy()
+            row = np.arange(len(x))[:, None]
+            while True:
+                f = feature[at]
+                inner = f >= 0
+                if not inner.any():
+                    return at
+                down = np.where(x[row, np.maximum(f, 0)] <= threshold[at], left[at], right[at])
+                at = np.where(inner, down, at)
+        return route
 
     def encode(self) -> str:
         out = io.BytesIO()
@@ -179,13 +189,14 @@ class TreeTablesModel(Model, DefaultParamsReadable, DefaultParamsWritable):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         held, rate, start = self.table(), self.getOrDefault(self.rate), self.getOrDefault(self.start)
+        route, values = held.router(), held.value
         steps = self.getOrDefault(self.kind) == "steps"
 
         @F.pandas_udf("double")
         def value(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for xs in batches:
                 x = np.stack(xs.to_numpy()) if len(xs) else np.zeros((0, 1))
-                v = held.value[held.leaves(x)] if len(xs) else np.zeros((0, 1))
+                v = values[route(x)] if len(xs) else np.zeros((0, 1))
                 yield pd.Series(start + rate * v.sum(axis=1) if steps else v.mean(axis=1))
 
         out = dataset.withColumn("_tree_value", value(vector_to_array(F.col(self.getOrDefault(self.inputCol)))))
@@ -199,34 +210,45 @@ class TreeTablesModel(Model, DefaultParamsReadable, DefaultParamsWritable):
 
 # ---------------------------------------------------------------- Newton steps
 
-def _sums(tables: TreeTables, start: float, rate: float, values: list[np.ndarray], leaf_ids: list[np.ndarray], t: int):
-    """A task's gradient and curvature sums for the leaves of round ``t``."""
-    size = len(leaf_ids[t])
+def _round_sums(start: float, rate: float, values: list[np.ndarray], size: int):
+    """Sums over rows (label, leaves of all rounds, times) for the round after those with ``values``:
+    loss and rows first, then gradient and curvature for each of the round's ``size`` leaves."""
+    t = len(values)
+
+    def sums(y, at, n):
+        f = np.full(len(y), start)
+        for k, v in enumerate(values):
+            f += rate * v[at[:, k]]
+        p = 1 / (1 + np.exp(-f))
+        loss = n * np.logaddexp(0, np.where(y > 0.5, -f, f))
+        return np.array([[loss.sum(), *np.bincount(at[:, t], n * (y - p), size)], [n.sum(), *np.bincount(at[:, t], n * p * (1 - p), size)]])
+    return sums
+
+
+def _in_tasks(routed: DataFrame, sums) -> np.ndarray:
+    """``sums`` over all rows, each task's added up where its rows are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, h, loss, n = np.zeros(size), np.zeros(size), 0.0, 0
+        total = None
         for batch in batches:
             y = batch["label"].to_numpy(float)
-            at = np.frombuffer(b"".join(batch["at"]), np.uint16).reshape(len(y), -1)
-            f = np.full(len(y), start)
-            for k, v in enumerate(values):
-                f += rate * v[at[:, k]]
-            p = 1 / (1 + np.exp(-f))
-            g += np.bincount(at[:, t], y - p, size)
-            h += np.bincount(at[:, t], p * (1 - p), size)
-            loss += float(np.logaddexp(0, np.where(y > 0.5, -f, f)).sum())
-            n += len(y)
-        yield pd.DataFrame({"leaf": np.arange(-1, size), "g": [loss, *g], "h": [float(n), *h]})
-    return run
-
-
-def newton_leaves(tables: TreeTables, rows: DataFrame, rate: float, features: str = "features", label: str = "label"
-                  ) -> tuple[TreeTables, float, list[float]]:
+            got = sums(y, np.frombuffer(b"".join(batch["at"]), np.uint16).reshape(len(y), -1), np.ones(len(y)))
+            total = got if total is None else total + got
+        if total is not None:
+            yield pd.DataFrame({"leaf": np.arange(total.shape[1]), "g": total[0], "h": total[1]})
+
+    got = routed.mapInPandas(run, "leaf int, g double, h double").toPandas()
+    return got.groupby("leaf", sort=True)[["g", "h"]].sum().to_numpy().T
+
+
+def newton_leaves(tables: TreeTables, rows: DataFrame, rate: float, features: str = "features", label: str = "label",
+                  most_paths: int = MOST_PATHS) -> tuple[TreeTables, float, list[float]]:
     """Trees with steps for the log loss at their leaves, the margin to start from (log odds), and
     the mean loss before each round.
 
-    ``rows``: 0/1 labels and feature vectors. A leaf that no row reaches has no step. Each round is one
-    job that returns two numbers for each leaf and task.
+    ``rows``: 0/1 labels and feature vectors. A leaf that no row reaches has no step. Rows with one
+    label and the same leaves in all rounds are one path. ``most_paths`` of them or fewer are summed
+    up on the driver, more by one job a round that returns two numbers for each leaf and task.
     """
     leaf = np.flatnonzero(tables.feature < 0)
     tree = tables.tree_of[leaf]
@@ -234,26 +256,31 @@ def newton_leaves(tables: TreeTables, rows: DataFrame, rate: float, features: st
     local = np.zeros(len(tables.feature), np.uint16)
     for own in ids:
         local[own] = np.arange(len(own))
+    down = tables.router()
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                at = local[tables.leaves(np.stack(batch["x"].to_numpy()))]
+                at = local[down(np.stack(batch["x"].to_numpy()))]
                 yield pd.DataFrame({"label": batch["label"], "at": [r.tobytes() for r in at]})
 
     plain = rows.select(F.col(label).cast("double").alias("label"), vector_to_array(F.col(features)).alias("x"))
     # a row's leaves take two bytes a round: kept, so that features are read once
     routed = plain.mapInPandas(route, "label double, at binary").persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        paths = routed.groupBy("label", "at").agg(F.count(F.lit(1)).alias("n")).limit(most_paths + 1).toPandas()
         share = routed.agg(F.avg("label")).first()[0]
         start = float(np.log(share / (1 - share)))
+        few = len(paths) <= most_paths
+        if few:
+            y, n = paths["label"].to_numpy(float), paths["n"].to_numpy(float)
+            at = np.frombuffer(b"".join(paths["at"]), np.uint16).reshape(len(y), -1)
         values, losses = [], []
-        for t, own in enumerate(ids):
-            got = routed.mapInPandas(_sums(tables, start, rate, values, ids, t), "leaf int, g double, h double").toPandas()
-            sums = got.groupby("leaf", sort=True)[["g", "h"]].sum()
-            losses.append(float(sums["g"].iloc[0] / sums["h"].iloc[0]))
-            g, h = sums["g"].to_numpy()[1:], sums["h"].to_numpy()[1:]
-            values.append(np.divide(g, h, out=np.zeros(len(own)), where=h > 1e-150))
+        for own in ids:
+            sums = _round_sums(start, rate, values, len(own))
+            (loss, *g), (count, *h) = sums(y, at, n) if few else _in_tasks(routed, sums)
+            losses.append(float(loss / count))
+            values.append(np.divide(g, h, out=np.zeros(len(own)), where=np.array(h) > 1e-150))
     finally:
         routed.unpersist()
     value = np.zeros(len(tables.feature))

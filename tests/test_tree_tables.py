@@ -124,11 +124,12 @@ def test_forest_trees_are_cut_each(data):
             assert (t.rows[at[row, tree]], t.value[at[row, tree]]) == (whole.rows[kept], whole.value[kept])
 
 
-def test_newton_leaves_equal_plain_boosting_and_lower_the_loss(data):
+@pytest.mark.parametrize("most_paths", [10_000, 3])
+def test_newton_leaves_equal_plain_boosting_and_lower_the_loss(data, most_paths):
     df, x, y = data
     model = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.1, seed=5, minInstancesPerNode=5).fit(df)
     t = X.TreeTables.of(X.node_table(model)).with_min_split(10, merge_equal=False)
-    found, start, losses = X.newton_leaves(t, df, 0.1)
+    found, start, losses = X.newton_leaves(t, df, 0.1, most_paths=most_paths)
     assert start == pytest.approx(np.log(y.mean() / (1 - y.mean())))
     f, at, want = np.full(300, start), t.leaves(x), []
     for k in range(12):
