@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import clean as C
 from ..operators import explore as X
 from ..operators import ordered as O
+from ..operators import peers as PE
 from ..operators import profile as PR
 from ..operators import rules as R
 from . import rules_sql as RS
@@ -410,6 +411,28 @@ def q_state_lookup(spark, sf_dir):
     return X.state_code_for_name(named, states).select(C.STATE, "state_name", "state_code")
 
 
+_PEER_COLUMNS = union_all([f"""
+SELECT facility_id, measure_name, volume_band, '{name}' AS column_name, {value} AS value FROM banded WHERE {value} IS NOT NULL"""
+                           for name, value in (("excess_readmission_ratio", "excess_readmission_ratio"),
+                                               ("predicted_readmission_rate", "predicted_readmission_rate"),
+                                               ("readmission_share", "CASE WHEN number_of_discharges > 0 THEN "
+                                                                     "number_of_readmissions / number_of_discharges END"))])
+
+
+@register("peer_comparison", with_fixture(f"""
+SELECT facility_id, measure_name, volume_band, column_name, value, cast(count(*) OVER peers - 1 AS bigint) AS n_peers,
+       cast(sum(cast(value AS decimal(28,10))) OVER peers - cast(value AS decimal(28,10)) AS double) / nullif(count(*) OVER peers - 1, 0) AS peer_mean,
+       value - cast(sum(cast(value AS decimal(28,10))) OVER peers - cast(value AS decimal(28,10)) AS double) / nullif(count(*) OVER peers - 1, 0) AS gap,
+       (rank() OVER (PARTITION BY measure_name, volume_band, column_name ORDER BY value) - 1)
+         / nullif(count(*) OVER peers - 1, 0) AS percentile
+FROM ({_PEER_COLUMNS}) l WINDOW peers AS (PARTITION BY measure_name, volume_band, column_name)""", """
+banded AS (SELECT *, CASE WHEN number_of_discharges >= 1000 THEN 'large' WHEN number_of_discharges >= 100 THEN 'medium'
+                          WHEN number_of_discharges >= 25 THEN 'small' WHEN number_of_discharges IS NOT NULL THEN 'tiny' END AS volume_band
+           FROM hrrp_clean)"""), ids=("J4",))
+def q_peer_comparison(spark, sf_dir):
+    return PE.hospital_peers(loaded(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- rules
 
 ROW_KEY = ["facility_id", C.MEASURE]
