@@ -43,7 +43,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.util import inheritable_thread_target
@@ -386,13 +386,20 @@ def fit_pipeline(name: str, train: DataFrame, fast: bool = False, **options) ->
     return fit_many([name], train, fast, **options)[name]
 
 
+def positive_probability(scored: DataFrame) -> Column:
+    """Element 1 of the probability vector; for a model without one, the sigmoid of its margin."""
+    if "probability" in scored.columns:
+        return vector_to_array(F.col("probability"))[1]
+    return sigmoid(vector_to_array(F.col("rawPrediction"))[1])
+
+
 def score(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
-    """Label and P(class 1) for every row (probability vector element 1)."""
+    """Label and P(class 1) for every row."""
     out = model.transform(df)
     return out.select(*[c for c in df.columns],
                       F.lit(name).alias("model"),
                       F.col("prediction").cast("int").alias("prediction"),
-                      vector_to_array(F.col("probability"))[1].alias("probability"))
+                      positive_probability(out).alias("probability"))
 
 
 def fit_and_score(name: str, split_df: DataFrame, fast: bool = False) -> DataFrame:

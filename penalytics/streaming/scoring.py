@@ -13,11 +13,11 @@ All folders live under the shared checkpoint folder (``spark.checkpoint.dir``);
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rules as R
+from ..operators.models import positive_probability
 from ..operators.clean import DISCHARGES, EXPECTED, LABEL, MEASURE, PREDICTED, READMISSIONS, STATE
 from ..session import shared_path
 
@@ -97,7 +97,7 @@ def model_scores(df: DataFrame, model: PipelineModel, name: str, report: bool =
     """
     out = model.transform(df.withColumn(LABEL, F.lit(None).cast("int")))
     keep = ["request_id", F.lit(name).alias("model"), F.col("prediction").cast("int").alias("prediction")]
-    p = vector_to_array(F.col("probability"))[1].alias("probability")
+    p = positive_probability(out).alias("probability")
     if not report:
         return out.select(*keep, p)
     ratio = R.ratio_guarded(F.col(PREDICTED), F.col(EXPECTED)).alias("excess_ratio")
