@@ -94,5 +94,13 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit("second"), t).alias("b"))
 
 
+def shielded(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns c0, c1, ... and the new names of the columns ``names``, so that no
+    column that an operator adds can clash. ``toDF(*docs.columns)`` gives the old names back."""
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    place = {n.lower(): i for i, n in reversed([*enumerate(docs.columns)])}
+    return docs.toDF(*own), [own[place[n.lower()]] for n in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))

@@ -9,12 +9,15 @@
 3. A second pass joins the documents to the items on the seeds, lays a window
    around each hit, drops windows whose common words can't reach the threshold
    (an exact bound), and aligns the rest by Smith-Waterman (match 2, mismatch -1,
-   gap -1). The score is the alignment's value over that of a verbatim copy.
+   gap -1). The score is the alignment's value over that of a verbatim copy. A passage
+   is a copy from a score of ``threshold``, or as an excerpt that is worth ``EXCERPT_WORDS``
+   verbatim words at a density of ``EXCERPT_DENSITY``, however long the item is.
 
 No text is shuffled and every document is judged on its own, so a passage that
 sits in a third of the corpus is no hot key.
 
-Defined results: words are ``\\w+`` runs of the lower-cased text. Null or empty
+Defined results: words are ``\\w+`` runs of the lower-cased text; in scripts without
+spaces each character is a word. Null or empty
 texts on either side never match; items shorter than one n-gram are matched by
 their whole word sequence. Repeated rows each get their own result. Of several
 windows of one item the best counts.
@@ -33,12 +36,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare_workers, stage, text_key
+from .common import prepare_workers, shielded, stage, text_key
 
-WORDS = re.compile(r"\w+")
+#: Scripts that are written without spaces (fixed ranges): there each character is a word.
+UNSPACED = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u3100-\u312f\u31a0-\u31bf\u31f0-\u31ff"
+            "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff")
+WORDS = re.compile(rf"(?=\w)[{UNSPACED}]|[^\W{UNSPACED}]+")
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of a verbatim copy's score from which a passage counts as a copy.
 THRESHOLD = 0.5
+#: An excerpt counts as a copy too: an alignment worth so many verbatim words, at such a share of
+#: the score that a verbatim copy of the passage's length would have.
+EXCERPT_WORDS, EXCERPT_DENSITY = 25, 0.8
 
 
 def words_of(text: str | None) -> list[str]:
@@ -61,6 +70,11 @@ def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def passage(item: np.ndarray, window: np.ndarray, stop: int) -> int:
+    """Words of the best alignment's passage that ends before ``stop``: it begins where the reversed one ends."""
+    return smith_waterman(item[::-1], window[:stop][::-1])[1]
+
+
 @dataclass
 class Block:
     """Items of one block, with their words as numbers."""
@@ -136,15 +150,16 @@ class Block:
                     own.append([start, end])
         for number, own in windows.items():
             item = self.items[number]
-            least, top, place = threshold * MATCH * len(item), 0, 0
+            full, excerpt, top, place = threshold * MATCH * len(item), EXCERPT_WORDS * MATCH, 0, 0
+            least = min(full, excerpt)
             for start, end in own:
                 window = ids[start:end]
                 if MATCH * np.isin(item, window).sum() < least:
                     continue
                 score, stop = smith_waterman(item, window)
-                if score > top:
+                if score > top and (score >= full or score >= excerpt and score >= EXCERPT_DENSITY * MATCH * passage(item, window, stop)):
                     top, place = score, start + stop
-            if top and top >= least:
+            if top:
                 yield number, top / (MATCH * len(item)), place
 
 
@@ -217,5 +232,7 @@ def find_copies(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` whose text holds no copy of an item. Being clean depends on the text alone."""
     gone = stage(find_copies(docs, items, id_col, text_col, **options).select("key").distinct(), "leaks")
-    marked = docs.withColumn("__x_key", text_key(F.col(text_col)))
-    return marked.join(gone.select(F.col("key").alias("__x_key")), "__x_key", "left_anti").select(*docs.columns)
+    plain, (t,) = shielded(docs, text_col)
+    marked = plain.withColumn("__x_key", text_key(F.col(t)))
+    left = marked.join(gone.select(F.col("key").alias("__x_key")), "__x_key", "left_anti")
+    return left.select(*plain.columns).toDF(*docs.columns)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import file_system, prepare_workers, scratch_path, stage, whole
+from .common import file_system, prepare_workers, scratch_path, shielded, stage, whole
 
 TABLE_BYTES = 64 << 20
 FANOUT_BITS = 4
@@ -231,8 +231,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256."""
-    rows, verdicts = classify(docs, id_col, text_col, **options)
-    slim = rows.select(F.col(id_col), *[f"{OWN}{c}" for c in ("sha256", "part", "row", "keeper", "kid", "n")])
+    plain, (i, t) = shielded(docs.select(id_col, text_col), id_col, text_col)
+    rows, verdicts = classify(plain, i, t, **options)
+    slim = rows.select(F.col(i).alias(id_col), *[f"{OWN}{c}" for c in ("sha256", "part", "row", "keeper", "kid", "n")])
     both = slim.join(verdicts, [f"{OWN}part", f"{OWN}keeper"], "left")
     settled = F.col(f"{OWN}total").isNull()
     local = F.col(f"{OWN}row") == F.col(f"{OWN}keeper")
@@ -245,8 +246,9 @@ def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    rows, verdicts = classify(docs, id_col, text_col, **options)
+    plain, (i, t) = shielded(docs, id_col, text_col)
+    rows, verdicts = classify(plain, i, t, **options)
     losers = verdicts.where(f"{OWN}part <> {OWN}to_part or {OWN}keeper <> {OWN}to_row").select(
         f"{OWN}part", F.col(f"{OWN}keeper").alias(f"{OWN}row"))
     reps = rows.where(f"{OWN}row = {OWN}keeper")
-    return reps.join(losers, [f"{OWN}part", f"{OWN}row"], "left_anti").select(*docs.columns)
+    return reps.join(losers, [f"{OWN}part", f"{OWN}row"], "left_anti").select(*plain.columns).toDF(*docs.columns)

@@ -17,7 +17,7 @@ Character references are decoded, white space in a block becomes one space, and
 good blocks are joined by line feeds. One ``<br>`` is white space, two end a block.
 
 Defined results: null and empty pages, and pages without a good block, give an empty
-text, and so does a short piece of text without any element. Cut-off tags, comments and scripts end with the page; ``<`` before anything but
+text; text without any element is a block like others. Cut-off tags, comments and scripts end with the page; ``<`` before anything but
 a tag is text. Each page is judged on its own, so ties and repeated rows are alike.
 """
 
@@ -52,16 +52,18 @@ INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em
 ruby s samp small span strike strong sub sup time tt u var wbr""".split())
 #: Elements whose content is no markup.
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math canvas object".split())
-FURNITURE = frozenset("nav footer aside form button select menu dialog head header fieldset datalist".split())
+FURNITURE = frozenset("nav footer aside button select menu dialog head header fieldset datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 MARKS = frozenset("""ad ads adsense advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar
 sidebars side aside menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr
 notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login register comment
 comments commentlist discussion disqus respond reply replies share sharing social related recommended widget widgets
-pager pagination copyright legal disclaimer toolbar skip form forms search hidden""".split())
+pager pagination copyright legal disclaimer toolbar skip form forms search hidden cc privacy reviews""".split())
 NEGATED = frozenset("has with no without".split())
 #: Marks of comment sections, whose text is never the article's, however long it is.
-COMMENTS = frozenset("comment comments commentlist discussion disqus respond reply replies".split())
+COMMENTS = frozenset("comment comments commentlist discussion disqus respond reply replies reviews".split())
+#: Marks that say nothing inside an article.
+OF_ARTICLES = frozenset("header legal disclaimer".split())
 #: First words of class names that tell an entry's topics, last words of those that tell a state.
 TOPICS = frozenset("category tag".split())
 STATES = frozenset("open opened closed enabled disabled active inactive on off visible".split())
@@ -87,7 +89,7 @@ class Block:
     links: int  # characters inside links
     section: int  # number of the article or main element around it; 0: none
     furniture: bool
-    element: bool = True  # whether it is in any element
+    item: bool = False  # whether it is in a list
     mark: int = 0  # number of the innermost element around it whose class or id marks furniture; 0: none
     label: int = OPEN
 
@@ -99,16 +101,18 @@ def _mark_of(word: str, in_section: bool) -> str:
         return ""
     while len(tokens) > 1 and tokens[-1] in PLACES:
         tokens.pop()
-    return next((t for t in (tokens[-1], tokens[0]) if t in MARKS and not (in_section and t == "header")), "")
+    return next((t for t in (tokens[-1], tokens[0]) if t in MARKS and not (in_section and t in OF_ARTICLES)), "")
 
 
 def _is_furniture(name: str, attributes: str, in_section: bool) -> tuple[bool, str]:
     """Whether an element is furniture for sure, and the mark of its classes and id, a comment section's first."""
     if name in FURNITURE and not (name == "header" and in_section):
         return True, ""
+    # a form around the page or the article is judged as marked elements are, by the text that it holds
+    own = "form" if name == "form" else ""
     if not attributes or name in ("html", "body", "main"):
-        return False, ""
-    marks = []
+        return False, own
+    marks = [own] if own else []
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id"):
@@ -159,14 +163,14 @@ def blocks_of(page: str) -> list[Block]:
     depth: dict[str, int] = {}
     parts: list[str] = []
     links = breaks = sections = at = 0
-    in_link = seen = False
+    in_link = False
 
     def flush():
         nonlocal links, breaks, in_link
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append(Block(text, links, stack[-1][2], stack[-1][1], seen, stack[-1][3]))
+                blocks.append(Block(text, links, stack[-1][2], stack[-1][1], bool(depth.get("li")), stack[-1][3]))
             parts.clear()
         links, breaks, in_link = 0, 0, False
 
@@ -214,7 +218,7 @@ def blocks_of(page: str) -> list[Block]:
                 text("<")
                 at = lt + 1
             continue
-        name, seen = named[0].lower(), True
+        name = named[0].lower()
         closed = TAG_END.match(page, named.end())
         stop = closed.end() if closed else page.find(">", named.end()) + 1
         if not stop:
@@ -278,8 +282,8 @@ def label(blocks: list[Block]) -> list[Block]:
         size = len(b.text)
         stops = listed[i - 1] / len(words[i - 1])
         unknown = stops < STOP_LOW and (no_words or 2 * len(OTHER_SCRIPT.findall(b.text)) > sum(map(str.isalpha, b.text)))
-        # in an article a list of links is a menu, a single block of links may be a title or a source
-        menu = dense[i] and (not b.section or dense[i] in (dense[i - 1], dense[i + 1]))
+        # in an article a list of links is a menu, another block of links may be a title, a byline or a source
+        menu = dense[i] and (not b.section or b.item and dense[i] in (dense[i - 1], dense[i + 1]))
         if b.furniture or has_section and not b.section or menu:
             b.label = BAD
         elif size < 2 * LONG and b.text.startswith(("©", "(c) ", "Copyright ")):
@@ -288,15 +292,15 @@ def label(blocks: list[Block]) -> list[Block]:
             b.label = GOOD
         elif size >= LONG and not b.section and not unknown:
             b.label = BAD
-    # furniture inside an article says nothing about the text around it
-    decided = [OPEN if b.furniture and b.section else b.label for b in blocks]
+    # furniture and menus inside an article say nothing about the text around them
+    decided = [OPEN if b.section and b.label == BAD else b.label for b in blocks]
     found = {b.section for b in blocks if b.label == GOOD}
     before, after = _nearest(blocks, decided, 1), _nearest(blocks, decided, -1)
     for b, (d1, l1), (d2, l2) in zip(blocks, before, after):
         if b.label != OPEN:
             continue
         if b.section not in found:  # what is neither furniture nor links is the text
-            b.label = GOOD if b.element else BAD
+            b.label = GOOD
         elif d1 != d2:
             b.label = l1 if d1 < d2 else l2
         else:

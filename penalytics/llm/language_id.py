@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare_workers
+from .common import prepare_workers, shielded
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -218,8 +218,10 @@ def keep_identified(docs: DataFrame, least_score: float = 0.2) -> DataFrame:
     """
     spark = docs.sparkSession
     prepare_workers(spark)
-    model = fit(docs.where(~held_out(F.col("doc_id"))))
+    plain, (i, t, lang) = shielded(docs, "doc_id", "text", "lang")
+    model = fit(plain.where(~held_out(F.col(i))), i, t, lang)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = docs.withColumn("__x_lang", identify(F.col("text"), model, spark))
-    return found.where(f"__x_lang.lang <> '{UNKNOWN}' and __x_lang.explained and __x_lang.score >= {float(least_score)}").select(*docs.columns)
+    found = plain.withColumn("__x_lang", identify(F.col(t), model, spark))
+    found = found.where(f"__x_lang.lang <> '{UNKNOWN}' and __x_lang.explained and __x_lang.score >= {float(least_score)}")
+    return found.select(*plain.columns).toDF(*docs.columns)

@@ -258,9 +258,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = F.transform(F.array(F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")), pairs)
     found = docs.select(F.col(id_col).alias("doc_id"), F.filter(scored, lambda s: s["less"] <= -threshold).alias("units"),
                         F.flatten(F.transform(every, inside)).alias("hits"))
-    # of overlapping windows the first in order (most common bigrams) counts, and only licences that no unit shows
-    more = F.filter(F.filter("hits", lambda h: ~F.exists("units", lambda u: u["name"] == h["name"])), lambda h: ~F.exists(
-        "hits", lambda o: (o["start"] < h["stop"]) & (h["start"] < o["stop"]) & (o < h)))
+    # windows are taken in order (most common bigrams first), each unless one that was taken overlaps it
+    taken = F.aggregate(F.array_sort("hits"), F.slice("hits", 1, 0), lambda own, h: F.when(F.exists(
+        own, lambda o: (o["start"] < h["stop"]) & (h["start"] < o["stop"])), own).otherwise(F.array_append(own, h)))
+    # and only licences that no unit shows
+    more = F.filter(taken, lambda h: ~F.exists("units", lambda u: u["name"] == h["name"]))
     found = found.select("doc_id", F.concat("units", F.transform(more, lambda h: F.struct(h["less"], h["name"]))).alias("found"))
     best = F.array_min("found")
     return found.select(

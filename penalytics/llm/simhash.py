@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prepare_workers, stage, text_key, whole
+from .common import prepare_workers, shielded, stage, text_key, whole
 from .components import components
 
 SEED = 42
@@ -112,10 +112,11 @@ def fingerprint_hex(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` without those that near-duplicate one with a smaller id."""
-    found = near_duplicates(docs, id_col, text_col, **options)
+    plain, (i, t) = shielded(docs, id_col, text_col)
+    found = near_duplicates(plain, i, t, **options)
     gone = found.where(~(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("key") == F.col("keeper.key"))))
     gone = gone.select(F.col("doc_id").alias("__x_id"), F.col("key").alias("__x_gone")).distinct()
-    marked = docs.withColumn("__x_key", text_key(F.col(text_col)))
-    left = marked.join(gone, marked[id_col].eqNullSafe(gone["__x_id"]) & (F.col("__x_key") == F.col("__x_gone")), "left_anti")
+    marked = plain.withColumn("__x_key", text_key(F.col(t)))
+    left = marked.join(gone, marked[i].eqNullSafe(gone["__x_id"]) & (F.col("__x_key") == F.col("__x_gone")), "left_anti")
     # of repeated rows (equal id and text) one stays
-    return left.dropDuplicates([id_col, "__x_key"]).select(*docs.columns)
+    return left.dropDuplicates([i, "__x_key"]).select(*plain.columns).toDF(*docs.columns)

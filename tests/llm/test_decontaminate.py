@@ -31,11 +31,56 @@ def brute(docs, items, threshold=D.THRESHOLD):
         words = D.words_of(t)
         for k, item in items:
             w = D.words_of(item)
-            if w and words and (score := plain_alignment(w, words) / (D.MATCH * len(w))) >= threshold:
+            if not w or not words:
+                continue
+            top = plain_alignment(w, words)
+            verbatim = any(" ".join(w[a:a + D.EXCERPT_WORDS]) in " ".join(words) for a in range(len(w) - D.EXCERPT_WORDS + 1))
+            if (score := top / (D.MATCH * len(w))) >= threshold or verbatim:
                 found[i, k] = score
     return found
 
 
+@pytest.mark.parametrize("size, share, found", [(300, 0.1, True), (300, 0.25, True), (300, 0.5, True), (300, 0.9, True), (100, 0.25, True),
+                                                (100, 0.2, False), (40, 0.5, True), (40, 0.4, False)])
+def test_excerpts(spark, docs_of, size, share, found):
+    rng = random.Random(size)
+    item = [f"w{rng.randrange(400)}" for _ in range(size)]
+    at = size // 20
+    part = " ".join(item[at: at + int(size * share)])
+    rows = [(1, f"before it all {part} and after"), (2, " ".join(sorted(item)[: size // 3])), (3, "x " * 50)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in D.find_copies(docs_of(rows), bench).collect()] == ([(1, 7)] if found else [])
+
+
+def test_edited_excerpts_and_sparse_overlaps(spark, docs_of):
+    rng = random.Random(3)
+    item = [f"w{rng.randrange(500)}" for _ in range(400)]
+    part = edited(rng, " ".join(item[100:180]), 0.05)
+    sparse = " ".join(w for pair in zip(item[200:320], (f"z{i}" for i in range(120))) for w in pair)  # every other word
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = D.find_copies(docs_of([(1, f"a b {part} c"), (2, sparse)]), bench).collect()
+    assert [r.doc_id for r in got] == [1]
+
+
+@pytest.mark.parametrize("item, text", [
+    ("早上去了图书馆", "我们昨天早上去了图书馆然后回家了"), ("ฉันไปห้องสมุดตอนเช้า", "วันนี้ฉันไปห้องสมุดตอนเช้าแล้วกลับบ้าน"),
+    ("图书馆", "早上去了图书馆")])
+def test_scripts_without_spaces(spark, docs_of, item, text):
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = D.find_copies(docs_of([(1, text), (2, "别的文章没有这些内容")]), bench).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 7)]
+
+
+def test_words():
+    assert D.words_of("Ab_1 图书x馆 ünï-cod") == ["ab_1", "图", "书", "x", "馆", "ünï", "cod"]
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", 5, 6), (2, "no copy here", 7, 8)], "doc_id long, text string, __x_key int, c0 int")
+    bench = spark.createDataFrame([(7, "a b c d e")], "item_id long, text string")
+    assert [tuple(r) for r in D.keep_clean(docs, bench).collect()] == [(2, "no copy here", 7, 8)]
+
+
 def edited(rng, text, rate):
     out = []
     for word in text.split():

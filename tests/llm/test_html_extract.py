@@ -43,7 +43,7 @@ def test_given_pages(spark, small):
 
 
 @pytest.mark.parametrize("page, expected", [
-    (None, ""), ("", ""), ("<p>", ""), ("<!-- never closed <p>x", ""), ("<script>var a='<p>x</p>'", ""), ("a < b & c", ""),
+    (None, ""), ("", ""), ("<p>", ""), ("<!-- never closed <p>x", ""), ("<script>var a='<p>x</p>'", ""), ("a < b & c", "a < b & c"),
     (f"<article><p>{LONG}</p><p>a < b &amp;&lt;i&gt; &eacute;&#x41;&nbsp;z</p></article", f"{LONG.strip()}\na < b &<i> éA z"),
     (f"<body class=has-sidebar><nav>Home</nav><main><h1><a href=/>Title</a></h1><p>{LONG * 2}<p>Short.</main><aside>{LONG}</aside>",
      f"Title\n{(LONG * 2).strip()}\nShort."),
@@ -96,6 +96,25 @@ def test_marks_never_take_the_article(before, after):
     assert H.main_text(page + many) == text
 
 
+BYLINE = "<p>By <a href=/ann>Ann</a></p>"
+
+
+@pytest.mark.parametrize("page, expected", [
+    (f"<body><form id=aspnetForm><div id=content><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div></form>", f"Title\n{LONG.strip()}\n{LONG.strip()}"),
+    (f"<body><form><nav>Home</nav><article><p>{LONG}</p></article><form class=search>{LONG}</form></form>", LONG.strip()),
+    (f"<body><article><p>{LONG * 3}</p></article><form><label>{LONG * 9}</label></form>", (LONG * 3).strip()),
+    (f"<body><div><p>{LONG * 3}</p></div><form><p>{LONG}</p></form>", (LONG * 3).strip()),
+    (f"<article><h1>Title</h1>{BYLINE}<ul><li><a href=a>One more</a><li><a href=b>Two more</a></ul><p>{LONG}</p></article>",
+     f"Title\nBy Ann\n{LONG.strip()}"),
+    (f"<article><p>{LONG * 2}</p><div class=legal><p>{LONG}</p></div><p>{LONG}</p></article>", f"{(LONG * 2).strip()}\n{LONG.strip()}\n{LONG.strip()}"),
+    *((f"<div><p>{LONG * 2}</p></div><div class='{c}'><p>{LONG}</p></div>", (LONG * 2).strip()) for c in ("cc-window", "privacy-message")),
+    (f"<main><p>{LONG * 2}</p><section class=user-reviews><p>{LONG * 3}</p></section></main>", (LONG * 2).strip()),
+    ("Just text, nothing else.", "Just text, nothing else."),
+])
+def test_wrappers_bylines_and_notices(page, expected):
+    assert H.main_text(page) == expected
+
+
 def test_marked_elements_without_text():
     assert H.main_text("<div class=ad></div>") == H.main_text("<div class=ad><nav>x</nav></div>") == ""
 

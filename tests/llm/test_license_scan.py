@@ -107,3 +107,12 @@ def test_notices_inside_longer_texts(spark, docs_of):
     found = {r.doc_id: r for r in L.scan(docs_of(list(enumerate(texts.values())))).collect()}
     assert [(found[i].license, found[i].licenses) for i in range(len(texts))] == [(n, n or "") for n in texts]
     assert all((found[i].n_units > 0) == (n is not None) and (found[i].dice >= L.THRESHOLD) == (n is not None) for i, n in enumerate(texts))
+
+
+def test_a_window_that_is_not_taken_suppresses_no_other(spark, docs_of):
+    """B overlaps A and C, which don't overlap each other: the text holds A and C verbatim, so both are found."""
+    a, b, c = ([f"{x}{i}" for i in range(n)] for x, n in (("a", 12), ("b", 2), ("c", 24)))
+    known = [("A", " ".join(a)), ("B", " ".join([*a[6:], *b, *c[:8]])), ("C", " ".join(c))]
+    text = " ".join(["start"] * 9 + a + b + c + ["end"] * 9)
+    found = L.scan(docs_of([(1, text)]), templates=known).collect()[0]
+    assert found.licenses == "A,C"
