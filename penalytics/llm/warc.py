@@ -1,12 +1,15 @@
 """Deterministic sharded WARC writer, and its reader.
 
 Writing: payload digests find equal payloads (a sum per digest, joined back as
-ids only); records are range-sorted by page id; each task appends one gzip member
+ids only); records are range-sorted by page id. Where a range ends follows from the pages
+alone: running sums of their bytes in order of (page id, payload) are cut at multiples of
+``part_bytes``, or of a ``MOST_PARTS``-th of all bytes if that is more, and the few cuts go to
+all tasks. A task for each range appends one gzip member
 for each record to a file with a temporary name, starts the next file when the
 compressed size passes ``roll_bytes``, and renames a finished file to a name made
 of its range and number. Headers, record ids and digests are made anew from the
-content and the date is a parameter, so writing the same pages again, also in a
-repeated task, gives the same bytes. The files of successful tasks are listed in a
+content and the date is a parameter, so writing the same pages again, however they are
+partitioned and also in a repeated task, gives the same files and bytes. The files of successful tasks are listed in a
 manifest, a Parquet table that Spark commits; what it doesn't list isn't read.
 
 Files are written below a URI that all executors reach (``pyarrow.fs``).
@@ -14,12 +17,15 @@ Files are written below a URI that all executors reach (``pyarrow.fs``).
 Defined results: a null payload is empty; of equal payloads of at least
 ``least_bytes`` bytes the record with the smallest page id is a response and the
 others revisit it (of rows that repeat a page id and payload the first is the
-response; a null page id counts as the largest). An empty table writes no file.
+response; a null page id counts as the largest). An empty table writes no file. A range holds
+all rows with one page id and payload; a very long payload is one record, in memory whole.
+Only the three columns are read, so other columns' names don't matter.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import re
@@ -27,16 +33,23 @@ import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from penalytics.operators.ordered import running_sum
+
 from .common import file_system, prepare_workers, scratch_path, stage
 
 ROLL_BYTES = 64 << 20
+#: Least bytes of payload of a range, and the largest number of ranges.
+PART_BYTES, MOST_PARTS = 16 << 20, 20_000
+#: A record's headers, roughly.
+HEADER_BYTES = 512
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, records long, compressed_bytes long, first_id long, last_id long, sha1 string"
@@ -116,8 +129,44 @@ class _Roller:
                 "last_id": self.ids[-1], "sha1": self.digest.hexdigest()}
 
 
+def _place(page_id: Column, content: Column) -> list[Column]:
+    """What ranges are cut by: the page id, null last, then the payload."""
+    return [F.coalesce(page_id, F.lit((1 << 63) - 1)).alias("at"), page_id.isNull().alias("no_id"), F.xxhash64(content).alias("tie")]
+
+
+def _cuts(rows: DataFrame, part_bytes: int, most_parts: int = MOST_PARTS) -> list[tuple]:
+    """Where each range but the first begins, as (at, no_id, tie): ``most_parts`` of them or fewer."""
+    sizes = rows.select(*_place(F.col("page_id"), F.col("content")), (F.octet_length("payload") + HEADER_BYTES).cast("long").alias("b"))
+    sizes = stage(sizes.groupBy("at", "no_id", "tie").agg(F.sum("b").alias("b")).withColumn("every", F.lit(0)), "warc-sizes")
+    total = sizes.agg(F.sum("b")).first()[0] or 0
+    width = max(part_bytes, -(-total // most_parts))
+    if total <= width:
+        return []
+    placed = running_sum(sizes, ["every"], ["at", "no_id", "tie"], ["b"])
+    part = F.floor((F.col("cum_b") - F.col("b")) / width)
+    first = placed.groupBy(part.alias("part")).agg(F.min(F.struct("at", "no_id", "tie")).alias("first"))
+    return sorted(tuple(r["first"]) for r in first.where("part > 0").collect())
+
+
+def _part_of(cuts: list[tuple]):
+    """Range number of a place; most rows are told by the page id alone."""
+    ids = np.array([c[0] for c in cuts], np.int64)
+
+    @F.pandas_udf("int")
+    def run(at: pd.Series, no_id: pd.Series, tie: pd.Series) -> pd.Series:
+        values = at.to_numpy(np.int64)
+        low, high = np.searchsorted(ids, values, "left"), np.searchsorted(ids, values, "right")
+        out = high.astype(np.int32)
+        for k in np.flatnonzero(low < high):
+            out[k] = bisect.bisect_right(cuts, (int(values[k]), bool(no_id.iloc[k]), int(tie.iloc[k])))
+        return pd.Series(out)
+
+    return run
+
+
 def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url",
-                   payload_col: str = "html", least_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> tuple[str, DataFrame]:
+                   payload_col: str = "html", least_bytes: int = 0, roll_bytes: int = ROLL_BYTES,
+                   part_bytes: int = PART_BYTES) -> tuple[str, DataFrame]:
     """Write a record for each row below ``folder`` (a URI); returns the folder and the manifest."""
     spark = pages.sparkSession
     prepare_workers(spark)
@@ -135,7 +184,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
         copies.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"),
                       "content", F.lit(0).alias("kind"), "refers_to"))
     key = F.col("page_id").asc_nulls_last()
-    ordered = both.repartitionByRange(key, F.col("content")).sortWithinPartitions(key, "content", "kind", "url")
+    cuts = _cuts(rows, part_bytes)
+    part = _part_of(cuts)(*_place(F.col("page_id"), F.col("content"))) if cuts else F.lit(0)
+    # a stated number of tasks, one for each range
+    ordered = both.repartitionById(len(cuts) + 1, part).sortWithinPartitions(key, "content", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()

@@ -54,6 +54,38 @@ def test_same_bytes_again(pages):
     assert one == two and len(one) > 1
 
 
+def test_same_files_from_any_partitioning(spark):
+    """More rows than any sample of them would hold."""
+    made = spark.range(200_000).selectExpr(
+        "id * 7 % 200000 as page_id", "concat('http://x/', id) as url", "if(id % 50 = 0, 'again', repeat(md5(string(id)), 1 + int(id % 5))) as html")
+    made.write.parquet(folder := warc.scratch_path(spark, "t-pages"))
+    rows = spark.read.parquet(folder)
+    first, second, third = (warc.write_archives(p, roll_bytes=200_000, part_bytes=2 << 20) for p in (
+        rows, rows, rows.repartition(13, "html")))
+    listed = [sorted((r.file, r.records, r.sha1) for r in m.collect()) for _, m in (first, second, third)]
+    assert listed[0] == listed[1] == listed[2] and len({n.rsplit("-", 1)[0] for n, *_ in listed[0]}) > 5
+    assert sum(n for _, n, _ in listed[0]) == 200_000
+
+
+def test_a_hot_page_id_is_split(spark):
+    rows = [(i % 3 * 50 if i % 3 else 7, "u", f"{i} " * 50) for i in range(3000)] + [(None, "u", f"n{i}" * 9) for i in range(300)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder, manifest = warc.write_archives(pages, part_bytes=50_000)
+    parts = {r.file.rsplit("-", 1)[0] for r in manifest.collect()}
+    assert len(parts) > 20
+    found = warc.read_archives(folder, manifest).collect()
+    want = {}
+    for i, _, t in rows:
+        want.setdefault((i, digest(t)), []).append(len(t))
+    got = {}
+    for r in found:
+        got.setdefault((r.page_id, r.payload_digest), []).append(r.payload_bytes)
+    assert got == want
+    assert sum(r.record_type == "revisit" for r in found) == 300
+    again = warc.write_archives(pages.repartition(7), part_bytes=50_000)[1]
+    assert sorted(r.sha1 for r in again.collect()) == sorted(r.sha1 for r in manifest.collect())
+
+
 def test_small_payloads_are_all_responses(pages):
     folder, manifest = warc.write_archives(pages, least_bytes=5)
     found = {(r.page_id, r.record_type) for r in warc.read_archives(folder, manifest).collect()}
