@@ -16,6 +16,7 @@ from ..operators import ordered as O
 from ..operators import peers as PE
 from ..operators import profile as PR
 from ..operators import rules as R
+from ..operators import sketches as SK
 from . import rules_sql as RS
 from . import metrics_sql as MS
 from ..operators import metrics as M
@@ -23,6 +24,7 @@ from ..operators import features as FE
 from ..operators import models as MD
 from ..session import delete_path, shared_path
 from ..sources.votes import row_id as make_row_id
+from ..streaming import once as SO
 from ..streaming import scoring as ST
 from ..streaming import windowed as SW
 from ..sources.votes import votes as make_votes
@@ -224,6 +226,23 @@ def q_missing_any(spark, sf_dir):
     return PR.any_missing(modeled(spark, sf_dir))
 
 
+_ROLLED = union_all([f"""
+SELECT {"state" if "state" in kept else "cast(NULL AS varchar) AS state"},
+       {"measure_name" if "measure_name" in kept else "cast(NULL AS varchar) AS measure_name"}, '{c}' AS column_name,
+       cast(count({c}) AS bigint) AS n_rows, cast(count(DISTINCT {c}) AS bigint) AS n_distinct, '{",".join(kept)}' AS level
+FROM hrrp_raw GROUP BY {", ".join(kept) or "()"}""" for kept in (["state", "measure_name"], ["state"], ["measure_name"], [])
+                     for c in ("facility_id", "facility_name")])
+
+
+@register("distinct_rollups", with_fixture(_ROLLED), ids=("A2",))
+def q_distinct_rollups(spark, sf_dir):
+    """Sketches are stored once per state and condition; four levels are answered from them."""
+    path = shared_path(spark, "sketches")
+    groups, columns = [C.STATE, C.MEASURE], ["facility_id", "facility_name"]
+    SK.distinct_sketches(raw(spark, sf_dir), groups, columns).write.parquet(path)
+    return SK.roll_up(spark.read.parquet(path), [groups, [C.STATE], [C.MEASURE], []], groups)
+
+
 _DESCRIBE = union_all([f"""
 SELECT '{c}' AS column_name, cast(count({c}) AS bigint) AS count, avg({c}) AS mean,
        stddev_samp({c}) AS std, cast(min({c}) AS double) AS min,
@@ -851,6 +870,19 @@ def q_stream_model_scores(spark, sf_dir):
     return ST.run_available(stream, spark, "model-scores")
 
 
+@register("stream_requests_once", RS.stream_rules_sql(), ids=("L1", "L2"))
+def q_stream_requests_once(spark, sf_dir):
+    """All requests come twice, the second time after the stream was stopped; each is scored once."""
+    requests, folder = _requests(spark, sf_dir), shared_path(spark, "requests-twice")
+    timed = SO.timed(requests, SO.received(F.col("request_id")))
+    stream = SO.OnceStream.create(spark, folder, ST.rule_scores, delay="3650 days")
+    for _ in range(2):
+        SO.deliver(timed, folder)
+        stream.advance(spark)
+    delete_path(spark, folder)
+    return stream.sink.table(spark, ST.rule_scores(timed).schema)
+
+
 RATE_RULE = SW.WindowRule(size="30 days", lateness="10 days")
 DELIVERIES = 4
 
