@@ -41,6 +41,7 @@ from .common import prepare_workers, shielded, stage, text_key
 #: Scripts that are written without spaces (fixed ranges): there each character is a word.
 UNSPACED = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u3100-\u312f\u31a0-\u31bf\u31f0-\u31ff"
             "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff")
+RUNS = re.compile(r"\w+")
 WORDS = re.compile(rf"(?=\w)[{UNSPACED}]|[^\W{UNSPACED}]+")
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of a verbatim copy's score from which a passage counts as a copy.
@@ -51,7 +52,12 @@ EXCERPT_WORDS, EXCERPT_DENSITY = 25, 0.8
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORDS.findall((text or "").lower())
+    lowered = (text or "").lower()
+    try:  # Latin-1 texts hold none of those scripts
+        lowered.encode("latin-1")
+    except UnicodeEncodeError:
+        return WORDS.findall(lowered)
+    return RUNS.findall(lowered)
 
 
 def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:

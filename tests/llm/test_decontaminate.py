@@ -72,6 +72,8 @@ def test_scripts_without_spaces(spark, docs_of, item, text):
 
 
 def test_words():
+    for text in ("Ab_1 c-d é", "naïve İ", "x\u0e01y", None, ""):
+        assert D.words_of(text) == D.WORDS.findall((text or "").lower())
     assert D.words_of("Ab_1 图书x馆 ünï-cod") == ["ab_1", "图", "书", "x", "馆", "ünï", "cod"]
 
 
