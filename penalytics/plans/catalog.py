@@ -21,6 +21,8 @@ from . import rules_sql as RS
 from . import metrics_sql as MS
 from ..operators import metrics as M
 from ..operators import features as FE
+from ..operators import importance as IM
+from ..operators import shapley as SH
 from ..operators import models as MD
 from ..session import delete_path, shared_path
 from ..sources.votes import row_id as make_row_id
@@ -837,6 +839,24 @@ def q_consensus_requests(spark, sf_dir):
                                 F.col("excess_ratio"))
 
 
+@register("permutation_importance", None, ids=("M16", "M17"))
+def q_permutation_importance(spark, sf_dir):
+    """What the test metrics of the forest lose with each input column permuted."""
+    name = "Random Forest"
+    model = fitted_models(spark, sf_dir, [name])[name]
+    test = split_frame(spark, sf_dir).where(F.col("split") == "test").select("row_id", *NUM_FEATURES, *CAT_FEATURES, C.LABEL)
+    return IM.importance(test, [*NUM_FEATURES, *CAT_FEATURES], ["row_id"], lambda df: MD.score(model, df, name), label=C.LABEL)
+
+
+@register("tree_explanations", None, ids=("M10", "M17"))
+def q_tree_explanations(spark, sf_dir):
+    """Shapley values of every row's score by the decision tree, per input column."""
+    name = "Decision Tree"
+    model = fitted_models(spark, sf_dir, [name])[name]
+    rows = split_frame(spark, sf_dir).select("row_id", *NUM_FEATURES, *CAT_FEATURES)
+    return SH.explain_rows(model, rows, ["row_id"], [*NUM_FEATURES, *CAT_FEATURES])
+
+
 @register("sample_test_rows", MS.sample_test_rows_sql(), ids=("T8", "M19"))
 def q_sample_test_rows(spark, sf_dir):
     pm = M.prediction_matrix(votes_frame(spark, sf_dir).where(F.col("split") == "test"))
