@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from . import metrics as M
 from .ordered import rank_within
 
@@ -25,9 +26,9 @@ def places(df: DataFrame, key: list[str], name: str, seed: str) -> DataFrame:
     return rank_within(hashed, [], ["_hash", *key], name, uniform=True).drop("_hash")
 
 
-def permuted(df: DataFrame, column: str, key: list[str], seed: str = "1") -> DataFrame:
-    """``df`` with the values of ``column`` dealt anew over its rows."""
-    home = places(df, key, "_home", "home")
+def permuted(df: DataFrame, column: str, key: list[str], seed: str = "1", home: DataFrame | None = None) -> DataFrame:
+    """``df`` with the values of ``column`` dealt anew over its rows. ``home``: ``df`` with its places, if they are known."""
+    home = places(df, key, "_home", "home") if home is None else home
     donors = places(df.select(*dict.fromkeys([*key, column])), key, "_donor", f"{seed}:{column}")
     donors = donors.select("_donor", F.col(column).alias("_dealt"))
     joined = home.join(donors, F.col("_home") == F.col("_donor"))
@@ -38,11 +39,14 @@ def importance(df: DataFrame, columns: list[str], key: list[str], score: Callabl
                seed: str = "1") -> DataFrame:
     """(column_name, accuracy, roc_auc, accuracy_drop, roc_auc_drop): metrics with the column permuted, and
     what they lose against the untouched rows. ``score`` adds prediction and probability."""
-    every = None
+    ensure_checkpoint_dir(df.sparkSession)
+    # kept in the shared folder: places are those of every column, and the scores are read by both metrics
+    home, every = places(df, key, "_home", "home").checkpoint(), None
     for c in [WHOLE, *columns]:
-        scored = score(permuted(df, c, key, seed) if c else df)
+        scored = score(permuted(df, c, key, seed, home) if c else df)
         part = scored.select(F.lit(c).alias(M.MODEL), F.col(label).alias(M.LABEL), M.PRED, M.PROB)
         every = part if every is None else every.unionByName(part)
+    every = every.checkpoint()
     accuracy = M.binary_metrics(every, [M.MODEL]).select(M.MODEL, "accuracy")
     found = accuracy.join(M.roc_auc(every, [M.MODEL]), M.MODEL)
     base = found.where(F.col(M.MODEL) == WHOLE).select(F.col("accuracy").alias("_a"), F.col("roc_auc").alias("_r"))
