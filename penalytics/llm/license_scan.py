@@ -244,8 +244,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.flatten(F.transform(F.array(places), lambda p: F.flatten(F.transform(
             F.filter(literals, lambda t: F.size(p) > 0), lambda t: windows(whole_text, p, t)))))
 
+    # An anchor's longer word is a word of the text: one look-up for each word leaves few texts to the marks.
+    longer = F.array(*[F.lit(w) for w in sorted({max(a.split(), key=lambda w: (len(w), w)) for a in wanted})])
     # bound to a name by the one-element array, so that the text is lowered once
-    marked = F.exists(F.array(F.lower(whole(F.col(text_col)))), lambda t: reduce(
+    marked = F.exists(F.array(F.lower(whole(F.col(text_col)))), lambda t: F.arrays_overlap(F.split(t, r"[^\p{L}\p{N}]+"), longer) & reduce(
         lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.contains(t, F.lit(w)) for w in entry]) for entry in marks(wanted)]))
     text = F.when(marked, whole(F.col(text_col))).otherwise(F.lit(""))
     sized = F.filter(_units(text), lambda u: words_in(u).between(least + 1, most + 1))
