@@ -839,8 +839,8 @@ def q_consensus_requests(spark, sf_dir):
                                 F.col("excess_ratio"))
 
 
-@register("permutation_importance", None, ids=("M16", "M17"))
-def q_permutation_importance(spark, sf_dir):
+@register("model_importance", None, ids=("M16", "M17"))
+def q_model_importance(spark, sf_dir):
     """What the test metrics of the forest lose with each input column permuted."""
     name = "Random Forest"
     model = fitted_models(spark, sf_dir, [name])[name]
@@ -848,8 +848,8 @@ def q_permutation_importance(spark, sf_dir):
     return IM.importance(test, [*NUM_FEATURES, *CAT_FEATURES], ["row_id"], lambda df: MD.score(model, df, name), label=C.LABEL)
 
 
-@register("tree_explanations", None, ids=("M10", "M17"))
-def q_tree_explanations(spark, sf_dir):
+@register("model_explanations", None, ids=("M10", "M17"))
+def q_model_explanations(spark, sf_dir):
     """Shapley values of every row's score by the decision tree, per input column."""
     name = "Decision Tree"
     model = fitted_models(spark, sf_dir, [name])[name]
