@@ -1,8 +1,10 @@
 """Chat formatting: schema fingerprints select declarative mappings. DataFrame functions only.
 
-A layout is known by the hash of its sorted nested field paths (those that any known
-layout uses; other fields are ignored). The fingerprint of a table's schema, or of
-each JSON row's own fields, selects a declarative mapping, a SQL expression that turns
+A layout is known by the hash of its sorted nested field paths. A table's schema, or each
+JSON row with its own fields (those of all elements of a list), has the first layout of
+``LAYOUTS`` all of whose paths it holds, so further fields don't matter, whatever their
+names: the fingerprint of the paths that the two have in common is the layout's. It selects a
+declarative mapping, a SQL expression that turns
 prompt, instruction, message or one-row-per-turn layouts into canonical turns
 ``array<struct<role, text>>``.
 
@@ -14,7 +16,7 @@ loss mask names the assistant texts as code-point spans within each formatted tu
 Defined results: a null role or text is empty; turns are ordered by turn, then role,
 then text (null first), so ties have one order and repeated rows are repeated turns; a
 null conversation id is one conversation. Rows of an unknown layout have null turns.
-An empty table gives no rows. A conversation is one value, so its turns meet in one row
+An empty table gives no rows. Very long texts are escaped whole. A conversation is one value, so its turns meet in one row
 (the digest over all of its turns needs that); there is no other grouping.
 """
 
@@ -42,7 +44,7 @@ class Layout:
     paths: tuple[str, ...]
     schema: str
     turns: str
-    by_row: bool = False  # one row for each turn, to be grouped
+    by_row: bool = False  # one row for each turn: the expression sums up a conversation's rows
 
 
 def _turn(role: str, text: str) -> str:
@@ -55,27 +57,30 @@ def _optional(role: str, text: str) -> str:
 
 _SHARE_ROLES = "case m.`from` when 'human' then 'user' when 'gpt' then 'assistant' else m.`from` end"
 _INSTRUCT = "if(coalesce(input, '') = '', instruction, concat(instruction, '\\n\\n', input))"
+#: In the order in which they are tried: the first of which a row has all fields counts.
 LAYOUTS = [
-    Layout("turn rows", ("role", "text", "turn"), "", "", by_row=True),
+    Layout("turn rows", ("role", "text", "turn"), "",
+           f"transform(array_sort(collect_list(named_struct('turn', turn, 'role', coalesce(role, ''), 'text', coalesce(text, '')))), "
+           f"t -> {_turn('t.role', 't.text')})", by_row=True),
     Layout("messages", ("messages[].content", "messages[].role"), "messages array<struct<role:string,content:string>>",
            f"transform(messages, m -> {_turn('m.role', 'm.content')})"),
     Layout("share", ("conversations[].from", "conversations[].value"),
            "conversations array<struct<`from`:string,value:string>>",
            f"transform(conversations, m -> {_turn(_SHARE_ROLES, 'm.value')})"),
-    Layout("prompt and completion", ("completion", "prompt"), "prompt string, completion string",
-           f"array({_turn(repr('user'), 'prompt')}, {_turn(repr('assistant'), 'completion')})"),
-    Layout("prompt and response", ("prompt", "response"), "prompt string, response string",
-           f"array({_turn(repr('user'), 'prompt')}, {_turn(repr('assistant'), 'response')})"),
-    Layout("question and answer", ("answer", "question"), "question string, answer string",
-           f"array({_turn(repr('user'), 'question')}, {_turn(repr('assistant'), 'answer')})"),
-    Layout("instruction", ("instruction", "output"), "instruction string, output string",
-           f"array({_turn(repr('user'), 'instruction')}, {_turn(repr('assistant'), 'output')})"),
-    Layout("instruction with input", ("input", "instruction", "output"), "instruction string, input string, output string",
-           f"array({_turn(repr('user'), _INSTRUCT)}, {_turn(repr('assistant'), 'output')})"),
     Layout("system, question and response", ("question", "response", "system_prompt"),
            "system_prompt string, question string, response string",
            f"concat({_optional(repr('system'), 'system_prompt')}, array({_turn(repr('user'), 'question')}, "
            f"{_turn(repr('assistant'), 'response')}))"),
+    Layout("instruction with input", ("input", "instruction", "output"), "instruction string, input string, output string",
+           f"array({_turn(repr('user'), _INSTRUCT)}, {_turn(repr('assistant'), 'output')})"),
+    Layout("instruction", ("instruction", "output"), "instruction string, output string",
+           f"array({_turn(repr('user'), 'instruction')}, {_turn(repr('assistant'), 'output')})"),
+    Layout("question and answer", ("answer", "question"), "question string, answer string",
+           f"array({_turn(repr('user'), 'question')}, {_turn(repr('assistant'), 'answer')})"),
+    Layout("prompt and completion", ("completion", "prompt"), "prompt string, completion string",
+           f"array({_turn(repr('user'), 'prompt')}, {_turn(repr('assistant'), 'completion')})"),
+    Layout("prompt and response", ("prompt", "response"), "prompt string, response string",
+           f"array({_turn(repr('user'), 'prompt')}, {_turn(repr('assistant'), 'response')})"),
 ]
 KNOWN_PATHS = sorted({p for layout in LAYOUTS for p in layout.paths})
 
@@ -99,7 +104,9 @@ def schema_paths(kind: T.DataType, prefix: str = "") -> set[str]:
 
 
 def layout_of(schema: T.StructType) -> Layout | None:
-    return BY_FINGERPRINT.get(fingerprint(schema_paths(schema) & set(KNOWN_PATHS)))
+    """The first layout whose paths the schema holds: by the fingerprint of what the two have in common."""
+    paths = schema_paths(schema)
+    return next((x for code, x in BY_FINGERPRINT.items() if fingerprint(paths & set(x.paths)) == code), None)
 
 
 def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
@@ -109,39 +116,43 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
         raise ValueError(f"no layout has the fields {sorted(schema_paths(df.schema))}")
     if not layout.by_row:
         return df.select(F.col(id_col).alias("conv_id"), F.expr(layout.turns).cast(TURNS).alias("turns"))
-    one = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"),
-                   F.coalesce("text", F.lit("")).alias("text"))
-    rows = df.select(F.col(id_col).alias("conv_id"), one.alias("one"))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("one")).alias("all"))
-    return grouped.select("conv_id", F.transform("all", lambda t: F.struct(t["role"], t["text"])).alias("turns"))
+    rows = df.select(F.col(id_col).alias("conv_id"), *layout.paths)
+    return rows.groupBy("conv_id").agg(F.expr(layout.turns).cast(TURNS).alias("turns"))
 
 
 def _prefixed(keys: Column, prefix: str) -> Column:
     return F.transform(keys, lambda k: F.concat(F.lit(prefix), k))
 
 
-def json_fingerprint(json: Column) -> Column:
-    """Fingerprint of one JSON object's own fields."""
-    paths = [F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))]
+def json_paths(json: Column) -> Column:
+    """The known ones of a JSON object's own fields, and of those of all elements of its lists, sorted."""
+    none = F.array().cast("array<string>")
+    paths = [F.coalesce(F.json_object_keys(json), none)]
     for parent in sorted({p.split("[]")[0] for p in KNOWN_PATHS if "[]" in p}):
-        keys = F.json_object_keys(F.get_json_object(json, f"$.{parent}[0]"))
-        paths.append(_prefixed(F.coalesce(keys, F.array().cast("array<string>")), f"{parent}[]."))
-    own = F.array_sort(F.filter(F.array_distinct(F.concat(*paths)), lambda p: p.isin(KNOWN_PATHS)))
-    return F.xxhash64(F.array_join(own, "|"))
+        elements = F.from_json(F.get_json_object(json, f"$.{parent}"), "array<map<string,string>>")
+        keys = F.flatten(F.transform(elements, lambda m: F.coalesce(F.map_keys(m), none)))
+        paths.append(_prefixed(F.coalesce(keys, none), f"{parent}[]."))
+    return F.array_sort(F.filter(F.array_distinct(F.concat(*paths)), lambda p: p.isin(KNOWN_PATHS)))
+
+
+def has_layout(paths: Column, layout: Layout) -> Column:
+    """Whether sorted paths hold a layout's: by the fingerprint of what the two have in common."""
+    common = F.filter(paths, lambda p: p.isin(list(layout.paths)))
+    return F.xxhash64(F.array_join(common, "|")) == fingerprint(layout.paths)
 
 
 def canonical_turns_of_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """conv_id, layout, turns: each row by the mapping that its own fingerprint selects."""
-    marked = df.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("json"), json_fingerprint(F.col(json_col)).alias("print"))
-    layouts = [(code, layout) for code, layout in BY_FINGERPRINT.items() if not layout.by_row]
-    for i, (_, layout) in enumerate(layouts):
+    marked = df.select(F.col(id_col).alias("conv_id"), F.col(json_col).alias("json"), json_paths(F.col(json_col)).alias("paths"))
+    layouts = [layout for layout in LAYOUTS if not layout.by_row]
+    for i, layout in enumerate(layouts):
         marked = marked.withColumn(f"j{i}", F.from_json("json", layout.schema))
     turns, name = F.lit(None).cast(TURNS), F.lit(None).cast("string")
-    for i, (code, layout) in enumerate(layouts):
+    for i, layout in reversed([*enumerate(layouts)]):  # the first of which a row has all paths counts
         fields = T.StructType.fromDDL(layout.schema).names
         mapped = F.expr(f"transform(array(j{i}), row -> {_within(layout.turns, fields)})[0]").cast(TURNS)
-        turns = F.when(F.col("print") == code, mapped).otherwise(turns)
-        name = F.when(F.col("print") == code, F.lit(layout.name)).otherwise(name)
+        turns = F.when(has_layout(F.col("paths"), layout), mapped).otherwise(turns)
+        name = F.when(has_layout(F.col("paths"), layout), F.lit(layout.name)).otherwise(name)
     return marked.select("conv_id", name.alias("layout"), turns.alias("turns"))
 
 

@@ -41,6 +41,21 @@ def C_unescape(text):
     return re.sub(r"\\(\\?)", r"\1", text)
 
 
+def test_columns_of_other_layouts_do_not_matter(spark):
+    rows = [(1, 0, "user", "q", "p", "i", [("user", "c")], [("human", "v")]), (1, 1, "assistant", "a", None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, prompt string, input string, "
+                                     "messages array<struct<role:string,content:string>>, conversations array<struct<`from`:string,value:string>>")
+    assert C.layout_of(df.schema).name == "turn rows"
+    assert [[(t.role, t.text) for t in r.turns] for r in C.canonical_turns(df).collect()] == [[("user", "q"), ("assistant", "a")]]
+
+
+def test_very_long_texts(spark):
+    long = "<s>a\\" * 200_000
+    df = spark.createDataFrame([(1, 0, "assistant", long)], "conv_id long, turn long, role string, text string")
+    out = C.format_turns(C.canonical_turns(df))
+    assert out.select(C.masked_text(F.col("formatted"), F.col("loss_mask"))).first()[0] == long
+
+
 U, A = ("user", "q"), ("assistant", "a")
 
 
@@ -51,6 +66,9 @@ U, A = ("user", "q"), ("assistant", "a")
     ({"system_prompt": "s", "question": "q", "response": "a"}, [("system", "s"), U, A]),
     ({"system_prompt": "", "question": "q", "response": "a"}, [U, A]),
     ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a", "w": 1}], "id": 3}, [U, A]),
+    ({"instruction": "q", "input": "i", "output": "a", "text": "q i a"}, [("user", "q\n\ni"), A]),
+    ({"prompt": "q", "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "input": "x"}, [U, A]),
+    ({"messages": [{"role": "user"}, {"role": "assistant", "content": "a"}]}, [("user", None), A]),
     ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}, {"from": "tool", "value": "t"}]}, [U, A, ("tool", "t")]),
 ])
 def test_layouts_by_schema_and_by_row(spark, row, turns):
