@@ -20,7 +20,9 @@ Defined results: words are ``\\w+`` runs of the lower-cased text; in scripts wit
 spaces each character is a word. Null or empty
 texts on either side never match; items shorter than one n-gram are matched by
 their whole word sequence. Repeated rows each get their own result. Of several
-windows of one item the best counts.
+windows of one item the best counts, of equal ones the first. Very long texts are searched
+whole, but only windows around seeds are aligned. Without documents or items nothing is found;
+filters keep all columns, whatever their names.
 """
 
 from __future__ import annotations

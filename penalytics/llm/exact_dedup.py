@@ -14,7 +14,8 @@
 Defined results: a null text counts as empty; of equal texts the row with the
 largest id stays (a null id is the smallest; of equal ids the first row read);
 repeated rows are separate rows of one group. An empty table gives no rows.
-Columns of any other name pass through.
+A text longer than a table goes to a spill file alone and is compared whole. Columns of any
+other name pass through, whatever the name.
 """
 
 from __future__ import annotations

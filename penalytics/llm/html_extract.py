@@ -18,7 +18,8 @@ good blocks are joined by line feeds. One ``<br>`` is white space, two end a blo
 
 Defined results: null and empty pages, and pages without a good block, give an empty
 text; text without any element is a block like others. Cut-off tags, comments and scripts end with the page; ``<`` before anything but
-a tag is text. Each page is judged on its own, so ties and repeated rows are alike.
+a tag is text. Each page is judged on its own and whole, however long, in time that grows with
+it; ties and repeated rows are alike. An empty table gives no rows, and only the three columns are read.
 """
 
 from __future__ import annotations

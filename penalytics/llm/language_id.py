@@ -18,7 +18,9 @@ of that length, so gibberish and unlearned languages fall below it and short tex
 
 Defined results: a null text, or one without any letter, is ``und`` with score
 0. Without any labelled row nothing is learned and every text is ``und``. Equal
-texts get equal results; columns other than the text are never looked at.
+texts, repeated rows among them, get equal results; ties go to the language that comes first.
+Very long texts are counted whole. An empty table gives no rows. Columns other than the
+text are never looked at, and pass the filter whatever their names.
 """
 
 from __future__ import annotations

@@ -13,12 +13,14 @@ template are compared by the Dice coefficient of their bags of word bigrams,
 Each unit gets the template with the largest coefficient (ties: the name that
 comes first). A licence that no such unit shows is looked for inside the text, over
 the ends of sentences, lines and paragraphs: windows of a template's own size are
-laid where one of its anchors occurs, and of overlapping windows that reach the
-threshold the one with the most common bigrams counts. There is no join and no
+laid where one of its anchors occurs; those that reach the threshold are taken in the
+order of their common bigrams, each unless one that was taken overlaps it. A window has no
+context: "not released under the MIT License" shows MIT. There is no join and no
 shuffle: every row is judged on its own.
 
 Defined results: null and empty texts, and texts without a match, have no licence
-(null), an empty list and a coefficient of 0. Repeated rows each get their result.
+(null), an empty list and a coefficient of 0. Repeated rows each get their result. Very long
+texts are scanned whole; an empty table gives no rows; only the id and text columns are read.
 """
 
 from __future__ import annotations

@@ -17,7 +17,10 @@ runs across a kind of boundary (before words, between letters and other characte
 all paths meet there; the ids of such a span depend on the span alone, and recent
 spans are remembered (a bounded memo in each worker).
 
-Defined results: null is encoded like an empty text, to no ids. Decoding gives
+Defined results: null is encoded like an empty text, to no ids. Equal texts, in repeated
+rows too, have equal ids; of equally good pieces the search keeps one order. A very long
+text is encoded whole; its ids are held together. An empty table gives no rows, and only the
+id and text columns are read, so other columns' names don't matter. Decoding gives
 the text back byte for byte, except that U+2581, the model's own mark for a
 space, comes back as a space. The model file's path is a parameter; the file is
 read on the driver and sent to the executors (it has a fixed size).

@@ -15,7 +15,8 @@ cells' counts are added up, so neither a shard nor a hot group meets in one task
 Defined results: a null text has no bytes; it groups with other null texts and
 with empty ones, whose texts are the same empty sequence of bytes. Ties in size
 go by the text's hash, then to the shard with the smaller number. Repeated rows are
-rows of their own with slots of their own. An empty table gives no rows.
+rows of their own with slots of their own. An empty table gives no rows. A very long text is
+one size; its bytes are read where it is. The id and text columns alone are read.
 """
 
 from __future__ import annotations

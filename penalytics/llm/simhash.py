@@ -16,7 +16,9 @@ verified by their differing bits, and closed to components.
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero and is linked like any other; fewer words than a shingle: the
 whole sequence is the only one. Ties and repeated rows share a component. A null
-id never names a component unless the component has no other.
+id never names a component unless the component has no other. Very long texts are hashed
+whole, in blocks of bits; an empty table gives no rows; filters keep all columns, whatever
+their names.
 """
 
 from __future__ import annotations
