@@ -65,6 +65,12 @@ SEED = 42
 # Memory for a tree level's statistics: a level is then found in one pass.
 TREE_MEMORY_MB = 512
 # Folds whose held-out margins calibrate the SVM.
+# Rows of a partition of the frame that classifiers are fitted on; a smaller frame stays as it is.
+FIT_ROWS = 1 << 15
+# Rows of the folds of a cross-validation that are mapped for the SVM (300 doubles each) at once.
+FOLD_ROWS = 1 << 20
+# Rows of Fourier features that a worker hands on at once.
+MAPPED_ROWS = 1 << 10
 PLATT_FOLDS = 3
 # Rows that a node needs to be split.
 MIN_SPLIT = {"Decision Tree": 10, "Random Forest": 5, "Gradient Boosting": 10}
@@ -352,8 +358,16 @@ def fit_many(names: list[str], train: DataFrame, fast: bool = False, parallelism
 
     Preprocessing is fitted once and one prepared frame (label, weight, features)
     is kept for all classifiers (memory, spilling to disk; a lost executor means
-    recomputing its blocks); its partitions are those of the input, which AQE
-    sizes by bytes.  The classifiers' jobs interleave on the executors.
+def spread(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
+    """``df`` of ``rows`` rows in partitions of about ``most`` rows (``FIT_ROWS``) or fewer, dealt out in turn: a
+    small file holds many rows, and a learner's task reads its partition anew in every round."""
+    most = most or FIT_ROWS
+    return df.repartition(-(-rows // most)) if rows > most else df
+
+
+    recomputing its blocks); up to ``FIT_ROWS`` rows its partitions are those of the
+    input, more rows are spread over partitions of that size.  The classifiers' jobs
+    interleave on the executors.
     ``exclude_features`` leaves columns out, for instance those that give the
     label away.
     """
@@ -364,7 +378,7 @@ def fit_many(names: list[str], train: DataFrame, fast: bool = False, parallelism
     weighted = with_class_weight(train, balanced_weights(facts.classes), "label", WEIGHT)
     prepared = PipelineModel(pre).transform(weighted).select("label", WEIGHT, "features")
     n_features = prepared.schema["features"].metadata["ml_attr"]["num_attrs"]
-    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = spread(prepared, facts.rows).persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(name: str) -> PipelineModel:
         if name == "Support Vector Machine":

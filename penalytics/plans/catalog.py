@@ -60,7 +60,8 @@ def _kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     key = (_app(spark), sf_dir, name)
     if key not in _VIEWS:
         df, path = build(), shared_path(spark, f"view-{name}")
-        df.write.parquet(path)
+        # files of bounded rows: a file that is small in bytes would be one task for its readers
+        df.write.option("maxRecordsPerFile", MD.FIT_ROWS).parquet(path)
         _VIEWS[key] = (path, spark.read.schema(df.schema).parquet(path))
     return _VIEWS[key][1]
 
