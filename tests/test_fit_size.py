@@ -61,3 +61,19 @@ def test_views_are_kept_in_files_of_bounded_rows(monkeypatch, spark, rows):
     assert len(files) == 5 and max(r["count"] for r in files) <= 70
     assert sorted(map(str, kept.collect())) == sorted(map(str, rows.collect()))
     K.delete_path(spark, path)
+
+
+@pytest.mark.parametrize("limit, at_once", [(1 << 20, 5), (700, 2), (10, 1)])
+def test_folds_with_the_svm_are_kept_by_rows(monkeypatch, rows, limit, at_once):
+    found, own = [], MD._together
+
+    def together(spark, work, items, parallelism=None):
+        if items == list(range(5)):
+            found.append(parallelism or len(items))
+            return [[("x", f, 1.0)] for f in items]
+        return own(spark, work, items, parallelism)
+    monkeypatch.setattr(MD, "_together", together)
+    monkeypatch.setattr(MD, "FOLD_ROWS", limit, raising=False)
+    MD.cross_validate(["Support Vector Machine"], rows)
+    MD.cross_validate(["Gradient Boosting"], rows)
+    assert found == [at_once, 5]
