@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -64,13 +65,13 @@ SEED = 42
 # default (1e-6) would iterate to the cap.  GBT has no tolerance (all rounds run).
 # Memory for a tree level's statistics: a level is then found in one pass.
 TREE_MEMORY_MB = 512
-# Folds whose held-out margins calibrate the SVM.
 # Rows of a partition of the frame that classifiers are fitted on; a smaller frame stays as it is.
 FIT_ROWS = 1 << 15
 # Rows of the folds of a cross-validation that are mapped for the SVM (300 doubles each) at once.
 FOLD_ROWS = 1 << 20
 # Rows of Fourier features that a worker hands on at once.
 MAPPED_ROWS = 1 << 10
+# Folds whose held-out margins calibrate the SVM.
 PLATT_FOLDS = 3
 # Rows that a node needs to be split.
 MIN_SPLIT = {"Decision Tree": 10, "Random Forest": 5, "Gradient Boosting": 10}
@@ -89,13 +90,18 @@ class _RffParams(Params):
 
 
 def _rff_udf(w: np.ndarray, b: np.ndarray):
-    scale = math.sqrt(2.0 / w.shape[1])
+    scale, part = math.sqrt(2.0 / w.shape[1]), MAPPED_ROWS
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(xs: pd.Series) -> pd.Series:
-        x = np.stack(xs.to_numpy()) if len(xs) else np.zeros((0, w.shape[0]))
-        z = np.cos(x @ w + b) * scale
-        return pd.Series(list(z))
+    def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for xs in batches:
+            x = np.stack(xs.to_numpy()) if len(xs) else np.zeros((0, w.shape[0]))
+            z = x @ w  # one array of a batch's features, changed in place and handed on in parts
+            z += b
+            np.cos(z, out=z)
+            z *= scale
+            for k in range(0, len(z), part):
+                yield pd.Series(list(z[k:k + part]))
     return project
 
 
@@ -352,12 +358,6 @@ def _together(spark, work, items: list, parallelism: int | None = None) -> list:
         return list(pool.map(inheritable_thread_target(spark)(work), items))
 
 
-def fit_many(names: list[str], train: DataFrame, fast: bool = False, parallelism: int | None = None,
-             exclude_features: tuple[str, ...] = ()) -> dict[str, PipelineModel]:
-    """Fit registry models on the same training rows.
-
-    Preprocessing is fitted once and one prepared frame (label, weight, features)
-    is kept for all classifiers (memory, spilling to disk; a lost executor means
 def spread(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
     """``df`` of ``rows`` rows in partitions of about ``most`` rows (``FIT_ROWS``) or fewer, dealt out in turn: a
     small file holds many rows, and a learner's task reads its partition anew in every round."""
@@ -365,6 +365,12 @@ def spread(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
     return df.repartition(-(-rows // most)) if rows > most else df
 
 
+def fit_many(names: list[str], train: DataFrame, fast: bool = False, parallelism: int | None = None,
+             exclude_features: tuple[str, ...] = ()) -> dict[str, PipelineModel]:
+    """Fit registry models on the same training rows.
+
+    Preprocessing is fitted once and one prepared frame (label, weight, features)
+    is kept for all classifiers (memory, spilling to disk; a lost executor means
     recomputing its blocks); up to ``FIT_ROWS`` rows its partitions are those of the
     input, more rows are spread over partitions of that size.  The classifiers' jobs
     interleave on the executors.

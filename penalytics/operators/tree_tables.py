@@ -38,6 +38,8 @@ from ..session import delete_path, shared_path
 
 #: Distinct rows of leaves (two bytes a round) that the driver takes for Newton steps: some 20 MB.
 MOST_PATHS = 1 << 16
+#: Rows of a batch that are routed through all trees at once.
+ROUTED_ROWS = 512
 
 
 def node_table(model) -> DataFrame:
@@ -140,10 +142,11 @@ class TreeTables:
         return self.router()(x)
 
     def router(self):
-        """``leaves`` as a function of arrays alone, which workers can run without this package."""
-        roots, feature, threshold, left, right = self.roots, self.feature, self.threshold, self.left, self.right
+        """``leaves`` as a function of arrays alone, which workers can run without this package.
+        A batch is routed by ``ROUTED_ROWS`` rows: a worker's memory follows these, not rows times trees."""
+        roots, feature, threshold, left, right, block = self.roots, self.feature, self.threshold, self.left, self.right, ROUTED_ROWS
 
-        def route(x):
+        def route_block(x):
             at = np.broadcast_to(roots, (len(x), len(roots))).copy()
             row = np.arange(len(x))[:, None]
             while True:
@@ -153,6 +156,12 @@ class TreeTables:
                     return at
                 down = np.where(x[row, np.maximum(f, 0)] <= threshold[at], left[at], right[at])
                 at = np.where(inner, down, at)
+
+        def route(x):
+            at = np.empty((len(x), len(roots)), np.int64)
+            for k in range(0, len(x), block):
+                at[k:k + block] = route_block(x[k:k + block])
+            return at
         return route
 
     def encode(self) -> str:

@@ -77,3 +77,63 @@ def test_folds_with_the_svm_are_kept_by_rows(monkeypatch, rows, limit, at_once):
     MD.cross_validate(["Support Vector Machine"], rows)
     MD.cross_validate(["Gradient Boosting"], rows)
     assert found == [at_once, 5]
+
+
+def peak(work):
+    tracemalloc.start()
+    try:
+        out = work()
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_routing_holds_little_besides_its_result():
+    rng, trees, depth = np.random.default_rng(1), 100, 6
+    per = 2 ** (depth + 1) - 1
+    k = np.arange(per)
+    inner = k < 2 ** depth - 1
+    base = np.arange(trees) * per
+    over = lambda a: np.tile(a, trees)
+    child = lambda c: np.where(over(inner), over(c) + np.repeat(base, per), 0)
+    feature = np.where(over(inner), rng.integers(0, 4, trees * per), -1)
+    cut = rng.uniform(0, 1, trees * per)
+    tables = TreeTables(base, feature, cut, child(2 * k + 1), child(2 * k + 2), np.ones(trees * per, int), cut, cut)
+    x = rng.uniform(0, 1, (5000, 4))
+    at, most = peak(lambda: tables.leaves(x))
+    assert most < 2.5 * at.nbytes
+    for i in (0, 511, 512, 4999):
+        for t in range(trees):
+            n = base[t]
+            while feature[n] >= 0:
+                n = tables.left[n] if x[i, feature[n]] <= cut[n] else tables.right[n]
+            assert at[i, t] == n
+    assert tables.leaves(x[:0]).shape == (0, trees)
+
+
+def test_fourier_features_are_made_in_place():
+    rng = np.random.default_rng(2)
+    w, b, x = rng.normal(size=(20, 300)), rng.uniform(size=300), rng.normal(size=(4000, 20))
+    rows = pd.Series(list(x))
+    project, parts = MD._rff_udf(w, b).func, []
+
+    def longest():
+        for part in project(iter([rows, rows[:0], rows[:10]])):
+            parts.append(np.stack(part[-3:]))
+            yield len(part)
+    sizes, most = peak(lambda: list(longest()))
+    assert most < 1.6 * len(x) * 300 * 8  # the features once, besides parts of bounded rows
+    assert sum(sizes) == 4010 and max(sizes) <= 1 << 10
+    want = np.cos(x @ w + b) * np.sqrt(2 / 300)
+    assert np.array_equal(parts[0], want[1021:1024]) and np.array_equal(parts[-2], want[3997:])
+
+
+def test_fourier_features_stay_with_their_rows(spark):
+    df = spark.range(2500).coalesce(1).select("id", MD.array_to_vector(F.array(F.col("id") / 1000.0, F.lit(1.0))).alias("features"))
+    out = MD.RandomFourierFeatures(inputCol="features", outputCol="rff", numFeatures=3).fit(df).transform(df)
+    fitted = MD.json.loads(MD.RandomFourierFeatures(inputCol="features", outputCol="rff", numFeatures=3).fit(df).getOrDefault("weights"))
+    got = {r["id"]: r["rff"].toArray() for r in out.select("id", "rff").collect()}
+    assert len(got) == 2500
+    for i in (0, 1023, 1024, 2499):
+        want = np.cos(np.array([i / 1000.0, 1.0]) @ np.array(fitted["w"]) + np.array(fitted["b"])) * np.sqrt(2 / 3)
+        assert np.allclose(got[i], want)
