@@ -52,6 +52,16 @@ def test_fits_run_on_partitions_of_bounded_rows(monkeypatch, rows):
     assert len(large) == 6 and max(large) <= 60
 
 
+@pytest.mark.parametrize("name, fits, fitted", [("Random Forest", 5, 240), ("Support Vector Machine", 20, None)])
+def test_folds_are_fitted_on_partitions_of_bounded_rows(monkeypatch, rows, name, fits, fitted):
+    seen = seen_by_learners(monkeypatch)
+    monkeypatch.setattr(MD, "FIT_ROWS", 50, raising=False)
+    assert MD.cross_validate([name], rows, fast=True).count() == 5
+    assert len(seen) == fits  # a fold's SVM takes three fits for its calibration and one of all rows
+    assert all(max(parts) <= 60 for parts, _ in seen)
+    assert fitted is None or all(sum(parts) == fitted for parts, _ in seen)  # no row of the other folds is left out
+
+
 def test_views_are_kept_in_files_of_bounded_rows(monkeypatch, spark, rows):
     monkeypatch.setattr(MD, "FIT_ROWS", 70, raising=False)
     key = (K._app(spark), "/none", "bounded")
