@@ -735,17 +735,21 @@ def fitted_models(spark, sf_dir, names, rows="train"):
     return {n: _FITTED[(*app, n)] for n in names}
 
 
-def scored_rows(spark, sf_dir, name):
-    """Every row scored by one fitted model, kept while that model is the
-    current fit (comparison and consensus aggregate over it several times)."""
+def scored_rows(spark, sf_dir, name, split=None):
+    """Every row, or every row of ``split``, scored by one fitted model, kept while that model
+    is the current fit (comparison and consensus aggregate over it several times)."""
     model = fitted_models(spark, sf_dir, [name])[name]
     key = (_app(spark), sf_dir, name)
-    if key not in _SCORED:
-        _SCORED[key] = MD.score(model, split_frame(spark, sf_dir), name).select(
+    if split and (*key, None) in _SCORED:
+        return _SCORED[(*key, None)].where(F.col("split") == split)
+    if (*key, split) not in _SCORED:
+        rows = split_frame(spark, sf_dir)
+        rows = rows.where(F.col("split") == split) if split else rows
+        _SCORED[(*key, split)] = MD.score(model, rows, name).select(
             "row_id", "facility_id", C.MEASURE, "split", "fold",
             F.col(C.LABEL).alias("label"), "model", "prediction", "probability") \
             .persist(StorageLevel.MEMORY_AND_DISK)
-    return _SCORED[key]
+    return _SCORED[(*key, split)]
 
 
 MODEL_IDS = {"LR": "M9", "DT": "M10", "SVM": "M11", "RF": "M12", "GB": "M13", "MLP": "M14"}
@@ -778,11 +782,11 @@ for _name, _short in M.MODEL_NAMES:
     _register_model_query(_name, _short)
 
 
-def all_scored(spark, sf_dir):
+def all_scored(spark, sf_dir, split=None):
     fitted_models(spark, sf_dir, MD.model_names())
     out = None
     for name in MD.model_names():
-        s = scored_rows(spark, sf_dir, name)
+        s = scored_rows(spark, sf_dir, name, split)
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -822,8 +826,7 @@ def q_model_roc_points_fitted(spark, sf_dir):
 
 @register("consensus_fitted", None, ids=("M18", "M16", "M17", "A19"))
 def q_consensus_fitted(spark, sf_dir):
-    s = all_scored(spark, sf_dir).where(F.col("split") == "test")
-    return M.consensus(s, "row_id")
+    return M.consensus(all_scored(spark, sf_dir, "test"), "row_id")
 
 
 @register("consensus_requests", None, ids=("M18", "L1", "R13", "R16", "R17"))

@@ -6,13 +6,13 @@ returned line item = readmission.
 
 Plan shape (chosen for scale, not taken from the SQL text):
 
-1. ``lineitem`` is reduced to (partkey, suppkey) counts *before* any join
-   (eager aggregation).  The partial aggregate runs map-side, so a hot part or
-   supplier that holds a third of all rows collapses to one row per map task
-   before the shuffle.
-2. The reduced rows join ``part`` on partkey (sort-merge, or broadcast when
-   AQE measures the part side below the threshold at runtime).
-3. A second aggregate to (suppkey, condition), then the supplier columns.
+1. ``lineitem`` joins ``part`` on partkey (broadcast when the part side is below
+   the threshold, else sort-merge, where AQE splits a hot part's rows).
+2. The joined rows are reduced to (suppkey, condition) counts in the map tasks, so
+   that a hot supplier is six rows of a task at most in the shuffle.  Counting by
+   (partkey, suppkey) first is left out: that pair is nearly a key of ``lineitem``,
+   so all rows would be shuffled once more.
+3. The supplier columns are joined to these counts.
 4. National rates per condition are re-aggregated from step 3 instead of
    scanning lineitem a second time.  That table has one row per condition (six
    names at most), so it is broadcast and the hospital table isn't shuffled on
@@ -67,12 +67,10 @@ def facility_condition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part", "p_partkey", "p_type").select("p_partkey", condition_of(F.col("p_type")).alias("cond"))
     supp = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
 
-    per_part_supp = (li.groupBy("l_partkey", "l_suppkey")
-                     .agg(F.count(F.lit(1)).alias("n"),
-                          F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("nr")))
-    per_supp_type = (per_part_supp.join(part, per_part_supp.l_partkey == part.p_partkey)
+    per_supp_type = (li.join(part, li.l_partkey == part.p_partkey)
                      .groupBy(F.col("l_suppkey").alias("sk"), "cond")
-                     .agg(F.sum("n").alias("d"), F.sum("nr").alias("rd")))
+                     .agg(F.sum(F.lit(1)).alias("d"),
+                          F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("rd")))
     return (per_supp_type.join(supp, per_supp_type.sk == supp.s_suppkey)
             .select("sk", F.col("s_name").alias("fname"), F.col("s_nationkey").alias("nk"),
                     "cond", "d", "rd"))

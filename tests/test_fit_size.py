@@ -1,5 +1,7 @@
 """What a fit's tasks read and what its Python workers hold is bounded by rows, not by the input."""
 import random
+import threading
+import time
 import tracemalloc
 from types import SimpleNamespace
 
@@ -89,6 +91,42 @@ def test_folds_with_the_svm_are_kept_by_rows(monkeypatch, rows, limit, at_once):
     assert found == [at_once, 5]
 
 
+def test_all_fits_of_an_svm_run_at_once(monkeypatch, rows):
+    gate, own = threading.Barrier(MD.PLATT_FOLDS + 1), MD.classifier
+
+    def gated(*args):
+        learner = own(*args)
+        return SimpleNamespace(fit=lambda df: gate.wait(60) is not None and learner.fit(df))
+    monkeypatch.setattr(MD, "classifier", gated)
+    model = MD.fit_many(["Support Vector Machine"], rows, fast=True)["Support Vector Machine"]
+    rff, svm, platt = model.stages[-3:]
+    assert svm.coefficients.size == 100 and len(MD.json.loads(platt.getOrDefault("coef"))) == 2
+
+
+def test_the_longest_fits_start_first_and_few_run_at_once(monkeypatch, rows):
+    names, lock, begun, now, most = MD.model_names(), threading.Lock(), [], [0], [0]
+
+    class Learner:
+        def __init__(self, name):
+            self.name = name
+
+        def fit(self, df):
+            with lock:
+                begun.append(self.name)
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+            time.sleep(0.3)
+            with lock:
+                now[0] -= 1
+            return MD.PipelineModel([])
+    monkeypatch.setattr(MD, "classifier", lambda name, *_: Learner(name))
+    monkeypatch.setattr(MD, "_fit_svm", lambda *_: [Learner("Support Vector Machine").fit(None)])
+    monkeypatch.setattr(MD, "_as_tables", lambda name, fitted, df: fitted)
+    assert list(MD.fit_many(names, rows)) == names  # all of them, in the order asked for
+    assert sorted(begun) == sorted(names) and most[0] == 3
+    assert set(begun[:3]) == {"Gradient Boosting", "Support Vector Machine", "Random Forest"}
+
+
 def peak(work):
     tracemalloc.start()
     try:

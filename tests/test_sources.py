@@ -86,3 +86,26 @@ def test_spellings_reach_the_view(spark):
     from tests.conftest import SF_MID
     texts = [r[0] for r in K.raw(spark, SF_MID).select("number_of_discharges").collect()]
     assert {"N/A", "NA", "null"} <= set(texts) and any(t.endswith(".0") for t in texts)
+
+
+def test_line_items_are_shuffled_once_at_most_and_joined_as_often_as_keys_repeat(spark, tmp_path):
+    from collections import Counter
+    from penalytics.sources.fixture import condition_of, facility_condition_counts
+    parts = [(1, "LARGE"), (1, "PROMO"), (2, "LARGE"), (3, None), (None, "LARGE")]
+    suppliers = [(5, "S5", 0), (6, "S6", 1), (6, "S6b", 2), (None, "none", 3)]
+    lines = [(p, k, f) for p in (1, 1, 2, 3, 4, None) for k in (5, 6, 7, None) for f in ("R", "N", None)]
+    for name, rows, schema in (("part", parts, "p_partkey long, p_type string"),
+                               ("supplier", suppliers, "s_suppkey long, s_name string, s_nationkey long"),
+                               ("lineitem", lines, "l_partkey long, l_suppkey long, l_returnflag string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    df = facility_condition_counts(spark, str(tmp_path))
+    got = sorted(tuple(r) for r in df.collect())
+    names = {r["t"]: r["c"] for r in spark.createDataFrame(parts, "k long, t string").select("t", condition_of(F.col("t")).alias("c")).collect()}
+    d, rd = Counter(), Counter()
+    for p, k, f in lines:
+        for t in (t for q, t in parts if p is not None and q == p):
+            d[k, names[t]] += 1
+            rd[k, names[t]] += f == "R"
+    assert got == sorted((k, s, n, c, d[k, c], rd[k, c]) for k, c in d for q, s, n in suppliers if k is not None and q == k)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Exchange" in x and "l_partkey" in x and "l_suppkey" in x]  # no shuffle by the pair
