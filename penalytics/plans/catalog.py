@@ -811,7 +811,7 @@ def q_model_ranking_fitted(spark, sf_dir):
 
 @register("model_confusion_fitted", None, ids=("E6",))
 def q_model_confusion_fitted(spark, sf_dir):
-    return M.confusion_matrix(_test(all_scored(spark, sf_dir)), [M.MODEL])
+    return M.confusion_matrix(all_scored(spark, sf_dir, "test"), [M.MODEL])
 
 
 @register("model_report_fitted", None, ids=("E7",))
