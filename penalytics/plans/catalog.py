@@ -816,12 +816,12 @@ def q_model_confusion_fitted(spark, sf_dir):
 
 @register("model_report_fitted", None, ids=("E7",))
 def q_model_report_fitted(spark, sf_dir):
-    return M.classification_report(_test(all_scored(spark, sf_dir)), [M.MODEL])
+    return M.classification_report(all_scored(spark, sf_dir, "test"), [M.MODEL])
 
 
 @register("model_roc_points_fitted", None, ids=("E8",))
 def q_model_roc_points_fitted(spark, sf_dir):
-    return M.roc_points(_test(all_scored(spark, sf_dir)), [M.MODEL])
+    return M.roc_points(all_scored(spark, sf_dir, "test"), [M.MODEL])
 
 
 @register("consensus_fitted", None, ids=("M18", "M16", "M17", "A19"))

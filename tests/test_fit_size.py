@@ -127,6 +127,29 @@ def test_the_longest_fits_start_first_and_few_run_at_once(monkeypatch, rows):
     assert set(begun[:3]) == {"Gradient Boosting", "Support Vector Machine", "Random Forest"}
 
 
+def test_only_test_rows_are_scored_where_only_they_are_read(monkeypatch, spark, rows):
+    key, seen = (K._app(spark), "/none"), []
+    split = rows.withColumn("row_id", F.col("facility_id").cast("long")).withColumn("split", F.when(F.col("fold") == 0, "test").otherwise("train"))
+    monkeypatch.setattr(K, "split_frame", lambda *_: split)
+    monkeypatch.setattr(K, "fitted_models", lambda spark, sf_dir, names: dict.fromkeys(names))
+
+    def score(model, df, name):
+        seen.append((name, {r["split"] for r in df.select("split").distinct().collect()}))
+        return df.select("*", F.lit(name).alias("model"), F.lit(1).alias("prediction"), F.lit(0.75).alias("probability"))
+    monkeypatch.setattr(MD, "score", score)
+    try:
+        for query in (K.q_consensus_fitted, K.q_model_confusion_fitted, K.q_model_report_fitted):
+            assert query(spark, "/none").count()
+        assert sorted(seen) == sorted((n, {"test"}) for n in MD.model_names())  # and once for all three
+        votes = K.q_consensus_fitted(spark, "/none").collect()
+        assert len(votes) == 60 and {r["n_models"] for r in votes} == {6}
+        assert K.scored_rows(spark, "/none", "Decision Tree").count() == 300  # all rows for who reads all
+        assert K.scored_rows(spark, "/none", "Decision Tree", "test").count() == 60 and len(seen) == 7
+    finally:
+        for k in [k for k in K._SCORED if k[:2] == key]:
+            K._SCORED.pop(k).unpersist()
+
+
 def peak(work):
     tracemalloc.start()
     try:
